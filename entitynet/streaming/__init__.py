@@ -1,0 +1 @@
+"""Intentionally empty: every input is a static table, there is no streaming operator."""
