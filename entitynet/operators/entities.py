@@ -45,8 +45,11 @@ def entity_pool(layers: dict[str, DataFrame], natural: DataFrame) -> DataFrame:
 
 
 def _fold(labels: DataFrame, role: str) -> DataFrame:
-    kept = F.when(F.bool_or(F.col("role") == role), F.lit(role)).otherwise(F.max("role"))
-    return labels.groupBy("id").agg(kept.alias("role"))
+    """``role`` if the id has it, else its alphabetically last label."""
+    precedence = [role, *sorted(ROLE_COLUMNS, reverse=True)]
+    has = {r: F.bool_or(F.col("role") == r).alias(f"has_{r}") for r in ROLE_COLUMNS}
+    kept = F.coalesce(*[F.when(F.col(f"has_{r}"), F.lit(r)) for r in precedence])
+    return labels.groupBy("id").agg(*has.values()).select("id", kept.alias("role"))
 
 
 def resolve_role(layers: dict[str, DataFrame], natural: DataFrame) -> DataFrame:

@@ -70,12 +70,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Alternates two star operations (Kiveris et al. 2014) on edges that point from the
     larger to the smaller node: every neighbour is linked to the smallest one seen. Each
-    step is one minimum per node and one join; no neighbour list is ever collected.
+    step is one minimum per node and one join; no neighbour list is ever collected. Nodes
+    are numbered in their order first, so the smallest number is the smallest name.
     """
-    everything = nodes_of(edges)
-    ends = edges.filter(F.col("src") != F.col("dst")).select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    links = cut(ends)
+    ids = cut(ordered_prefix(nodes_of(edges), [F.col("node")], name="id"))
+    number = lambda end, to: ids.select(F.col("node").alias(end), F.col("id").alias(to))
+    ends = edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
+    ends = ends.join(number("src", "a"), "src").join(number("dst", "b"), "dst")
+    links = cut(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = links.count()
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -94,8 +96,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return everything.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    named = ids.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return named.join(number("component", "root"), "root").select("node", "component")
 
 
 def refine_connected(edges: DataFrame, partition: DataFrame) -> DataFrame:

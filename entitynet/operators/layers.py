@@ -64,13 +64,13 @@ def build_edges_unweighted(layers: list[DataFrame]) -> DataFrame:
 
 
 def _stack(layers: dict[str, DataFrame], order: list[str]) -> DataFrame:
-    """All rows of the layers in canonical direction with their priority, the last layer highest."""
+    """All rows of the layers in canonical direction, with their layer."""
     parts = [
         layers[name].select("src", "dst", F.col("weight").cast("double").alias("weight"),
-                            F.lit(rank).alias("rank"), F.lit(name).alias("layer"))
-        for rank, name in enumerate(order) if name in layers
+                            F.lit(name).alias("layer"))
+        for name in order if name in layers
     ]
-    return _pair(require(reduce(DataFrame.unionByName, parts), "src", "dst", "weight"), "weight", "rank", "layer")
+    return _pair(require(reduce(DataFrame.unionByName, parts), "src", "dst", "weight"), "weight", "layer")
 
 
 def build_edges(layers: dict[str, DataFrame], order: list[str] = FINAL_ORDER, on_conflict: str = "last") -> DataFrame:
@@ -78,14 +78,17 @@ def build_edges(layers: dict[str, DataFrame], order: list[str] = FINAL_ORDER, on
 
     A pair in two layers takes the weight of the later one (``last``), or the ``sum`` or
     ``max`` over its rows; the layer is the last one either way. Inside one layer the
-    larger weight wins, so the result does not depend on row order.
+    larger weight wins, so the result does not depend on row order. One number per layer
+    is aggregated, which keeps the aggregation hash-based.
     """
-    rows = _stack(layers, order)
-    winner = F.struct("rank", "weight")
-    weight = {
-        "last": F.max_by("weight", winner), "sum": F.sum("weight"), "max": F.max("weight"),
-    }[on_conflict]
-    return rows.groupBy("src", "dst").agg(weight.alias("weight"), F.max_by("layer", winner).alias("layer"))
+    names = [n for n in order if n in layers]
+    per_layer = [F.max(F.when(F.col("layer") == n, F.col("weight"))).alias(f"w_{n}") for n in names]
+    rows = _stack(layers, order).groupBy("src", "dst").agg(
+        *per_layer, F.sum("weight").alias("sum"), F.max("weight").alias("max"))
+    last_first = names[::-1]
+    weight = F.coalesce(*[F.col(f"w_{n}") for n in last_first]) if on_conflict == "last" else F.col(on_conflict)
+    layer = F.coalesce(*[F.when(F.col(f"w_{n}").isNotNull(), F.lit(n)) for n in last_first])
+    return rows.select("src", "dst", weight.alias("weight"), layer.alias("layer"))
 
 
 def build_flagged_edges(layers: dict[str, DataFrame], order: list[str] = SAMPLE_ORDER) -> DataFrame:
@@ -93,11 +96,13 @@ def build_flagged_edges(layers: dict[str, DataFrame], order: list[str] = SAMPLE_
 
     The flags make re-weighting an expression, so a search never rebuilds the graph.
     """
-    rows = _stack(layers, order)
     flag = lambda name: F.bool_or(F.col("layer") == name).alias(f"is_{name}")
-    return rows.groupBy("src", "dst").agg(
-        F.max_by("weight", F.struct("rank", "weight")).alias("weight"),
-        flag("family"), flag("representative"), flag("accountant"))
+    names = [n for n in order if n in layers]
+    per_layer = [F.max(F.when(F.col("layer") == n, F.col("weight"))).alias(f"w_{n}") for n in names]
+    flags = [f"is_{n}" for n in ("family", "representative", "accountant")]
+    rows = _stack(layers, order).groupBy("src", "dst").agg(*per_layer, *[flag(f[3:]) for f in flags])
+    weight = F.coalesce(*[F.col(f"w_{n}") for n in names[::-1]])
+    return rows.select("src", "dst", weight.alias("weight"), *flags)
 
 
 def relation_weight(family: Column, representative: Column, accountant: Column) -> Column:

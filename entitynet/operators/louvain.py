@@ -18,17 +18,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from entitynet.functions.ranking import ordered_prefix
+from entitynet.operators.graph import nodes_of
 from entitynet.session import cut
 
-MIN_GAIN = 1e-4
+MIN_GAIN = 1e-3
 PATIENCE = 2
 MAX_ROUNDS = 16
 MAX_LEVELS = 40
 EPSILON = 1e-12
 
 
-def _start(edges: DataFrame, gammas: dict[int, float]) -> DataFrame:
-    """(trial, node, k, loop, g): strength, self-loop weight and resolution / total strength."""
+def start_level(edges: DataFrame, gammas: dict[int, float]) -> DataFrame:
+    """(trial, node, k, loop, g, m2): strength, self-loop weight, resolution / total strength, total."""
     ends = edges.select(
         "trial", F.explode(F.array("src", "dst")).alias("node"), "weight",
         F.when(F.col("src") == F.col("dst"), F.col("weight") / 2).otherwise(0.0).alias("half"))
@@ -36,7 +38,19 @@ def _start(edges: DataFrame, gammas: dict[int, float]) -> DataFrame:
     gamma = reduce(lambda c, t: c.when(F.col("trial") == t, F.lit(float(gammas[t]))), gammas, F)
     totals = nodes.groupBy("trial").agg(F.sum("k").alias("m2"))
     g = F.coalesce(F.try_divide(gamma, F.col("m2")), F.lit(0.0))
-    return nodes.join(totals, "trial").select("trial", "node", "k", "loop", g.alias("g"))
+    return nodes.join(totals, "trial").select("trial", "node", "k", "loop", g.alias("g"), "m2")
+
+
+def number_nodes(edges: DataFrame) -> DataFrame:
+    """(node, id): nodes numbered in their own order, so the smallest number is the smallest name."""
+    return ordered_prefix(nodes_of(edges), [F.col("node")], name="id")
+
+
+def numbered_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    side = lambda end: ids.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    ends = edges.join(side("src"), "src").join(side("dst"), "dst")
+    return ends.groupBy("trial", F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst")).agg(
+        F.sum("weight").alias("weight"))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -47,9 +61,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def neighbour_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Both directions of every edge with the node's pull on a community's total, g * k."""
-    pull = nodes.select("trial", "node", (F.col("g") * F.col("k")).alias("gk"))
-    return _both_ways(edges).join(pull, ["trial", "node"])
+    """(trial, node, near, weight, gk, scale): both directions of every edge, and each node next to itself.
+
+    ``gk`` is the node's pull on a community's total and ``scale`` turns a gain into steps.
+    """
+    pull = nodes.select("trial", "node", (F.col("g") * F.col("k")).alias("gk"),
+                        F.coalesce(F.try_divide(F.lit(1e15), F.col("m2")), F.lit(0.0)).alias("scale"))
+    itself = pull.select("trial", "node", F.col("node").alias("near"), F.lit(0.0).alias("weight"), "gk", "scale")
+    return _both_ways(edges).join(pull, ["trial", "node"]).unionByName(itself)
 
 
 def move_round(state: DataFrame, near: DataFrame, movable: Column) -> DataFrame:
@@ -57,40 +76,44 @@ def move_round(state: DataFrame, near: DataFrame, movable: Column) -> DataFrame:
 
     ``state``: trial, node, k, loop, g, best, com. The result adds the community's total,
     the node's weight into it, and ``proposal``. Neighbours carry their community's total
-    and size with them, so a round joins the edges once; candidates are summed per (node,
+    and size with them, so a round joins the edges once (a node is its own neighbour of
+    weight zero, which stands for staying); candidates are summed per (node,
     community) and the best is kept by a second aggregation, both combined before the
-    shuffle. Hubs are therefore never gathered.
+    shuffle. Hubs are therefore never gathered. All buffers are numbers, which keeps the
+    aggregations hash-based.
     """
     totals = state.groupBy("trial", "com").agg(
         F.sum("k").alias("tot"), F.count("*").alias("size"), F.min("node").alias("first"))
     placed = state.join(totals, ["trial", "com"])
-    theirs = placed.select("trial", F.col("node").alias("near"), "com", "tot", "size", "first")
-    own_row = F.struct("k", "loop", "g", "best")
+    mine = ["k", "loop", "g", "best"]
+    theirs = placed.withColumnRenamed("node", "near")
+    itself = F.col("node") == F.col("near")
     seen = near.join(theirs, ["trial", "near"]).select(
-        "trial", "node", "com", "weight", "gk", "tot", "size", "first",
-        F.lit(None).cast(placed.select(own_row.alias("o")).schema["o"].dataType).alias("own"))
-    stay = placed.select(
-        "trial", "node", "com", F.lit(0.0).alias("weight"), (F.col("g") * F.col("k")).alias("gk"), "tot", "size",
-        "first", own_row.alias("own"))
-    options = seen.unionByName(stay).groupBy("trial", "node", "com").agg(
-        F.sum("weight").alias("kin"), F.max("gk").alias("gk"), F.max("tot").alias("tot"),
-        F.max("size").alias("size"), F.max("first").alias("first"), F.max("own").alias("own"))
-    here = F.col("own").isNotNull()
-    gain = F.col("kin") - F.col("gk") * (F.col("tot") - F.when(here, F.col("own.k")).otherwise(0.0))
+        "trial", "node", "com", "weight", "gk", "scale", "tot", "size", "first",
+        *[F.when(itself, F.col(c)).alias(c) for c in mine])
+    options = seen.groupBy("trial", "node", "com").agg(
+        F.sum("weight").alias("kin"), *[F.max(c).alias(c) for c in ("gk", "scale", "tot", "size", "first", *mine)])
+    here = F.col("k").isNotNull()
+    options = options.withColumn(
+        "gain", F.col("kin") - F.col("gk") * (F.col("tot") - F.coalesce("k", F.lit(0.0))))
+    # Order of the candidates as one number: the gain in steps of 1e-15 of the graph's
+    # weight, then the smaller first member.
+    steps = F.round(F.col("gain") * F.col("scale")).cast("decimal(20,0)")
+    order = steps * F.lit(10**17).cast("decimal(18,0)") - F.col("first")
+    options = options.withColumn("order", F.when(~here, order))
     downwards = (F.col("size") > 1) | (F.col("first") < F.col("node"))
-    options = options.withColumn("gain", gain)
-    rank = F.struct((-F.col("gain")).alias("g"), F.col("first").alias("f"))
-    pick = F.struct("com", "gain")
+    own = lambda c: F.max(F.when(here, F.col(c))).alias(c)
     per_node = options.groupBy("trial", "node").agg(
-        F.max(F.when(here, F.struct("com", "gain", "kin", "tot", "size", "own"))).alias("now"),
-        F.min_by(pick, F.when(~here, rank)).alias("any"),
-        F.min_by(pick, F.when(~here & downwards, rank)).alias("down"))
-    better = F.when(F.col("now.size") == 1, F.col("down")).otherwise(F.col("any"))
-    moves = movable & (better["gain"] > F.col("now.gain") + EPSILON)
-    return per_node.select(
-        "trial", "node", "now.own.k", "now.own.loop", "now.own.g", "now.own.best", F.col("now.com").alias("com"),
-        F.col("now.kin").alias("kin"), F.col("now.tot").alias("tot"),
-        F.when(moves, better["com"]).otherwise(F.col("now.com")).alias("proposal"))
+        *[own(c) for c in ("com", "gain", "kin", "tot", "size", *mine)],
+        F.max_by("com", "order").alias("any_com"), F.max(F.when(~here, F.col("gain"))).alias("any_gain"),
+        F.max_by("com", F.when(downwards, F.col("order"))).alias("down_com"),
+        F.max(F.when(~here & downwards, F.col("gain"))).alias("down_gain"))
+    single = F.col("size") == 1
+    gain = F.when(single, F.col("down_gain")).otherwise(F.col("any_gain"))
+    target = F.when(single, F.col("down_com")).otherwise(F.col("any_com"))
+    moves = movable & (gain > F.col("gain") + EPSILON)
+    return per_node.select("trial", "node", *mine, "com", "kin", "tot",
+                           F.when(moves, target).otherwise(F.col("com")).alias("proposal"))
 
 
 def half(level: int, odd: set[int] | None = None) -> Column:
@@ -111,7 +134,7 @@ def _scores(table: DataFrame) -> dict[int, tuple[float, int]]:
 def _level(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None, level: int,
            max_rounds: int, min_gain: float) -> tuple[DataFrame, set[int]]:
     """(trial, node, best) after one level, and the trials in which something moved."""
-    nodes = cut(_start(edges, gammas))
+    nodes = cut(start_level(edges, gammas))
     near = cut(neighbour_table(edges, nodes))
     if initial is None:
         state = nodes.withColumn("com", F.col("node"))
@@ -180,9 +203,10 @@ def louvain_trials(edges: DataFrame, gammas: dict[int, float], initial: DataFram
     components over positive weights. ``initial`` (trial, node, community) seeds the first
     level. A community is named by its smallest node.
     """
-    edges = cut(edges.groupBy("trial", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(
-        F.sum("weight").alias("weight")))
+    ids = cut(number_nodes(edges))
+    edges = cut(numbered_edges(edges, ids))
     if initial is not None:
+        initial = initial.join(ids, "node").select("trial", "community", F.col("id").alias("node"))
         names = initial.groupBy("trial", "community").agg(F.min("node").alias("com"))
         initial = initial.join(names, ["trial", "community"]).select("trial", "node", "com")
     partition = None
@@ -202,8 +226,11 @@ def louvain_trials(edges: DataFrame, gammas: dict[int, float], initial: DataFram
         active = F.col("trial").isin(*gammas)
         edges = cut(contract(edges.filter(active), assigned.filter(active)))
     partition = cut(partition)
-    names = partition.groupBy("trial", "com").agg(F.min("node").alias("community"))
-    return partition.join(names, ["trial", "com"]).select("trial", "node", "community")
+    names = partition.groupBy("trial", "com").agg(F.min("node").alias("name"))
+    named = partition.join(names, ["trial", "com"])
+    return (named.join(ids.select(F.col("id").alias("node"), F.col("node").alias("member")), "node")
+            .join(ids.select(F.col("id").alias("name"), F.col("node").alias("community")), "name")
+            .select("trial", F.col("member").alias("node"), "community"))
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, initial: DataFrame | None = None, **limits) -> DataFrame:

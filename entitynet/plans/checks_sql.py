@@ -76,7 +76,7 @@ SELECT CAST((SELECT count(*) FROM ownership) AS BIGINT) AS n_rows, count(*) AS d
   count(*) FILTER (WHERE capital_pct = 0) AS zero_capital, count(*) FILTER (WHERE profit_pct = 0) AS zero_profit
 FROM (SELECT company, partner, capital_pct, profit_pct, count(*) AS n FROM ownership GROUP BY ALL)""", "ownership")
 check("ownership_totals", """
-SELECT company, round(sum(capital_pct), 4) AS capital, round(sum(profit_pct), 4) AS profit FROM clean GROUP BY company""",
+SELECT company, round(sum(capital_pct), 10) AS capital, round(sum(profit_pct), 10) AS profit FROM clean GROUP BY company""",
       "ownership", more=CLEAN)
 check("ownership_repeated_keys", """
 SELECT company, partner, count(*) AS n FROM clean GROUP BY 1, 2 HAVING count(*) > 1""", "ownership", more=CLEAN)
@@ -105,7 +105,7 @@ rep_layer AS (
   SELECT id AS src, rep AS dst, 1.0::DOUBLE AS weight FROM representative
   WHERE start_day < DATE '2001-01-01' AND (end_day IS NULL OR end_day > DATE '2000-01-01'))"""
 RELATIONS = ("ownership", "family", "accountant", "representative")
-check("ownership_layer", "SELECT src, dst, round(weight, 6) AS weight FROM own_layer", *RELATIONS, more=LAYERS)
+check("ownership_layer", "SELECT src, dst, round(weight, 10) AS weight FROM own_layer", *RELATIONS, more=LAYERS)
 check("family_layer", "SELECT * FROM fam_layer", *RELATIONS, more=LAYERS)
 check("accountant_layer", "SELECT * FROM acc_layer", *RELATIONS, more=LAYERS)
 check("representative_layer", "SELECT * FROM rep_layer", *RELATIONS, more=LAYERS)
@@ -155,7 +155,7 @@ pat AS (
     UNION SELECT id, CAST(trunc(wealth) AS BIGINT) FROM wealth_num WHERE wealth > 0)
   GROUP BY id)"""
 WEALTH_INPUTS = ("ownership", "wealth_text", "wealth_num", "known")
-check("known_wealth", "SELECT id, round(wealth, 4) AS wealth FROM pat", *WEALTH_INPUTS, more=KNOWN_WEALTH)
+check("known_wealth", "SELECT id, round(wealth, 6) AS wealth FROM pat", *WEALTH_INPUTS, more=KNOWN_WEALTH)
 
 
 def _rounds(n: int) -> str:
@@ -183,9 +183,9 @@ part AS (SELECT company AS id, sum(w) AS wealth FROM s{n - 1} GROUP BY 1 HAVING
 WEALTH = _rounds(10)
 check("wealth_propagated", "SELECT id, round(value, 4) AS value, iteration FROM done", *WEALTH_INPUTS, more=WEALTH)
 check("wealth_incomplete", """
-SELECT company, partner, round(pct, 6) AS pct, round(w, 4) AS wealth FROM s9""", *WEALTH_INPUTS, more=WEALTH)
+SELECT company, partner, round(pct, 10) AS pct, round(w, 4) AS wealth FROM s9""", *WEALTH_INPUTS, more=WEALTH)
 check("wealth_partial_by_group", """
-SELECT com, round(sum(wealth), 4) AS wealth FROM known JOIN part USING (id) GROUP BY com""", *WEALTH_INPUTS, more=WEALTH)
+SELECT com, round(sum(wealth), 2) AS wealth FROM known JOIN part USING (id) GROUP BY com""", *WEALTH_INPUTS, more=WEALTH)
 check("wealth_over_threshold", """
 SELECT count(*) FILTER (WHERE wealth > 8e6) AS n_over, count(*) AS n_rows, 'company' AS level
 FROM known JOIN part USING (id)
@@ -381,11 +381,11 @@ SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, 1.0::DOUBLE A
       *RELATIONS, more=LAYERS)
 check("edges_unweighted", f"SELECT src, dst, 1.0::DOUBLE AS weight FROM ({PLAIN})", *RELATIONS, more=LAYERS)
 check("edges_share", """
-SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(weight), 6) AS weight FROM own_layer GROUP BY 1, 2""",
+SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(weight), 10) AS weight FROM own_layer GROUP BY 1, 2""",
       *RELATIONS, more=LAYERS)
-check("edges_multilayer", "SELECT src, dst, round(weight, 6) AS weight, layer FROM edges", *RELATIONS, more=STACK)
+check("edges_multilayer", "SELECT src, dst, round(weight, 10) AS weight, layer FROM edges", *RELATIONS, more=STACK)
 check("edges_conflict_sum", """
-SELECT s.src, s.dst, round(sum(s.weight), 6) AS weight, max(e.layer) AS layer
+SELECT s.src, s.dst, round(sum(s.weight), 10) AS weight, max(e.layer) AS layer
 FROM stack s JOIN edges e ON s.src = e.src AND s.dst = e.dst GROUP BY 1, 2""", *RELATIONS, more=STACK)
 FLAGS = LAYERS + f""",
 stack AS ({_stack(["ownership", "accountant", "representative", "family"])}),
@@ -393,7 +393,7 @@ flagged AS MATERIALIZED (
   SELECT src, dst, first(weight ORDER BY rank DESC, weight DESC) AS weight, bool_or(layer = 'family') AS f,
     bool_or(layer = 'representative') AS r, bool_or(layer = 'accountant') AS a FROM stack GROUP BY 1, 2)"""
 check("edges_reweighted", """
-SELECT src, dst, round(CASE WHEN a THEN 0.596811 WHEN r THEN 0.50927 WHEN f THEN 0.869142 ELSE weight END, 6) AS weight
+SELECT src, dst, round(CASE WHEN a THEN 0.596811 WHEN r THEN 0.50927 WHEN f THEN 0.869142 ELSE weight END, 10) AS weight
 FROM flagged""", *RELATIONS, more=FLAGS)
 GRAPH = STACK + """,
 deg AS MATERIALIZED (
@@ -408,14 +408,14 @@ sub_nodes AS (SELECT src AS node FROM sub UNION SELECT dst FROM sub)"""
 G = (*RELATIONS, "known")
 check("degree_centrality", """
 SELECT node, degree, round(degree / ((SELECT count(*) FROM deg) - 1), 12) AS centrality FROM deg""", *G, more=GRAPH)
-check("node_strength", "SELECT node, degree, round(strength, 6) AS strength FROM deg", *G, more=GRAPH)
+check("node_strength", "SELECT node, degree, round(strength, 10) AS strength FROM deg", *G, more=GRAPH)
 check("top_central", "SELECT node, degree FROM central", *G, more=GRAPH)
-check("induced_subgraph", "SELECT src, dst, round(weight, 6) AS weight, layer FROM sub", *G, more=GRAPH)
+check("induced_subgraph", "SELECT src, dst, round(weight, 10) AS weight, layer FROM sub", *G, more=GRAPH)
 check("non_isolated", "SELECT node FROM sub_nodes", *G, more=GRAPH)
 check("seed_membership", """
 SELECT node, coalesce(min(com), '0') AS com FROM sub_nodes LEFT JOIN known ON node = id GROUP BY node""", *G, more=GRAPH)
 check("layer_rows_in_sample", """
-SELECT src, dst, round(weight, 6) AS weight FROM own_layer o
+SELECT src, dst, round(weight, 10) AS weight FROM own_layer o
 WHERE EXISTS (SELECT 1 FROM sub s WHERE s.src = least(o.src, o.dst) AND s.dst = greatest(o.src, o.dst))""", *G, more=GRAPH)
 check("stratified_sample", """
 SELECT src, dst, layer FROM edges
@@ -452,9 +452,9 @@ SELECT round((SELECT sum(weight) FROM edges e JOIN prior a ON e.src = a.node JOI
 FROM (SELECT community, sum(strength) AS d FROM deg JOIN prior USING (node) GROUP BY 1),
      (SELECT sum(strength) AS total FROM deg)""", *G, more=PRIOR)
 check("modularity_sweep", """
-SELECT resolution, round(max(l) / (max(total) / 2) - sum(pow(d / total, 2)), 9) AS modularity
+SELECT resolution, round(coalesce(max(l), 0) / (max(total) / 2) - sum(pow(d / total, 2)), 9) AS modularity
 FROM (SELECT resolution, community, sum(w) AS d FROM ends JOIN partitions USING (node) GROUP BY 1, 2)
-JOIN (SELECT a.resolution, sum(e.w) AS l FROM fe e JOIN partitions a ON e.src = a.node
+LEFT JOIN (SELECT a.resolution, sum(e.w) AS l FROM fe e JOIN partitions a ON e.src = a.node
       JOIN partitions b ON e.dst = b.node AND a.resolution = b.resolution AND a.community = b.community
       GROUP BY 1) USING (resolution),
   (SELECT sum(w) AS total FROM ends)
@@ -511,8 +511,8 @@ SELECT id, com_inicial, label FROM node_groups LEFT JOIN lab ON id = node""", *A
 # --- community detection ----------------------------------------------------------------
 
 check("louvain_move_round", """
-SELECT node, CASE WHEN substr(md5(node || '|0'), 1, 1) < '8' THEN coalesce(best, node) ELSE node END AS proposal,
-  0.0::DOUBLE AS kin, round(strength, 6) AS tot
+SELECT node, CASE WHEN substr(md5((row_number() OVER (ORDER BY node) - 1) || '|0'), 1, 1) < '8' THEN coalesce(best, node) ELSE node END AS proposal,
+  0.0::DOUBLE AS kin, round(strength, 10) AS tot
 FROM deg LEFT JOIN (
   SELECT a AS node, b AS best FROM (
     SELECT x.a, x.b, x.weight - ka.strength * kb.strength / (SELECT sum(strength) FROM deg) AS gain
@@ -527,7 +527,7 @@ SELECT 0::BIGINT AS communities_across_components, count(*) AS labelled_nodes, c
 # --- tuning -----------------------------------------------------------------------------
 
 check("trial_edges", """
-SELECT CAST(trial AS INTEGER) AS trial, src, dst, round(CASE WHEN a THEN wa WHEN r THEN wr WHEN f THEN wf ELSE weight END, 6) AS weight
+SELECT CAST(trial AS INTEGER) AS trial, src, dst, round(CASE WHEN a THEN wa WHEN r THEN wr WHEN f THEN wf ELSE weight END, 10) AS weight
 FROM flagged, (VALUES (0, 1.0, 1.0, 0.25), (1, 0.869142, 0.50927, 0.596811), (2, 0.3, 0.9, 0.5)) t(trial, wf, wr, wa)
 WHERE src IN (SELECT node FROM central) AND dst IN (SELECT node FROM central)""", *G,
       more=GRAPH + "," + FLAGS[len(LAYERS) + 1:].replace("stack", "stack2"))

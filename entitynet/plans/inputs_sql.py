@@ -10,9 +10,9 @@ def _view(name: str, sql: str, needs: list[str] | None = None) -> None:
 
 
 _view("ownership", """
-SELECT 'O'||l_orderkey AS company, 'S'||l_suppkey AS partner, round(l_discount*1000) AS capital_pct,
-       round(l_tax*1000) AS profit_pct, 202300 AS period, 'line' AS source FROM lineitem
-UNION ALL SELECT 'O'||l_orderkey, 'S'||l_suppkey, round(l_discount*1000), round(l_tax*1000), 202300, 'line'
+SELECT 'O'||l_orderkey AS company, 'S'||l_suppkey AS partner, l_extendedprice*l_discount/100 AS capital_pct,
+       l_extendedprice*l_tax/100 AS profit_pct, 202300 AS period, 'line' AS source FROM lineitem
+UNION ALL SELECT 'O'||l_orderkey, 'S'||l_suppkey, l_extendedprice*l_discount/100, l_extendedprice*l_tax/100, 202300, 'line'
   FROM lineitem WHERE l_returnflag = 'R'
 UNION ALL SELECT 'S'||s_suppkey, 'H'||s_nationkey, 100.0::DOUBLE, 100.0::DOUBLE, 202300, 'holding' FROM supplier
 UNION ALL SELECT 'C'||o_custkey, 'O'||o_orderkey, o_totalprice/10000, o_totalprice/10000, 202300, 'order' FROM orders
@@ -41,10 +41,10 @@ UNION ALL SELECT 'C'||xor(c_custkey, 1), 'C'||c_custkey, DATE '1999-01-01', NULL
   WHERE c_mktsegment = 'FURNITURE'
 """)
 _view("raw_groups", """
-SELECT 'C'||c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS com FROM customer WHERE c_mktsegment <> 'BUILDING'
-UNION ALL SELECT 'C'||c_custkey, CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'FURNITURE'
+SELECT 'C'||c_custkey AS id, CAST(c_nationkey + 1 AS VARCHAR) AS com FROM customer WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT 'C'||c_custkey, CAST(c_nationkey + 1 AS VARCHAR) FROM customer WHERE c_mktsegment = 'FURNITURE'
 UNION ALL SELECT 'C'||c_custkey, '99' FROM customer WHERE c_acctbal > 9000
-UNION ALL SELECT 'S'||s_suppkey, CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0
+UNION ALL SELECT 'S'||s_suppkey, CAST(s_nationkey + 1 AS VARCHAR) FROM supplier WHERE s_acctbal > 0
 """)
 _view("known", "SELECT DISTINCT id, com FROM raw_groups", ["raw_groups"])
 _view("arcs", """

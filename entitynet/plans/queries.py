@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 MEASURES = ["income", "tax", "zone"]
 RESOLUTIONS = [0.0, 0.1, 0.5, 1.0]
 SAMPLE = 0.1
+QUICK = {"max_rounds": 6, "max_levels": 3}  # of the search: how far one candidate is refined, not how much data it sees
 TRIALS = [(1.0, 1.0, 0.25, 0.2), (0.869142, 0.50927, 0.596811, 0.109257), (0.3, 0.9, 0.5, 0.4)]
 
 _shared: dict[tuple, DataFrame] = {}
@@ -43,8 +44,8 @@ def r6(name: str):
     return F.round(F.col(name), 6).alias(name)
 
 
-def r4(name: str):
-    return F.round(F.col(name), 4).alias(name)
+def r10(name: str):
+    return F.round(F.col(name), 10).alias(name)
 
 
 # --- known groups and flows -------------------------------------------------------------
@@ -114,7 +115,7 @@ def ownership_report(i):
 
 @query
 def ownership_totals(i):
-    return clean.ownership_totals(clean.clean_ownership(i.ownership())).select("company", r4("capital"), r4("profit"))
+    return clean.ownership_totals(clean.clean_ownership(i.ownership())).select("company", r10("capital"), r10("profit"))
 
 
 @query
@@ -141,7 +142,7 @@ def id_prefix(i):
 
 @query
 def ownership_layer(i):
-    return layers.ownership_layer(i.ownership()).select("src", "dst", r6("weight"))
+    return layers.ownership_layer(i.ownership()).select("src", "dst", r10("weight"))
 
 
 @query
@@ -200,7 +201,7 @@ def known_wealth_of(i: Inputs) -> DataFrame:
 
 @query
 def known_wealth(i):
-    return known_wealth_of(i).select("id", r4("wealth"))
+    return known_wealth_of(i).select("id", r6("wealth"))
 
 
 @shared
@@ -215,18 +216,18 @@ def wealth_relations(i):
 
 @query
 def wealth_propagated(i):
-    return wealth_complete(i).select("id", r4("value"), "iteration")
+    return wealth_complete(i).select("id", F.round("value", 4).alias("value"), "iteration")
 
 
 @query
 def wealth_incomplete(i):
-    return wealth_relations(i).select("company", "partner", r6("pct"), r4("wealth"))
+    return wealth_relations(i).select("company", "partner", r10("pct"), F.round("wealth", 4).alias("wealth"))
 
 
 @query
 def wealth_partial_by_group(i):
     members = profiles.attach(groups(i), propagation.partial_wealth(wealth_relations(i)))
-    return stats.group_totals(members, "com", "wealth").select("com", r4("wealth"))
+    return stats.group_totals(members, "com", "wealth").select("com", F.round("wealth", 2).alias("wealth"))
 
 
 @query
@@ -242,12 +243,12 @@ def wealth_over_threshold(i):
 @query
 def wealth_describe(i):
     return stats.describe(wealth_complete(i), "value").select("count", *[
-        r4(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+        F.round(c, 4).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
 @query
 def wealth_of_groups(i):
-    return profiles.attach(groups(i), wealth_complete(i)).select("id", "com", r4("value"), "iteration")
+    return profiles.attach(groups(i), wealth_complete(i)).select("id", "com", F.round("value", 4).alias("value"), "iteration")
 
 
 # --- workers ----------------------------------------------------------------------------
@@ -368,7 +369,7 @@ def group_total_histogram(i):
     totals = _plain(stats.group_totals(profiles.attach(groups(i), i.arcs().withColumnRenamed("emitter", "id")),
                                        "com", "amount"), "amount")
     return stats.histogram(stats.iqr_filter(totals, "amount"), "amount", 10).select(
-        "bin", r4("lower"), r4("upper"), "n")
+        "bin", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"), "n")
 
 
 @query
@@ -465,7 +466,7 @@ def edges_unweighted(i):
 
 @query
 def edges_share(i):
-    return layers.build_edges({"ownership": relation_layers(i)["ownership"]}).select("src", "dst", r6("weight"))
+    return layers.build_edges({"ownership": relation_layers(i)["ownership"]}).select("src", "dst", r10("weight"))
 
 
 def final_edges(i: Inputs) -> DataFrame:
@@ -479,18 +480,18 @@ def edges(i):
 
 @query
 def edges_multilayer(i):
-    return final_edges(i).select("src", "dst", r6("weight"), "layer")
+    return final_edges(i).select("src", "dst", r10("weight"), "layer")
 
 
 @query
 def edges_conflict_sum(i):
-    return layers.build_edges(relation_layers(i), on_conflict="sum").select("src", "dst", r6("weight"), "layer")
+    return layers.build_edges(relation_layers(i), on_conflict="sum").select("src", "dst", r10("weight"), "layer")
 
 
 @query
 def edges_reweighted(i):
     return layers.reweight(layers.build_flagged_edges(relation_layers(i)), 0.869142, 0.50927, 0.596811).select(
-        "src", "dst", r6("weight"))
+        "src", "dst", r10("weight"))
 
 
 @query
@@ -500,7 +501,7 @@ def degree_centrality(i):
 
 @query
 def node_strength(i):
-    return graph.degrees(final_edges(i)).select("node", "degree", r6("strength"))
+    return graph.degrees(final_edges(i)).select("node", "degree", r10("strength"))
 
 
 @query
@@ -515,7 +516,7 @@ def sample_nodes(i):
 
 @query
 def induced_subgraph(i):
-    return graph.induced_subgraph(edges(i), sample_nodes(i)).select("src", "dst", r6("weight"), "layer")
+    return graph.induced_subgraph(edges(i), sample_nodes(i)).select("src", "dst", r10("weight"), "layer")
 
 
 @query
@@ -531,7 +532,7 @@ def seed_membership(i):
 @query
 def layer_rows_in_sample(i):
     sample = graph.induced_subgraph(edges(i), sample_nodes(i))
-    return layers.edges_of_graph(relation_layers(i)["ownership"], sample).select("src", "dst", r6("weight"))
+    return layers.edges_of_graph(relation_layers(i)["ownership"], sample).select("src", "dst", r10("weight"))
 
 
 @query
@@ -630,10 +631,14 @@ def communities_fixed(i):
 def louvain_move_round(i):
     """One synchronous round from single nodes, resolution 1."""
     one = edges(i).select(F.lit(0).alias("trial"), "src", "dst", "weight")
-    start = cut(louvain._start(one, {0: 1.0}))
-    state = start.withColumn("com", F.col("node")).withColumn("best", F.col("node"))
-    moved = louvain.move_round(state, louvain.neighbour_table(one, start), louvain.half(0))
-    return moved.select("node", "proposal", r6("kin"), r6("tot"))
+    ids = cut(louvain.number_nodes(one))
+    numbered = cut(louvain.numbered_edges(one, ids))
+    start = cut(louvain.start_level(numbered, {0: 1.0}))
+    state = start.withColumns({"com": F.col("node"), "best": F.col("node")})
+    moved = louvain.move_round(state, louvain.neighbour_table(numbered, start), louvain.half(0))
+    name = lambda col: ids.select(F.col("id").alias(col), F.col("node").alias(f"{col}_name"))
+    return moved.join(name("node"), "node").join(name("proposal"), "proposal").select(
+        F.col("node_name").alias("node"), F.col("proposal_name").alias("proposal"), r10("kin"), r10("tot"))
 
 
 @shared
@@ -722,7 +727,7 @@ def flagged_sample(i):
 
 @query
 def trial_edges(i):
-    return tuning.trial_edges(flagged_sample(i), TRIALS).select("trial", "src", "dst", r6("weight"))
+    return tuning.trial_edges(flagged_sample(i), TRIALS).select("trial", "src", "dst", r10("weight"))
 
 
 @shared
@@ -737,12 +742,12 @@ def trial_scores(i):
 
 @query
 def weight_search(i):
-    return tuning.search(flagged_sample(i), groups(i), generations=1, population=4)
+    return tuning.search(flagged_sample(i), groups(i), generations=1, population=4, **QUICK)
 
 
 @query
 def weight_grid(i):
-    return tuning.grid_search(flagged_sample(i), groups(i), TRIALS[0], [[0.5, 1.0], [], [0.5], [0.4]])
+    return tuning.grid_search(flagged_sample(i), groups(i), TRIALS[0], [[0.5, 1.0], [], [0.5], [0.4]], **QUICK)
 
 
 def partition_log(i: Inputs) -> DataFrame:
@@ -758,13 +763,22 @@ def best_trial(i):
     return tuning.best_trial(partition_log(i))
 
 
+_final: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def final_run(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    key = (i.spark.sparkContext.applicationId, i.sf_dir)
+    if key not in _final:
+        labels, scores = tuning.final_partition(i.spark, trial_log(i), relation_layers(i), groups(i))
+        _final[key] = cut(labels), scores
+    return _final[key]
+
+
 @query
 def final_partition(i):
-    labels, _ = tuning.final_partition(i.spark, trial_log(i), relation_layers(i), groups(i))
-    return labels
+    return final_run(i)[0]
 
 
 @query
 def final_scores(i):
-    _, scores = tuning.final_partition(i.spark, trial_log(i), relation_layers(i), groups(i))
-    return scores
+    return final_run(i)[1]

@@ -51,7 +51,8 @@ class Inputs:
         line = self.table("lineitem")
         lines = [
             level(part, _id("O", "l_orderkey"), _id("S", "l_suppkey"),
-                  F.round(F.col("l_discount") * 1000), F.round(F.col("l_tax") * 1000), "line")
+                  F.col("l_extendedprice") * F.col("l_discount") / 100,
+                  F.col("l_extendedprice") * F.col("l_tax") / 100, "line")
             for part in (line, line.filter(F.col("l_returnflag") == "R"))
         ]
         holdings = level(self.table("supplier"), _id("S", "s_suppkey"), _id("H", "s_nationkey"),
@@ -116,12 +117,12 @@ class Inputs:
         s = self.table("supplier")
         labelled = c.filter(F.col("c_mktsegment") != "BUILDING")
         parts = [
-            labelled.select(_id("C", "c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("com")),
+            labelled.select(_id("C", "c_custkey").alias("id"), (F.col("c_nationkey") + 1).cast("string").alias("com")),
             labelled.filter(F.col("c_mktsegment") == "FURNITURE")
-            .select(_id("C", "c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("com")),
+            .select(_id("C", "c_custkey").alias("id"), (F.col("c_nationkey") + 1).cast("string").alias("com")),
             c.filter(F.col("c_acctbal") > 9000).select(_id("C", "c_custkey").alias("id"), F.lit("99").alias("com")),
             s.filter(F.col("s_acctbal") > 0)
-            .select(_id("S", "s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("com")),
+            .select(_id("S", "s_suppkey").alias("id"), (F.col("s_nationkey") + 1).cast("string").alias("com")),
         ]
         return reduce(DataFrame.unionByName, parts)
 
