@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
-from entitynet.session import cut
+from entitynet.session import LARGE, cut
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -82,9 +82,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        lowest = cut(lowest) if size > LARGE else lowest
         large = both.join(lowest, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
+        large = cut(large) if size > LARGE else large
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = cut(lowest) if size > LARGE else lowest
         small = large.join(lowest, "u")
         small = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select("u", F.col("m").alias("v"))).distinct()

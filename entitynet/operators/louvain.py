@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
 from entitynet.operators.graph import nodes_of
-from entitynet.session import cut
+from entitynet.session import LARGE, cut
 
 MIN_GAIN = 1e-3
 PATIENCE = 2
-MAX_ROUNDS = 16
+MAX_ROUNDS = 12
 MAX_LEVELS = 40
 EPSILON = 1e-12
 
@@ -71,7 +71,7 @@ def neighbour_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _both_ways(edges).join(pull, ["trial", "node"]).unionByName(itself)
 
 
-def move_round(state: DataFrame, near: DataFrame, movable: Column) -> DataFrame:
+def move_round(state: DataFrame, near: DataFrame, movable: Column, large: bool = False) -> DataFrame:
     """Evaluate the communities ``com`` and propose every movable node's best move.
 
     ``state``: trial, node, k, loop, g, best, com. The result adds the community's total,
@@ -80,10 +80,13 @@ def move_round(state: DataFrame, near: DataFrame, movable: Column) -> DataFrame:
     weight zero, which stands for staying); candidates are summed per (node,
     community) and the best is kept by a second aggregation, both combined before the
     shuffle. Hubs are therefore never gathered. All buffers are numbers, which keeps the
-    aggregations hash-based.
+    aggregations hash-based. ``large`` writes the community totals first, so that the
+    nodes of a giant community can be split over tasks when they look them up.
     """
     totals = state.groupBy("trial", "com").agg(
         F.sum("k").alias("tot"), F.count("*").alias("size"), F.min("node").alias("first"))
+    if large:
+        totals = cut(totals)
     placed = state.join(totals, ["trial", "com"])
     mine = ["k", "loop", "g", "best"]
     theirs = placed.withColumnRenamed("node", "near")
@@ -142,6 +145,7 @@ def _level(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None
         state = nodes.join(initial, ["trial", "node"], "left").withColumn("com", F.coalesce("com", "node"))
     state = state.withColumn("best", F.col("com"))
     active, probing = set(gammas), set()
+    large = nodes.count() > LARGE
     idle = dict.fromkeys(gammas, 0)
     odd: set[int] = set()
     best_q: dict[int, float] = {}
@@ -149,7 +153,7 @@ def _level(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None
     done: list[DataFrame] = []
     for turn in range(max_rounds):
         everyone = turn == 0
-        table = cut(move_round(state, near, F.lit(True) if everyone else half(level, odd)))
+        table = cut(move_round(state, near, F.lit(True) if everyone else half(level, odd), large))
         scores = _scores(table)
         accepted, next_probing, finished = set(), set(), set()
         for trial in sorted(active):
@@ -226,7 +230,7 @@ def louvain_trials(edges: DataFrame, gammas: dict[int, float], initial: DataFram
         active = F.col("trial").isin(*gammas)
         edges = cut(contract(edges.filter(active), assigned.filter(active)))
     partition = cut(partition)
-    names = partition.groupBy("trial", "com").agg(F.min("node").alias("name"))
+    names = cut(partition.groupBy("trial", "com").agg(F.min("node").alias("name")))
     named = partition.join(names, ["trial", "com"])
     return (named.join(ids.select(F.col("id").alias("node"), F.col("node").alias("member")), "node")
             .join(ids.select(F.col("id").alias("name"), F.col("node").alias("community")), "name")

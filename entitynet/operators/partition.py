@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
 from entitynet.functions.scalars import log_factorial
+from entitynet.session import cut
 
 
 def modularity(edges: DataFrame, partition: DataFrame, gamma: float = 1.0, by: list[str] | None = None) -> DataFrame:
@@ -129,7 +130,7 @@ def community_labels(partition: DataFrame) -> DataFrame:
     """(node, label): communities numbered from 1 by falling size, then smallest node."""
     sizes = partition.groupBy("community").agg(F.count("*").alias("members"), F.min("node").alias("first"))
     numbered = ordered_prefix(sizes, [F.desc("members"), F.asc("first")], name="position")
-    numbers = numbered.select("community", (F.col("position") + 1).alias("label"))
+    numbers = cut(numbered.select("community", (F.col("position") + 1).alias("label")))
     return partition.join(numbers, "community").select("node", "label")
 
 

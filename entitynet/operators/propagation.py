@@ -28,7 +28,7 @@ def _relations(ownership: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _propagate(ownership: DataFrame, known: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    relations = cut(_relations(ownership, known))
+    relations = cut(_relations(ownership, cut(known)))
     waiting = cut(relations.filter(F.col("seed").isNull()).select("company", "partner", "pct"))
     # Per company: total share, weighted wealth so far, and partners still unknown.
     state = cut(relations.groupBy("company").agg(

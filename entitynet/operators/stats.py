@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
+from entitynet.session import cut
 
 # Whisker length of the outlier rule, and points of a density curve.
 WHISKER = 1.5
@@ -23,7 +24,7 @@ def quantiles(df: DataFrame, col: str, qs: dict[str, float], by: list[str] | Non
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
     placed = ordered_prefix(counts, [F.col(col)], F.col("_n"), by, "_before")
     if by:
-        sized = placed.join(placed.groupBy(*by).agg(F.sum("_n").alias("_size")), by)
+        sized = placed.join(cut(counts.groupBy(*by).agg(F.sum("_n").alias("_size"))), by)
     else:
         sized = placed.withColumn("_size", placed.agg(F.sum("_n")).scalar())
     picks = []
@@ -51,7 +52,7 @@ def iqr_bounds(df: DataFrame, col: str, k: float = WHISKER, by: list[str] | None
 def _flag_inside(df: DataFrame, col: str, k: float, by: list[str] | None) -> DataFrame:
     bounds = iqr_bounds(df, col, k, by)
     if by:
-        flagged = df.join(bounds, by)
+        flagged = df.join(cut(bounds), by)
         lower, upper = F.col("lower"), F.col("upper")
     else:
         flagged = df.withColumn("_b", bounds.select(F.struct("lower", "upper")).scalar())

@@ -50,13 +50,14 @@ def r10(name: str):
 
 # --- known groups and flows -------------------------------------------------------------
 
-def groups(i: Inputs) -> DataFrame:
+@shared
+def groups(i):
     return clean.known_groups(i.groups())
 
 
 @query
 def known_groups(i):
-    return groups(i)
+    return clean.known_groups(i.groups())
 
 
 @query

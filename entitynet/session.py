@@ -43,6 +43,11 @@ def _run_folder(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
+# Rows from which an aggregate is written out before a join, so that both sides of the
+# join are plain shuffles: only then can adaptive execution split a skewed key.
+LARGE = 1_000_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written table.
 
