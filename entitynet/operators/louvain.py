@@ -30,7 +30,7 @@ EPSILON = 1e-12
 
 
 def start_level(edges: DataFrame, gammas: dict[int, float]) -> DataFrame:
-    """(trial, node, k, loop, g, m2): strength, self-loop weight, resolution / total strength, total."""
+    """(trial, node, k, loop, g): strength, self-loop weight and resolution / total strength."""
     ends = edges.select(
         "trial", F.explode(F.array("src", "dst")).alias("node"), "weight",
         F.when(F.col("src") == F.col("dst"), F.col("weight") / 2).otherwise(0.0).alias("half"))
@@ -38,7 +38,7 @@ def start_level(edges: DataFrame, gammas: dict[int, float]) -> DataFrame:
     gamma = reduce(lambda c, t: c.when(F.col("trial") == t, F.lit(float(gammas[t]))), gammas, F)
     totals = nodes.groupBy("trial").agg(F.sum("k").alias("m2"))
     g = F.coalesce(F.try_divide(gamma, F.col("m2")), F.lit(0.0))
-    return nodes.join(totals, "trial").select("trial", "node", "k", "loop", g.alias("g"), "m2")
+    return nodes.join(totals, "trial").select("trial", "node", "k", "loop", g.alias("g"))
 
 
 def number_nodes(edges: DataFrame) -> DataFrame:
@@ -63,10 +63,11 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def neighbour_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(trial, node, near, weight, gk, scale): both directions of every edge, and each node next to itself.
 
-    ``gk`` is the node's pull on a community's total and ``scale`` turns a gain into steps.
+    ``gk`` is the node's pull on a community's total and ``scale`` turns a gain into
+    steps.
     """
     pull = nodes.select("trial", "node", (F.col("g") * F.col("k")).alias("gk"),
-                        F.coalesce(F.try_divide(F.lit(1e15), F.col("m2")), F.lit(0.0)).alias("scale"))
+                        F.coalesce(F.try_divide(F.lit(float(2**29)), F.col("k")), F.lit(0.0)).alias("scale"))
     itself = pull.select("trial", "node", F.col("node").alias("near"), F.lit(0.0).alias("weight"), "gk", "scale")
     return _both_ways(edges).join(pull, ["trial", "node"]).unionByName(itself)
 
@@ -99,10 +100,10 @@ def move_round(state: DataFrame, near: DataFrame, movable: Column, large: bool =
     here = F.col("k").isNotNull()
     options = options.withColumn(
         "gain", F.col("kin") - F.col("gk") * (F.col("tot") - F.coalesce("k", F.lit(0.0))))
-    # Order of the candidates as one number: the gain in steps of 1e-15 of the graph's
-    # weight, then the smaller first member.
-    steps = F.round(F.col("gain") * F.col("scale")).cast("decimal(20,0)")
-    order = steps * F.lit(10**17).cast("decimal(18,0)") - F.col("first")
+    # Order of a node's candidates as one BIGINT: the gain in steps of 2^-29 of the node's
+    # strength, then the smaller first member.
+    steps = F.floor(F.greatest(F.col("gain") * F.col("scale"), F.lit(-float(2**29))))
+    order = steps * F.lit(2**33) + (F.lit(2**33 - 1) - F.col("first") % F.lit(2**33))
     options = options.withColumn("order", F.when(~here, order))
     downwards = (F.col("size") > 1) | (F.col("first") < F.col("node"))
     own = lambda c: F.max(F.when(here, F.col(c))).alias(c)
