@@ -181,9 +181,9 @@ part AS (SELECT company AS id, sum(w) AS wealth FROM s{n - 1} GROUP BY 1 HAVING
 
 
 WEALTH = _rounds(10)
-check("wealth_propagated", "SELECT id, round(value, 4) AS value, iteration FROM done", *WEALTH_INPUTS, more=WEALTH)
+check("wealth_propagated", "SELECT id, round(value, 2) AS value, iteration FROM done", *WEALTH_INPUTS, more=WEALTH)
 check("wealth_incomplete", """
-SELECT company, partner, round(pct, 10) AS pct, round(w, 4) AS wealth FROM s9""", *WEALTH_INPUTS, more=WEALTH)
+SELECT company, partner, round(pct, 10) AS pct, round(w, 2) AS wealth FROM s9""", *WEALTH_INPUTS, more=WEALTH)
 check("wealth_partial_by_group", """
 SELECT com, round(sum(wealth), 2) AS wealth FROM known JOIN part USING (id) GROUP BY com""", *WEALTH_INPUTS, more=WEALTH)
 check("wealth_over_threshold", """
@@ -197,7 +197,7 @@ SELECT count(value) AS count, round(avg(value), 4) AS mean, round(stddev_samp(va
   round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS q25, round(quantile_cont(value, 0.5), 4) AS q50,
   round(quantile_cont(value, 0.75), 4) AS q75, round(max(value), 4) AS max FROM done""", *WEALTH_INPUTS, more=WEALTH)
 check("wealth_of_groups", """
-SELECT id, com, round(value, 4) AS value, iteration FROM known JOIN done USING (id)""", *WEALTH_INPUTS, more=WEALTH)
+SELECT id, com, round(value, 2) AS value, iteration FROM known JOIN done USING (id)""", *WEALTH_INPUTS, more=WEALTH)
 
 # --- workers ----------------------------------------------------------------------------
 

@@ -48,6 +48,11 @@ def r10(name: str):
     return F.round(F.col(name), 10).alias(name)
 
 
+def cents(name: str):
+    """Money to two places: what is left after the order of summation, which engines do not share."""
+    return F.round(F.col(name), 2).alias(name)
+
+
 # --- known groups and flows -------------------------------------------------------------
 
 @shared
@@ -217,18 +222,18 @@ def wealth_relations(i):
 
 @query
 def wealth_propagated(i):
-    return wealth_complete(i).select("id", F.round("value", 4).alias("value"), "iteration")
+    return wealth_complete(i).select("id", cents("value"), "iteration")
 
 
 @query
 def wealth_incomplete(i):
-    return wealth_relations(i).select("company", "partner", r10("pct"), F.round("wealth", 4).alias("wealth"))
+    return wealth_relations(i).select("company", "partner", r10("pct"), cents("wealth"))
 
 
 @query
 def wealth_partial_by_group(i):
     members = profiles.attach(groups(i), propagation.partial_wealth(wealth_relations(i)))
-    return stats.group_totals(members, "com", "wealth").select("com", F.round("wealth", 2).alias("wealth"))
+    return stats.group_totals(members, "com", "wealth").select("com", cents("wealth"))
 
 
 @query
@@ -249,7 +254,7 @@ def wealth_describe(i):
 
 @query
 def wealth_of_groups(i):
-    return profiles.attach(groups(i), wealth_complete(i)).select("id", "com", F.round("value", 4).alias("value"), "iteration")
+    return profiles.attach(groups(i), wealth_complete(i)).select("id", "com", cents("value"), "iteration")
 
 
 # --- workers ----------------------------------------------------------------------------
