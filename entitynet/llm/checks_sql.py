@@ -3,3 +3,35 @@
 from __future__ import annotations
 
 CHECKS: dict[str, str] = {}
+
+CHECKS["op2_phrase_index"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words, row_number() OVER () AS r
+  FROM documents),
+i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM benchmark),
+starts AS (SELECT item, words, least(len(words), 10) AS n, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS k FROM i WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item, n, words[k:k + n - 1] AS w FROM starts),
+places AS (SELECT r, words, unnest(range(1, len(words) + 1)) AS p FROM d),
+grams AS (SELECT r, p, s.n, words[p:p + s.n - 1] AS w FROM places, (SELECT DISTINCT n FROM windows) s WHERE p + s.n - 1 <= len(words)),
+found AS (SELECT g.r, g.p, g.n, windows.item FROM grams g JOIN windows ON g.w = windows.w AND g.n = windows.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256 FROM found GROUP BY r),
+terms AS (SELECT DISTINCT item, w, unnest(list_distinct(w)) AS t, len(list_distinct(w)) AS need FROM windows),
+wid AS (SELECT *, dense_rank() OVER (ORDER BY item, w) AS window_id FROM terms),
+rare AS (SELECT DISTINCT ON (window_id) window_id, t FROM wid JOIN (SELECT t, count(*) AS df FROM
+  (SELECT words[p] AS t FROM places) GROUP BY t) USING (t) ORDER BY window_id, df, t),
+near AS (
+  SELECT DISTINCT d.r, wid.item
+  FROM rare JOIN (SELECT r, p, words[p] AS t FROM places) a USING (t) JOIN d USING (r) JOIN wid USING (window_id),
+    (SELECT unnest(range(0, 20)) AS back) s
+  WHERE list_contains(d.words[greatest(a.p - back, 1):a.p - back + 19], wid.t) AND a.p - back >= 1 - 19
+  GROUP BY d.r, wid.item, wid.window_id, a.p, s.back, wid.need HAVING count(DISTINCT wid.t) = wid.need),
+n AS (SELECT r, count(DISTINCT item) AS n_near FROM near GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN n USING (r)
+"""
