@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from entitynet.llm import decontaminate, sharding, simhash
+from entitynet.llm import decontaminate, packing, sharding, simhash
 from entitynet.llm.tables import read
 
+#: The tokenizer of the packed sequences, a file that every executor has.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -30,3 +34,8 @@ def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
