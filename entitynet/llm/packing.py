@@ -145,7 +145,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, seed:
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
         bins, offsets = first_fit(frame["length"].to_numpy(), length)
-        return frame.assign(sequence_id=(frame["_group"] << 32) + bins, offset=offsets).drop(columns=["_group", "_row"])
+        return frame.assign(sequence_id=frame["_group"] * 2**32 + bins, offset=offsets).drop(columns=["_group", "_row"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema if f.name != "_row")
     dealt = made.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(groups)))
