@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from entitynet.llm import decontaminate, packing, sharding, simhash
+from entitynet.llm import decontaminate, langid, packing, sharding, simhash
 from entitynet.llm.tables import read
 
 #: The tokenizer of the packed sequences, a file that every executor has.
@@ -36,6 +36,11 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
