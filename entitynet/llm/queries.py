@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from entitynet.llm import decontaminate, langid, packing, sharding, simhash, toxicity
+from entitynet.llm import ann, decontaminate, langid, packing, sharding, simhash, toxicity
 from entitynet.llm.tables import read
 
 #: The tokenizer of the packed sequences, a file that every executor has.
@@ -46,6 +46,11 @@ def op8_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op9_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 @query
 def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
