@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from entitynet.llm import licences, linededup
+
 CHECKS: dict[str, str] = {}
 
 CHECKS["op2_phrase_index"] = r"""
@@ -35,3 +37,49 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN n USING (r)
 """
+
+CHECKS["op3_site_line_frequency"] = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(url, '{linededup.HOST}', 1)) AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '{linededup.HIDDEN}', chr(10), 'g'),
+      '{linededup.BREAKING}', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12))), lambda x: x <> '') AS lines
+  FROM pages),
+texts AS (SELECT DISTINCT host, lines FROM p WHERE lines IS NOT NULL),
+totals AS (SELECT host, count(*) AS n FROM texts GROUP BY host),
+counts AS (SELECT host, line, count(*) AS k FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM texts) GROUP BY host, line),
+bad AS (SELECT c.host, list(line) AS bad FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host
+  WHERE k >= {linededup.LEAST} AND k > n * {linededup.RATIO}::DOUBLE GROUP BY c.host),
+kept AS (SELECT page_id, p.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept
+  FROM p LEFT JOIN bad b ON p.host IS NOT DISTINCT FROM b.host)
+SELECT page_id, host, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+  sha256(array_to_string(kept, chr(10))) AS kept_sha256
+FROM kept
+"""
+
+
+def licence_sql() -> str:
+    """The same sentences and rules as CTEs, one for each rule."""
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
+    steps = [f"""s0 AS (
+  SELECT r, mode, string_agg(' ' || i || ' ', '' ORDER BY pos) AS rest, CAST([] AS VARCHAR[]) AS found, count(*) AS n
+  FROM parts JOIN known ON trim(regexp_replace(part, '{licences.NOISE}', ' ', 'g'), ' .') = s GROUP BY r, mode)"""]
+    for k, (licence, ids) in enumerate(licences.RULES):
+        pattern = "".join(f" {i} " for i in ids.split())
+        steps.append(f"""s{k + 1} AS (SELECT r, mode, n, replace(rest, '{pattern}', '') AS rest,
+  CASE WHEN contains(rest, '{pattern}') THEN list_append(found, '{licence}') ELSE found END AS found FROM s{k})""")
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(text) AS t FROM documents),
+cut AS (SELECT r, 1 AS mode, string_split_regex(t, '{licences.SENTENCE_END}') AS p FROM d
+  UNION ALL SELECT r, 2, string_split_regex(t, '{licences.LINE_END}') FROM d),
+parts AS (SELECT r, mode, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM cut),
+known(s, i) AS (VALUES {known}),
+{', '.join(steps)},
+done AS (SELECT r, max(n) AS n, flatten(list(found)) AS found, flatten(list(list_filter(string_split(rest, ' '), lambda x: x <> ''))) AS rest
+  FROM s{len(licences.RULES)} GROUP BY r)
+SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(found)), ','), '') AS licences, coalesce(n, 0) AS n_sentences,
+  coalesce(array_to_string(list_sort(list_distinct(rest)), ','), '') AS unruled
+FROM d LEFT JOIN done USING (r)
+"""
+
+
+CHECKS["op4_licence_sentences"] = licence_sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from entitynet.llm import ann, decontaminate, langid, packing, sharding, simhash, toxicity
+from entitynet.llm import ann, decontaminate, langid, licences, linededup, packing, sharding, simhash, toxicity
 from entitynet.llm.tables import read
 
 #: The tokenizer of the packed sequences, a file that every executor has.
@@ -26,6 +26,16 @@ def op2_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op3_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.site_lines(read(spark, sf_dir, "pages"))
+
+
+@query
+def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read(spark, sf_dir, "documents"))
