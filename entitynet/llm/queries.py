@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from entitynet.llm import ann, decontaminate, langid, licences, linededup, packing, sharding, simhash, toxicity
+from entitynet.llm import ann, decontaminate, langid, licences, linededup, packing, sharding, simhash, surrogates, toxicity
 from entitynet.llm.tables import read
 
 #: The tokenizer of the packed sequences, a file that every executor has.
@@ -21,6 +21,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op2_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
