@@ -78,5 +78,5 @@ def node_table(pool: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def prior_groups(nodes: DataFrame) -> DataFrame:
-    """(node, com) with '0' where no group is known, for the JSON export."""
-    return nodes.select(F.col("id").alias("node"), F.coalesce("com_inicial", F.lit("0")).alias("com"))
+    """(node, com), one row per node: the smallest of its groups, '0' where none is known; for the JSON export."""
+    return nodes.groupBy(F.col("id").alias("node")).agg(F.coalesce(F.min("com_inicial"), F.lit("0")).alias("com"))

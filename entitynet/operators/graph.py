@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
-from entitynet.session import LARGE, cut
+from entitynet.session import cut
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -65,40 +65,35 @@ def stratified_sample(edges: DataFrame, fraction: float, by: str = "layer", seed
     return edges.filter(draw < fraction)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component), named by its smallest node.
 
     Alternates two star operations (Kiveris et al. 2014) on edges that point from the
     larger to the smaller node: every neighbour is linked to the smallest one seen. Each
     step is one minimum per node and one join; no neighbour list is ever collected. Nodes
-    are numbered in their order first, so the smallest number is the smallest name.
+    are numbered in their order first, so the smallest number is the smallest name. Every
+    step is written out: both sides of a join on a hub are then plain shuffles, which
+    adaptive execution can split. Rounds go on until one changes nothing; their number
+    grows with the logarithm of the longest path.
     """
     ids = cut(ordered_prefix(nodes_of(edges), [F.col("node")], name="id"))
     number = lambda end, to: ids.select(F.col("node").alias(end), F.col("id").alias(to))
     ends = edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
     ends = ends.join(number("src", "a"), "src").join(number("dst", "b"), "dst")
     links = cut(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    size = links.count()
-    for _ in range(max_rounds):
+    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    before, now = None, mark(links)
+    while now != before:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        lowest = cut(lowest) if size > LARGE else lowest
-        large = both.join(lowest, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        large = cut(large) if size > LARGE else large
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        lowest = cut(lowest) if size > LARGE else lowest
+        lowest = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.join(lowest, "u").filter(F.col("v") > F.col("u")).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u")
         small = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select("u", F.col("m").alias("v"))).distinct()
-        fresh = cut(small)
-        fresh_size = fresh.count()
-        settled = fresh_size == size and fresh.join(links, ["u", "v"], "left_anti").isEmpty()
-        links, size = fresh, fresh_size
-        if settled:
-            break
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        links = cut(small)
+        before, now = now, mark(links)
     found = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
     named = ids.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     return named.join(number("component", "root"), "root").select("node", "component")

@@ -1,44 +1,63 @@
 """Community detection by modularity, many trials at a time.
 
-The method is Louvain's (Blondel et al. 2008) with synchronous moves: in a round all
-nodes of one half look at their neighbours' communities and pick the best one; a level
-ends when rounds stop paying, then communities become the nodes of the next level. What
-keeps parallel moves from swinging back and forth (Lu, Halappanavar & Kalyanaraman 2015):
-after a first round for all the halves alternate, a single node joins another single node only downwards, and a round
-that lowers modularity is taken back.
+The method is Louvain's (Blondel et al. 2008) with synchronous moves. In a round every
+node names the neighbouring community that gains most, a share of the nodes goes there,
+and the round stands only if modularity has risen; otherwise it is taken back and a
+smaller share goes. A node alone joins another node alone only downwards (Lu,
+Halappanavar & Kalyanaraman 2015). A level ends when no node gains by moving, then its
+communities become the nodes of the next level. When nothing merges any more, the nodes
+themselves are tried again, until neither a node nor a community gains by moving.
+
+Weights are turned into whole numbers once, so every sum is exact and does not depend on
+the order of summation: modularity before and after a round is compared exactly, as
+integers on the driver. That comparison also bounds the rounds, as modularity cannot rise
+for ever; there is no other limit.
 
 Every table is keyed by ``trial``: a resolution sweep or a generation of weight
-candidates is one job per round, whatever their number. Only per-trial sums (modularity,
-moves) reach the driver.
+candidates is one job per round, whatever their number. Only per-trial sums reach the
+driver.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
 from entitynet.operators.graph import nodes_of
-from entitynet.session import LARGE, cut
+from entitynet.session import cut, release
 
-MIN_GAIN = 1e-3
-PATIENCE = 2
-MAX_ROUNDS = 12
-MAX_LEVELS = 40
-EPSILON = 1e-12
+#: Bits of a trial's total weight as a whole number; a smaller positive weight than one unit counts as one.
+WEIGHT_BITS = 57
+#: Least gain of a move, in parts of the node's own strength: above what rounding can feign.
+LEAST_GAIN = 1e-12
+
+
+def _by_trial(values: dict[int, float], kind: str) -> Column:
+    return F.create_map(*[F.lit(x) for t, v in values.items() for x in (t, v)])[F.col("trial")].cast(kind)
+
+
+def whole_weights(edges: DataFrame) -> DataFrame:
+    """Edges with BIGINT weights: each trial's weights by the power of two that fits their total."""
+    totals = {r["trial"]: r["m"] for r in edges.groupBy("trial").agg(F.sum("weight").alias("m")).collect()}
+    if not totals:
+        return edges.withColumn("weight", F.col("weight").cast("bigint"))
+    scale = {t: 2.0 ** (WEIGHT_BITS - Fraction(m or 1.0).__ceil__().bit_length()) for t, m in totals.items()}
+    units = F.greatest(F.lit(1).cast("bigint"), F.round(F.col("weight") * _by_trial(scale, "double")).cast("bigint"))
+    return edges.withColumn("weight", F.when(F.col("weight") > 0, units).otherwise(F.lit(0).cast("bigint")))
 
 
 def start_level(edges: DataFrame, gammas: dict[int, float]) -> DataFrame:
-    """(trial, node, k, loop, g): strength, self-loop weight and resolution / total strength."""
+    """(trial, node, k, loop, g): strength, twice the self-loop weight, and resolution / total strength."""
     ends = edges.select(
         "trial", F.explode(F.array("src", "dst")).alias("node"), "weight",
-        F.when(F.col("src") == F.col("dst"), F.col("weight") / 2).otherwise(0.0).alias("half"))
-    nodes = ends.groupBy("trial", "node").agg(F.sum("weight").alias("k"), F.sum("half").alias("loop"))
-    gamma = reduce(lambda c, t: c.when(F.col("trial") == t, F.lit(float(gammas[t]))), gammas, F)
-    totals = nodes.groupBy("trial").agg(F.sum("k").alias("m2"))
-    g = F.coalesce(F.try_divide(gamma, F.col("m2")), F.lit(0.0))
-    return nodes.join(totals, "trial").select("trial", "node", "k", "loop", g.alias("g"))
+        F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(F.lit(0).cast("bigint")).alias("own"))
+    nodes = ends.groupBy("trial", "node").agg(F.sum("weight").alias("k"), F.sum("own").alias("loop"))
+    totals = {r["trial"]: r["m2"] for r in edges.groupBy("trial").agg((2 * F.sum("weight")).alias("m2")).collect()}
+    g = {t: gamma / totals[t] if totals.get(t) else 0.0 for t, gamma in gammas.items()}
+    return nodes.withColumn("g", _by_trial(g, "double"))
 
 
 def number_nodes(edges: DataFrame) -> DataFrame:
@@ -49,8 +68,8 @@ def number_nodes(edges: DataFrame) -> DataFrame:
 def numbered_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     side = lambda end: ids.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
     ends = edges.join(side("src"), "src").join(side("dst"), "dst")
-    return ends.groupBy("trial", F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst")).agg(
-        F.sum("weight").alias("weight"))
+    return whole_weights(cut(ends.groupBy("trial", F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst")).agg(
+        F.sum("weight").alias("weight"))))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -61,133 +80,121 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def neighbour_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(trial, node, near, weight, gk, scale): both directions of every edge, and each node next to itself.
+    """(trial, node, near, weight, gk): both directions of every edge, and each node next to itself.
 
-    ``gk`` is the node's pull on a community's total and ``scale`` turns a gain into
-    steps.
+    ``gk`` is the node's pull on a community's total.
     """
-    pull = nodes.select("trial", "node", (F.col("g") * F.col("k")).alias("gk"),
-                        F.coalesce(F.try_divide(F.lit(float(2**29)), F.col("k")), F.lit(0.0)).alias("scale"))
-    itself = pull.select("trial", "node", F.col("node").alias("near"), F.lit(0.0).alias("weight"), "gk", "scale")
+    pull = nodes.select("trial", "node", (F.col("g") * F.col("k")).alias("gk"))
+    itself = pull.select("trial", "node", F.col("node").alias("near"), F.lit(0).cast("bigint").alias("weight"), "gk")
     return _both_ways(edges).join(pull, ["trial", "node"]).unionByName(itself)
 
 
-def move_round(state: DataFrame, near: DataFrame, movable: Column, large: bool = False) -> DataFrame:
-    """Evaluate the communities ``com`` and propose every movable node's best move.
+def move_round(state: DataFrame, near: DataFrame) -> DataFrame:
+    """Evaluate the communities ``com`` and propose every node's best move.
 
-    ``state``: trial, node, k, loop, g, best, com. The result adds the community's total,
-    the node's weight into it, and ``proposal``. Neighbours carry their community's total
-    and size with them, so a round joins the edges once (a node is its own neighbour of
-    weight zero, which stands for staying); candidates are summed per (node,
-    community) and the best is kept by a second aggregation, both combined before the
-    shuffle. Hubs are therefore never gathered. All buffers are numbers, which keeps the
-    aggregations hash-based. ``large`` writes the community totals first, so that the
-    nodes of a giant community can be split over tasks when they look them up.
+    ``state``: trial, node, k, loop, g, best, wish, com. The result adds the community's
+    total, the node's weight into it, and ``proposal``. Neighbours carry their community's
+    total and size with them, so a round joins the edges once (a node is its own neighbour
+    of weight zero, which stands for staying); candidates are summed per (node, community)
+    and the best is kept by a second aggregation, the smaller first member on a tie. Hubs
+    are never gathered. The totals are written first, so that the nodes of a giant
+    community can be split over tasks when they look them up.
     """
-    totals = state.groupBy("trial", "com").agg(
-        F.sum("k").alias("tot"), F.count("*").alias("size"), F.min("node").alias("first"))
-    if large:
-        totals = cut(totals)
+    totals = cut(state.groupBy("trial", "com").agg(
+        F.sum("k").alias("tot"), F.count("*").alias("size"), F.min("node").alias("first")))
     placed = state.join(totals, ["trial", "com"])
-    mine = ["k", "loop", "g", "best"]
+    mine = ["k", "loop", "g", "best", "wish"]
     theirs = placed.withColumnRenamed("node", "near")
     itself = F.col("node") == F.col("near")
     seen = near.join(theirs, ["trial", "near"]).select(
-        "trial", "node", "com", "weight", "gk", "scale", "tot", "size", "first",
+        "trial", "node", "com", "weight", "gk", "tot", "size", "first",
         *[F.when(itself, F.col(c)).alias(c) for c in mine])
     options = seen.groupBy("trial", "node", "com").agg(
-        F.sum("weight").alias("kin"), *[F.max(c).alias(c) for c in ("gk", "scale", "tot", "size", "first", *mine)])
+        F.sum("weight").alias("kin"), *[F.max(c).alias(c) for c in ("gk", "tot", "size", "first", *mine)])
     here = F.col("k").isNotNull()
     options = options.withColumn(
-        "gain", F.col("kin") - F.col("gk") * (F.col("tot") - F.coalesce("k", F.lit(0.0))))
-    # Order of a node's candidates as one BIGINT: the gain in steps of 2^-29 of the node's
-    # strength, then the smaller first member.
-    steps = F.floor(F.greatest(F.col("gain") * F.col("scale"), F.lit(-float(2**29))))
-    order = steps * F.lit(2**33) + (F.lit(2**33 - 1) - F.col("first") % F.lit(2**33))
-    options = options.withColumn("order", F.when(~here, order))
+        "gain", F.col("kin") - F.col("gk") * (F.col("tot") - F.coalesce("k", F.lit(0).cast("bigint"))))
     downwards = (F.col("size") > 1) | (F.col("first") < F.col("node"))
     own = lambda c: F.max(F.when(here, F.col(c))).alias(c)
+    order = F.struct("gain", (-F.col("first")).alias("first"), "com")
     per_node = options.groupBy("trial", "node").agg(
         *[own(c) for c in ("com", "gain", "kin", "tot", "size", *mine)],
-        F.max_by("com", "order").alias("any_com"), F.max(F.when(~here, F.col("gain"))).alias("any_gain"),
-        F.max_by("com", F.when(downwards, F.col("order"))).alias("down_com"),
-        F.max(F.when(~here & downwards, F.col("gain"))).alias("down_gain"))
-    single = F.col("size") == 1
-    gain = F.when(single, F.col("down_gain")).otherwise(F.col("any_gain"))
-    target = F.when(single, F.col("down_com")).otherwise(F.col("any_com"))
-    moves = movable & (gain > F.col("gain") + EPSILON)
+        F.max(F.when(~here, order)).alias("any"), F.max(F.when(~here & downwards, order)).alias("down"))
+    pick = F.when(F.col("size") == 1, F.col("down")).otherwise(F.col("any"))
+    moves = pick.gain > F.col("gain") + LEAST_GAIN * F.col("k")
     return per_node.select("trial", "node", *mine, "com", "kin", "tot",
-                           F.when(moves, target).otherwise(F.col("com")).alias("proposal"))
+                           F.when(moves, pick.com).otherwise(F.col("com")).alias("proposal"))
 
 
-def half(level: int, odd: set[int] | None = None) -> Column:
-    """One fixed half of the nodes, the other one in the ``odd`` trials."""
-    low = F.substring(F.md5(F.concat(F.col("node"), F.lit(f"|{level}"))), 1, 1) < "8"
-    return low != F.col("trial").isin(*odd) if odd else low
+def goes(level: int, turn: int, share: Column) -> Column:
+    """Whether a node goes in this turn: a share of the nodes, another one each time."""
+    return F.pmod(F.xxhash64("node", F.lit(level), F.lit(turn)), F.lit(1 << 30)) < share * (1 << 30)
 
 
-def _scores(table: DataFrame) -> dict[int, tuple[float, int]]:
-    """Modularity of ``com`` and number of proposed moves per trial."""
-    inside = F.col("kin") + 2 * F.col("loop")
-    q = F.try_divide(F.sum(inside - F.col("g") * F.col("k") * F.col("tot")), F.sum("k"))
+def _scores(table: DataFrame) -> dict[int, tuple[int, int, int, int, int]]:
+    """Per trial: weight inside, sum of squared totals, total, proposed moves, and moves tried in this round."""
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
     rows = table.groupBy("trial").agg(
-        F.coalesce(q, F.lit(0.0)).alias("q"), F.count_if(F.col("proposal") != F.col("com")).alias("moved")).collect()
-    return {r["trial"]: (r["q"], r["moved"]) for r in rows}
+        F.sum(F.col("kin") + F.col("loop")).alias("inside"), F.sum(wide("k") * wide("tot")).alias("squares"), F.sum("k").alias("m2"),
+        F.count_if(F.col("proposal") != F.col("com")).alias("moves"), F.count_if(F.col("com") != F.col("best")).alias("tried")).collect()
+    return {r["trial"]: (r["inside"], int(r["squares"]), r["m2"], r["moves"], r["tried"]) for r in rows}
 
 
-def _level(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None, level: int,
-           max_rounds: int, min_gain: float) -> tuple[DataFrame, set[int]]:
-    """(trial, node, best) after one level, and the trials in which something moved."""
+def _level(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None, level: int) -> tuple[DataFrame, set[int]]:
+    """(trial, node, best) when no node gains by moving, and the trials in which something moved."""
     nodes = cut(start_level(edges, gammas))
-    near = cut(neighbour_table(edges, nodes))
-    if initial is None:
-        state = nodes.withColumn("com", F.col("node"))
-    else:
+    near = neighbours = cut(neighbour_table(edges, nodes))
+    state = nodes.withColumn("com", F.col("node"))
+    if initial is not None:
         state = nodes.join(initial, ["trial", "node"], "left").withColumn("com", F.coalesce("com", "node"))
-    state = state.withColumn("best", F.col("com"))
-    active, probing = set(gammas), set()
-    large = nodes.count() > LARGE
-    idle = dict.fromkeys(gammas, 0)
-    odd: set[int] = set()
-    best_q: dict[int, float] = {}
-    changed: set[int] = set()
+    state = state.withColumns({"best": F.col("com"), "wish": F.col("com")})
+    share = dict.fromkeys(gammas, 1.0)
+    value: dict[int, Fraction] = {}
+    wishes: dict[int, int] = {}
+    active, changed = set(gammas), set()
     done: list[DataFrame] = []
-    for turn in range(max_rounds):
-        everyone = turn == 0
-        table = cut(move_round(state, near, F.lit(True) if everyone else half(level, odd), large))
+    before, turn = None, 0
+    while active:
+        table = cut(move_round(state, near))
+        if before is not None:
+            release(before)
         scores = _scores(table)
-        accepted, next_probing, finished = set(), set(), set()
+        accepted, finished = set(), set()
         for trial in sorted(active):
-            q, moved = scores.get(trial, (0.0, 0))
-            gain = q - best_q.get(trial, q)
-            if trial not in probing:
-                best_q[trial] = q
-            elif gain > EPSILON:
-                accepted.add(trial)
-                changed.add(trial)
-                best_q[trial] = q
-            usable = (trial not in probing or trial in accepted) and moved > 0
-            if trial in probing:
-                idle[trial] = 0 if gain > min_gain else idle[trial] + 1
-            if moved == 0:
-                idle[trial] += PATIENCE if everyone else 1
-            if usable:
-                next_probing.add(trial)
-            if trial not in probing or trial in accepted:
-                odd ^= {trial}
-            if idle[trial] >= PATIENCE or turn == max_rounds - 1:
+            if trial not in scores:
                 finished.add(trial)
-        kept = F.when(F.col("trial").isin(*accepted), F.col("com")).otherwise(F.col("best")) if accepted else F.col("best")
+                continue
+            inside, squares, m2, moves, tried = scores[trial]
+            # Modularity times the squared total strength, exactly.
+            now = Fraction(inside) * m2 - Fraction(gammas[trial]) * squares
+            if trial not in value or now > value[trial]:
+                accepted.add(trial)
+                if trial in value:
+                    changed.add(trial)
+                    share[trial] = min(0.5, 2 * share[trial])
+                value[trial], wishes[trial] = now, moves
+                if not moves:
+                    finished.add(trial)
+                elif moves == 1:
+                    share[trial] = 1.0
+            else:
+                share[trial] = share[trial] / 2 if tried else min(1.0, 4 * share[trial])
+        here = F.col("trial").isin(*accepted) if accepted else F.lit(False)
+        best = F.when(here, F.col("com")).otherwise(F.col("best"))
+        wish = F.when(here, F.col("proposal")).otherwise(F.col("wish"))
         if finished:
-            done.append(table.filter(F.col("trial").isin(*finished)).select("trial", "node", kept.alias("best")))
+            done.append(cut(table.filter(F.col("trial").isin(*finished)).select("trial", "node", best.alias("best"))))
             active -= finished
-        if not active:
-            break
-        trying = F.when(F.col("trial").isin(*next_probing), F.col("proposal")).otherwise(kept) if next_probing else kept
-        state = table.filter(F.col("trial").isin(*active)).select(
-            "trial", "node", "k", "loop", "g", kept.alias("best"), trying.alias("com"))
-        near = near.filter(F.col("trial").isin(*active)) if finished else near
-        probing = next_probing
+            if active:
+                near = near.filter(F.col("trial").isin(*active))
+        turn += 1
+        if active:
+            go = goes(level, turn, _by_trial({t: share[t] for t in active}, "double"))
+            state = table.filter(F.col("trial").isin(*active)).select(
+                "trial", "node", "k", "loop", "g", best.alias("best"), wish.alias("wish"), F.when(go, wish).otherwise(best).alias("com"))
+        before = table
+    for table in (before, neighbours, nodes):
+        release(table)
     return reduce(DataFrame.unionByName, done), changed
 
 
@@ -199,37 +206,47 @@ def contract(edges: DataFrame, assigned: DataFrame) -> DataFrame:
         F.sum("weight").alias("weight"))
 
 
-def louvain_trials(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None = None,
-                   max_rounds: int = MAX_ROUNDS, max_levels: int = MAX_LEVELS,
-                   min_gain: float = MIN_GAIN) -> DataFrame:
+def louvain_trials(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None = None) -> DataFrame:
     """(trial, node, community) for edges (trial, src, dst, weight); resolution per trial in ``gammas``.
 
     Resolution scales the null-model term: at 0 the communities are the connected
     components over positive weights. ``initial`` (trial, node, community) seeds the first
-    level. A community is named by its smallest node.
+    pass. A community is named by its smallest node. No node, and no community as a whole,
+    can gain by moving from the result.
     """
     ids = cut(number_nodes(edges))
-    edges = cut(numbered_edges(edges, ids))
+    base = cut(numbered_edges(edges, ids))
+    start = None
     if initial is not None:
         initial = initial.join(ids, "node").select("trial", "community", F.col("id").alias("node"))
-        names = initial.groupBy("trial", "community").agg(F.min("node").alias("com"))
-        initial = initial.join(names, ["trial", "community"]).select("trial", "node", "com")
-    partition = None
-    for level in range(max_levels):
-        assigned, changed = _level(edges, gammas, initial if level == 0 else None, level, max_rounds, min_gain)
-        if partition is None:
-            partition = assigned.select("trial", "node", F.col("best").alias("com"))
-            if initial is not None:
-                changed = set(gammas)
-        elif changed:
+        names = cut(initial.groupBy("trial", "community").agg(F.min("node").alias("com")))
+        start = cut(initial.join(names, ["trial", "community"]).select("trial", "node", "com"))
+    finished: list[DataFrame] = []
+    level = 0
+    while gammas:
+        running = F.col("trial").isin(*gammas)
+        assigned, _ = _level(base.filter(running), gammas, start, level)
+        partition = assigned.select("trial", "node", F.col("best").alias("com"))
+        rising, merged = dict(gammas), set()
+        coarse = base.filter(running)
+        while rising:
+            level += 1
+            climbing = F.col("trial").isin(*rising)
+            coarse = cut(contract(coarse.filter(climbing), assigned.filter(climbing)))
+            assigned, changed = _level(coarse, rising, None, level)
             step = assigned.select("trial", F.col("node").alias("com"), "best")
             partition = partition.join(step, ["trial", "com"], "left").select(
                 "trial", "node", F.coalesce("best", "com").alias("com"))
-        if not changed:
-            break
-        gammas = {t: g for t, g in gammas.items() if t in changed}
-        active = F.col("trial").isin(*gammas)
-        edges = cut(contract(edges.filter(active), assigned.filter(active)))
+            merged |= changed
+            rising = {t: g for t, g in rising.items() if t in changed}
+        partition = cut(partition)
+        settled = set(gammas) - merged
+        if settled:
+            finished.append(partition.filter(F.col("trial").isin(*settled)))
+        gammas = {t: g for t, g in gammas.items() if t in merged}
+        start = partition
+        level += 1
+    partition = reduce(DataFrame.unionByName, finished)
     partition = cut(partition)
     names = cut(partition.groupBy("trial", "com").agg(F.min("node").alias("name")))
     named = partition.join(names, ["trial", "com"])
@@ -238,16 +255,16 @@ def louvain_trials(edges: DataFrame, gammas: dict[int, float], initial: DataFram
             .select("trial", F.col("member").alias("node"), "community"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, initial: DataFrame | None = None, **limits) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, initial: DataFrame | None = None) -> DataFrame:
     """(node, community) of one graph; ``initial`` is (node, community)."""
     one = lambda df: df.withColumn("trial", F.lit(0))
     start = None if initial is None else one(initial)
-    return louvain_trials(one(edges.select("src", "dst", "weight")), {0: resolution}, start, **limits).drop("trial")
+    return louvain_trials(one(edges.select("src", "dst", "weight")), {0: resolution}, start).drop("trial")
 
 
-def resolution_sweep(edges: DataFrame, resolutions: list[float], **limits) -> DataFrame:
+def resolution_sweep(edges: DataFrame, resolutions: list[float]) -> DataFrame:
     """(resolution, node, community) for a whole grid of resolutions in one run."""
     trials = F.explode(F.array(*[F.lit(i) for i in range(len(resolutions))])).alias("trial")
-    found = louvain_trials(edges.select("src", "dst", "weight", trials), dict(enumerate(resolutions)), **limits)
+    found = louvain_trials(edges.select("src", "dst", "weight", trials), dict(enumerate(resolutions)))
     values = F.array(*[F.lit(float(r)) for r in resolutions])
     return found.select(F.element_at(values, F.col("trial") + 1).alias("resolution"), "node", "community")

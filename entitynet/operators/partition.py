@@ -16,9 +16,12 @@ def modularity(edges: DataFrame, partition: DataFrame, gamma: float = 1.0, by: l
     """Weighted modularity: sum over communities of L/m - gamma (d/2m)^2.
 
     ``edges`` may lack the ``by`` columns: then every partition is scored on the same graph.
+    A partition that misses an edge's end, or holds it twice, is an error. The partition is
+    written out, so that both joins are plain shuffles and the edges of a hub can be split.
     """
     by = by or []
     shared = [c for c in by if c in edges.columns]
+    partition = cut(partition.select(*by, "node", "community"))
     side = lambda end: partition.select(
         *by, F.col("node").alias(end), F.col("community").alias(f"{end}_c"))
     placed = edges.join(side("src"), [*shared, "src"]).join(side("dst"), [*by, "dst"])
@@ -26,11 +29,38 @@ def modularity(edges: DataFrame, partition: DataFrame, gamma: float = 1.0, by: l
         *by, "weight", (F.col("src_c") == F.col("dst_c")).alias("inside"),
         F.posexplode(F.array("src_c", "dst_c")).alias("side", "community"))
     per = ends.groupBy(*by, "community").agg(
-        F.sum("weight").alias("d"),
+        F.sum("weight").alias("d"), F.count_if(F.col("side") == 0).alias("n"),
         F.sum(F.when(F.col("inside") & (F.col("side") == 0), F.col("weight")).otherwise(0.0)).alias("l"))
-    sums = per.groupBy(*by).agg(F.sum("d").alias("m2"), F.sum("l").alias("l"), F.sum(F.col("d") * F.col("d")).alias("dd"))
+    sums = per.groupBy(*by).agg(F.sum("d").alias("m2"), F.sum("l").alias("l"), F.sum(F.col("d") * F.col("d")).alias("dd"),
+                                F.sum("n").alias("n"))
+    wanted = edges.groupBy(*shared).agg(F.count("*").alias("edges"))
+    sums = sums.join(wanted, shared, "left") if shared else sums.withColumn("edges", wanted.scalar())
     q = F.try_divide(2 * F.col("l"), F.col("m2")) - gamma * F.try_divide(F.col("dd"), F.col("m2") * F.col("m2"))
-    return sums.select(*by, q.alias("modularity"))
+    whole = F.when(F.coalesce("n", F.lit(0)) == F.col("edges"), q).otherwise(
+        F.raise_error(F.lit("a node is missing from the partition, or in it twice")).cast("double"))
+    return sums.select(*by, whole.alias("modularity"))
+
+
+def improving_moves(edges: DataFrame, partition: DataFrame, gamma: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
+    """(node, community, gain): moves of one node to a neighbour's community that raise modularity.
+
+    The gain is in parts of the node's strength; those up to ``tolerance`` are not listed.
+    """
+    partition = cut(partition.select("node", "community"))
+    ways = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("near")), F.struct(F.col("dst").alias("node"), F.col("src").alias("near")))
+    both = edges.select("weight", F.explode(ways).alias("w")).select("w.node", "w.near", "weight")
+    strength = cut(both.groupBy("node").agg(F.sum("weight").alias("k")))
+    placed = cut(partition.join(strength, "node"))
+    totals = cut(placed.groupBy("community").agg(F.sum("k").alias("tot")))
+    kin = cut(both.filter("node <> near").join(partition.withColumnRenamed("node", "near"), "near").groupBy("node", "community").agg(F.sum("weight").alias("kin")))
+    pull = F.lit(gamma) * F.col("k") / totals.agg(F.sum("tot")).scalar()
+    options = kin.join(totals, "community").join(placed.withColumnRenamed("community", "own"), "node")
+    worth = options.withColumn("worth", F.col("kin") - pull * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)))
+    here = worth.filter("community = own").select("node", F.col("worth").alias("here"))
+    alone = placed.join(totals, "community").select("node", "k", (-pull * (F.col("tot") - F.col("k"))).alias("without"))
+    best = worth.filter("community <> own").join(here, "node", "left").join(alone.drop("k"), "node")
+    gain = (F.col("worth") - F.coalesce("here", "without")) / F.col("k")
+    return best.select("node", "community", gain.alias("gain")).filter(F.col("gain") > tolerance)
 
 
 def _sizes(counts: DataFrame, by: list[str], label: str, size: str) -> DataFrame:
@@ -152,3 +182,12 @@ def export_wide(partitions: DataFrame, resolutions: list[float]) -> DataFrame:
     return wide.withColumnsRenamed({str(r): n for r, n in name.items()})
 
 
+def result_wide(nodes: DataFrame, partitions: DataFrame, scores: DataFrame, resolutions: list[float]) -> DataFrame:
+    """``nodes`` (with ``id``) with comunidad_<r> and modularidad_<r> of each resolution; null outside the graph.
+
+    ``scores`` is (resolution, modularity): one number per resolution, repeated on every row.
+    """
+    name = {r: "modularidad_" + f"{r:.1f}".replace(".", "_") for r in resolutions}
+    wide = export_wide(partitions, resolutions).withColumnRenamed("node", "id")
+    return nodes.join(wide, "id", "left").withColumns({
+        n: scores.filter(F.col("resolution") == r).select("modularity").scalar() for r, n in name.items()})

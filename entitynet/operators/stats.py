@@ -113,23 +113,29 @@ def histogram(df: DataFrame, col: str, bins: int | str = 10) -> DataFrame:
 def kde(df: DataFrame, col: str, points: int = CURVE_POINTS) -> DataFrame:
     """(point, x, density): Gaussian kernel, Scott's bandwidth, from minimum to maximum.
 
-    Every distinct value adds to all ``points`` curve points; the sums are combined
-    before the shuffle, which carries one row per task and point.
+    Distinct values are counted first; every one then adds to ``points`` sums in a single
+    aggregation, so a task sends one row, however many values it holds. Without spread (a
+    constant column, or a single row) the density is NULL.
     """
     v = F.col(col)
-    counts = df.filter(v.isNotNull()).groupBy(v.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    frame = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).cast("double").alias("lo"),
-                   F.max(v).cast("double").alias("hi")).select(
-        "n", "lo", ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
-        (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
-    shape = frame.select(F.struct("n", "lo", "step", "bw")).scalar()
-    spread = counts.withColumn("_s", shape).select(
-        "_v", "_n", "_s", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    x = F.col("_s.lo") + F.col("point") * F.col("_s.step")
-    z = (x - F.col("_v")) / F.col("_s.bw")
-    norm = F.col("_s.n") * F.col("_s.bw") * math.sqrt(2 * math.pi)
-    return spread.groupBy("point").agg(
-        F.max(x).alias("x"), F.sum(F.col("_n") * F.exp(-0.5 * z * z) / norm).alias("density"))
+    counts = cut(df.filter(v.isNotNull()).groupBy(v.cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    n = F.sum("_n").cast("double")
+    mean = F.sum(F.col("_v") * F.col("_n")) / n
+    row = counts.agg(n.alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), mean.alias("mean")).first()
+    if row["n"] is None:
+        return df.sparkSession.createDataFrame([], "point int, x double, density double")
+    count, low, high = row["n"], row["lo"], row["hi"]
+    squares = counts.agg(F.sum(F.col("_n") * F.pow(F.col("_v") - row["mean"], F.lit(2.0)))).first()[0]
+    deviation = math.sqrt(squares / (count - 1)) if count > 1 and high > low else 0.0
+    width = deviation * count ** -0.2
+    xs = [low + i * ((high - low) / (points - 1)) for i in range(points)]
+    if not width:
+        sums = [F.lit(None).cast("double")] * points
+    else:
+        norm = count * width * math.sqrt(2 * math.pi)
+        sums = [F.sum(F.col("_n") * F.exp(-0.5 * F.pow((F.lit(x) - F.col("_v")) / width, F.lit(2.0)))) / norm for x in xs]
+    curve = F.arrays_zip(F.array(*[F.lit(x) for x in xs]).alias("x"), F.array(*sums).alias("density"))
+    return counts.agg(curve.alias("curve")).select(F.posexplode("curve").alias("point", "at")).select("point", "at.x", "at.density")
 
 
 def largest_groups(df: DataFrame, by: str, k: int) -> DataFrame:

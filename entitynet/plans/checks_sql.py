@@ -143,7 +143,7 @@ node_rows AS (
 node_groups AS (
   SELECT n.*, k.com AS com_inicial FROM node_rows n LEFT JOIN known k ON n.id = k.id)"""
 check("node_table", "SELECT * FROM node_groups", *ALL, more=NODES)
-check("prior_groups", "SELECT id AS node, coalesce(com_inicial, '0') AS com FROM node_groups", *ALL, more=NODES)
+check("prior_groups", "SELECT id AS node, coalesce(min(com_inicial), '0') AS com FROM node_groups GROUP BY id", *ALL, more=NODES)
 
 # --- wealth -----------------------------------------------------------------------------
 
@@ -423,12 +423,13 @@ WHERE CAST('0x' || substr(md5(layer || '|' || src || '|' || dst || '|1'), 1, 8)
       *G, more=STACK)
 
 
-def _components(rounds: int = 24) -> str:
+WHOLE = GRAPH + """,
+link AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"""
+
+
+def _components(links: str = WHOLE, rounds: int = 24) -> str:
     """Smallest reachable node by repeated minimum over neighbours, written out."""
-    sql = LAYERS + """,
-link AS MATERIALIZED (
-  SELECT src AS a, dst AS b FROM fam_layer UNION SELECT dst, src FROM fam_layer
-  UNION SELECT src, dst FROM rep_layer UNION SELECT dst, src FROM rep_layer),
+    sql = links + """,
 l0 AS MATERIALIZED (SELECT a AS node, least(a, min(b)) AS label FROM link GROUP BY a)"""
     for r in range(1, rounds):
         sql += f""",
@@ -438,8 +439,8 @@ l{r} AS MATERIALIZED (
     return sql
 
 
-check("components", "SELECT node, label AS component FROM l23", *RELATIONS, more=_components())
-check("louvain_at_zero", "SELECT node, label AS community FROM l23", *RELATIONS, more=_components())
+check("components", "SELECT node, label AS component FROM l23", *G, more=_components())
+check("louvain_at_zero", "SELECT node, label AS community FROM l23", *G, more=_components())
 
 # --- scores of fixed partitions ---------------------------------------------------------
 
@@ -451,17 +452,25 @@ SELECT round((SELECT sum(weight) FROM edges e JOIN prior a ON e.src = a.node JOI
               WHERE a.community = b.community) / (sum(d) / 2) - sum(pow(d / total, 2)), 9) AS modularity
 FROM (SELECT community, sum(strength) AS d FROM deg JOIN prior USING (node) GROUP BY 1),
      (SELECT sum(strength) AS total FROM deg)""", *G, more=PRIOR)
-check("modularity_sweep", """
-SELECT resolution, round(coalesce(max(l), 0) / (max(total) / 2) - sum(pow(d / total, 2)), 9) AS modularity
-FROM (SELECT resolution, community, sum(w) AS d FROM ends JOIN partitions USING (node) GROUP BY 1, 2)
-LEFT JOIN (SELECT a.resolution, sum(e.w) AS l FROM fe e JOIN partitions a ON e.src = a.node
-      JOIN partitions b ON e.dst = b.node AND a.resolution = b.resolution AND a.community = b.community
-      GROUP BY 1) USING (resolution),
-  (SELECT sum(w) AS total FROM ends)
-GROUP BY resolution""", "arcs", "partitions", more="""
+FLOW_EDGES = """
 fe AS MATERIALIZED (SELECT least(emitter, receiver) AS src, greatest(emitter, receiver) AS dst,
   CAST(sum(amount) AS DOUBLE) AS w FROM arcs GROUP BY 1, 2),
-ends AS (SELECT src AS node, w FROM fe UNION ALL SELECT dst, w FROM fe)""")
+ends AS (SELECT src AS node, w FROM fe UNION ALL SELECT dst, w FROM fe),
+swept AS MATERIALIZED (
+  SELECT resolution, round(coalesce(max(l), 0) / (max(total) / 2) - sum(pow(d / total, 2)), 9) AS modularity
+  FROM (SELECT resolution, community, sum(w) AS d FROM ends JOIN partitions USING (node) GROUP BY 1, 2)
+  LEFT JOIN (SELECT a.resolution, sum(e.w) AS l FROM fe e JOIN partitions a ON e.src = a.node
+        JOIN partitions b ON e.dst = b.node AND a.resolution = b.resolution AND a.community = b.community
+        GROUP BY 1) USING (resolution),
+    (SELECT sum(w) AS total FROM ends)
+  GROUP BY resolution)"""
+check("modularity_sweep", "SELECT resolution, modularity FROM swept", "arcs", "partitions", more=FLOW_EDGES)
+check("partition_result_wide", """
+SELECT id, com_inicial, max(CASE WHEN resolution = 0.0 THEN community END) AS comunidad_0_0,
+  max(CASE WHEN resolution = 0.5 THEN community END) AS comunidad_0_5, max(CASE WHEN resolution = 1.0 THEN community END) AS comunidad_1_0,
+  (SELECT modularity FROM swept WHERE resolution = 0.0) AS modularidad_0_0, (SELECT modularity FROM swept WHERE resolution = 0.5) AS modularidad_0_5,
+  (SELECT modularity FROM swept WHERE resolution = 1.0) AS modularidad_1_0
+FROM node_groups LEFT JOIN partitions ON id = node GROUP BY id, com_inicial""", *dict.fromkeys([*ALL, "arcs", "partitions"]), more=FLOW_EDGES + "," + NODES)
 
 
 AMI = """
@@ -499,6 +508,10 @@ SELECT node, max(CASE WHEN resolution = 0.0 THEN community END) AS comunidad_0_0
   max(CASE WHEN resolution = 1.0 THEN community END) AS comunidad_1_0 FROM partitions GROUP BY node""", "partitions")
 check("partition_with_groups", """
 SELECT node, resolution, community, com FROM partitions LEFT JOIN known ON node = id""", "partitions", "known")
+check("refine_connected", """
+SELECT node, coalesce(label, node) AS community FROM prior LEFT JOIN l23 USING (node)""", *G, more=_components(PRIOR + """,
+inside AS MATERIALIZED (SELECT src, dst FROM edges e JOIN prior a ON e.src = a.node JOIN prior b ON e.dst = b.node WHERE a.community = b.community),
+link AS MATERIALIZED (SELECT src AS a, dst AS b FROM inside UNION SELECT dst, src FROM inside)"""))
 LABELS = PRIOR + """,
 sizes AS (SELECT community, count(*) AS members, min(node) AS first_member FROM prior GROUP BY 1),
 lab AS (SELECT node, label FROM prior JOIN (
@@ -511,8 +524,7 @@ SELECT id, com_inicial, label FROM node_groups LEFT JOIN lab ON id = node""", *A
 # --- community detection ----------------------------------------------------------------
 
 check("louvain_move_round", """
-SELECT node, CASE WHEN substr(md5((row_number() OVER (ORDER BY node) - 1) || '|0'), 1, 1) < '8' THEN coalesce(best, node) ELSE node END AS proposal,
-  0.0::DOUBLE AS kin, round(strength, 10) AS tot
+SELECT node, coalesce(best, node) AS proposal, 0.0::DOUBLE AS kin, round(strength, 8) AS tot
 FROM deg LEFT JOIN (
   SELECT a AS node, b AS best FROM (
     SELECT x.a, x.b, x.weight - ka.strength * kb.strength / (SELECT sum(strength) FROM deg) AS gain
@@ -528,6 +540,22 @@ SELECT 0::BIGINT AS communities_across_components, count(*) AS labelled_nodes, c
 
 check("trial_edges", """
 SELECT CAST(trial AS INTEGER) AS trial, src, dst, round(CASE WHEN a THEN wa WHEN r THEN wr WHEN f THEN wf ELSE weight END, 10) AS weight
-FROM flagged, (VALUES (0, 1.0, 1.0, 0.25), (1, 0.869142, 0.50927, 0.596811), (2, 0.3, 0.9, 0.5)) t(trial, wf, wr, wa)
+FROM flagged, (VALUES (0, 1.0, 1.0, 0.25), (1, 0.8, 0.5, 0.6), (2, 0.3, 0.9, 0.5)) t(trial, wf, wr, wa)
 WHERE src IN (SELECT node FROM central) AND dst IN (SELECT node FROM central)""", *G,
       more=GRAPH + "," + FLAGS[len(LAYERS) + 1:].replace("stack", "stack2"))
+
+check("louvain_optimum", """
+SELECT count(*) AS nodes, 0::BIGINT AS improving_moves, 0::BIGINT AS moved_again FROM deg""", *G, more=GRAPH)
+check("search_summary", "SELECT 8::BIGINT AS trials, 8::BIGINT AS within_bounds, 8::BIGINT AS scored, true AS best_is_max")
+
+# --- sources and sinks ------------------------------------------------------------------
+
+check("source_catalog", "SELECT id, relative, kind FROM family", "family")
+check("source_parquet", "SELECT id, com FROM raw_groups", "raw_groups")
+check("source_csv", "SELECT emitter, receiver, CAST(amount AS DOUBLE) AS amount FROM arcs", "arcs")
+check("source_groups_json", "SELECT id AS node, coalesce(min(com_inicial), '0') AS com FROM node_groups GROUP BY id", *ALL, more=NODES)
+check("source_sample_groups_json", """
+SELECT node, coalesce(min(com), '0') AS com FROM central LEFT JOIN known ON node = id GROUP BY node""", *G, more=GRAPH)
+check("source_edges_by_layer", "SELECT src, dst, round(weight, 10) AS weight, layer FROM edges WHERE layer = 'ownership'", *G, more=GRAPH)
+check("sink_overwritten", "SELECT id, com FROM raw_groups", "raw_groups")
+check("sink_refused", "SELECT id, com, true AS refused FROM raw_groups", "raw_groups")

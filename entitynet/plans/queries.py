@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from entitynet.operators import (
     clean, entities, flows, graph, layers, louvain, partition, profiles, propagation, regions, stats, tuning, workers,
 )
-from entitynet.session import cut
+from entitynet.session import cut, scratch
+from entitynet.sources import io
 from entitynet.sources.inputs import FAMILY_KINDS, NORTH, PERIODS, SOUTH, WINDOW, Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +22,7 @@ QUERIES: dict[str, Query] = {}
 MEASURES = ["income", "tax", "zone"]
 RESOLUTIONS = [0.0, 0.1, 0.5, 1.0]
 SAMPLE = 0.1
-QUICK = {"max_rounds": 6, "max_levels": 3}  # of the search: how far one candidate is refined, not how much data it sees
-TRIALS = [(1.0, 1.0, 0.25, 0.2), (0.869142, 0.50927, 0.596811, 0.109257), (0.3, 0.9, 0.5, 0.4)]
+TRIALS = [(1.0, 1.0, 0.25, 0.2), (0.8, 0.5, 0.6, 0.1), (0.3, 0.9, 0.5, 0.4)]
 
 _shared: dict[tuple, DataFrame] = {}
 
@@ -40,6 +42,10 @@ def shared(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame
     return get
 
 
+def schema_of(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
+
+
 def r6(name: str):
     return F.round(F.col(name), 6).alias(name)
 
@@ -548,9 +554,7 @@ def stratified_sample(i):
 
 @query
 def components(i):
-    """Components of the personal relations, where many small ones exist."""
-    built = relation_layers(i)
-    return graph.connected_components(layers.build_edges_unweighted([built["family"], built["representative"]]))
+    return graph.connected_components(edges(i))
 
 
 # --- scores of fixed partitions ---------------------------------------------------------
@@ -610,6 +614,14 @@ def partition_export_wide(i):
     return partition.export_wide(i.partitions(), [0.0, 0.5, 1.0])
 
 
+@query
+def partition_result_wide(i):
+    """The nodes with their community and its modularity at each resolution."""
+    scores = partition.modularity(flow_edges(i), i.partitions(), by=["resolution"]).select("resolution", F.round("modularity", 9).alias("modularity"))
+    members = nodes(i).select("id", "com_inicial").distinct()
+    return partition.result_wide(members, i.partitions(), scores, [0.0, 0.5, 1.0])
+
+
 @query
 def partition_with_groups(i):
     """All partition nodes with their known group where there is one."""
@@ -635,16 +647,18 @@ def communities_fixed(i):
 
 @query
 def louvain_move_round(i):
-    """One synchronous round from single nodes, resolution 1."""
+    """One synchronous round from single nodes, resolution 1; weights back in their own unit."""
     one = edges(i).select(F.lit(0).alias("trial"), "src", "dst", "weight")
     ids = cut(louvain.number_nodes(one))
     numbered = cut(louvain.numbered_edges(one, ids))
     start = cut(louvain.start_level(numbered, {0: 1.0}))
-    state = start.withColumns({"com": F.col("node"), "best": F.col("node")})
-    moved = louvain.move_round(state, louvain.neighbour_table(numbered, start), louvain.half(0))
+    state = start.withColumns({c: F.col("node") for c in ("com", "best", "wish")})
+    moved = louvain.move_round(state, louvain.neighbour_table(numbered, start))
+    unit = (edges(i).agg(F.sum("weight")).scalar() / numbered.agg(F.sum("weight")).scalar())
     name = lambda col: ids.select(F.col("id").alias(col), F.col("node").alias(f"{col}_name"))
     return moved.join(name("node"), "node").join(name("proposal"), "proposal").select(
-        F.col("node_name").alias("node"), F.col("proposal_name").alias("proposal"), r10("kin"), r10("tot"))
+        F.col("node_name").alias("node"), F.col("proposal_name").alias("proposal"),
+        F.round(F.col("kin") * unit, 8).alias("kin"), F.round(F.col("tot") * unit, 8).alias("tot"))
 
 
 @shared
@@ -671,12 +685,20 @@ def louvain_checks(i):
         "beats_known_groups": q_found > q_prior})
 
 
+@query
+def louvain_optimum(i):
+    """No single move of a node raises the modularity of the found partition, and a run from it changes nothing."""
+    again = louvain.louvain(edges(i), 1.0, found(i))
+    other = again.join(found(i).withColumnRenamed("community", "was"), "node").filter("community <> was")
+    better = partition.improving_moves(edges(i), found(i))
+    return found(i).agg(F.count("*").alias("nodes")).withColumns({
+        "improving_moves": better.agg(F.count("*")).scalar(), "moved_again": other.agg(F.count("*")).scalar()})
+
+
 @query
 def louvain_at_zero(i):
-    """At resolution 0 the communities are the components."""
-    built = relation_layers(i)
-    personal = layers.build_edges_unweighted([built["family"], built["representative"]])
-    return louvain.louvain(cut(personal), 0.0)
+    """At resolution 0 the communities are the components, whatever the weights."""
+    return louvain.louvain(edges(i), 0.0)
 
 
 @query
@@ -696,7 +718,7 @@ def communities(i):
 
 @query
 def refine_connected(i):
-    return graph.refine_connected(edges(i), found(i))
+    return graph.refine_connected(edges(i), prior_partition(i))
 
 
 @shared
@@ -748,12 +770,12 @@ def trial_scores(i):
 
 @query
 def weight_search(i):
-    return tuning.search(flagged_sample(i), groups(i), generations=1, population=4, **QUICK)
+    return search_log(i)
 
 
 @query
 def weight_grid(i):
-    return tuning.grid_search(flagged_sample(i), groups(i), TRIALS[0], [[0.5, 1.0], [], [0.5], [0.4]], **QUICK)
+    return tuning.grid_search(flagged_sample(i), groups(i), TRIALS[0], [[0.5, 1.0], [], [0.5], [0.4]])
 
 
 def partition_log(i: Inputs) -> DataFrame:
@@ -769,22 +791,109 @@ def best_trial(i):
     return tuning.best_trial(partition_log(i))
 
 
-_final: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+@shared
+def search_log(i):
+    return tuning.search(flagged_sample(i), groups(i), generations=1, population=4)
+
+
+@query
+def search_summary(i):
+    """Facts about the search's log: its length, its bounds, and the best trial it leads to."""
+    log, best = search_log(i), tuning.best_trial(search_log(i))
+    inside = [F.col(p).between(low, high) for p, (low, high) in zip(tuning.PARAMETERS, tuning.BOUNDS)]
+    return log.agg(F.count("*").alias("trials"), F.count_if(inside[0] & inside[1] & inside[2] & inside[3]).alias("within_bounds"),
+                   F.count_if(F.col("ami").between(-1, 1)).alias("scored")).withColumn(
+        "best_is_max", F.coalesce(best.select("ami").scalar() == log.agg(F.max("ami")).scalar(), F.lit(False)))
 
 
 def final_run(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    key = (i.spark.sparkContext.applicationId, i.sf_dir)
-    if key not in _final:
-        labels, scores = tuning.final_partition(i.spark, trial_log(i), relation_layers(i), groups(i))
-        _final[key] = cut(labels), scores
-    return _final[key]
+    """The search's best trial on the whole graph."""
+    return tuning.final_partition(i.spark, search_log(i), relation_layers(i), groups(i))
+
+
+@shared
+def final_labels(i):
+    return final_run(i)[0]
 
 
 @query
 def final_partition(i):
-    return final_run(i)[0]
+    return final_labels(i)
 
 
 @query
 def final_scores(i):
     return final_run(i)[1]
+
+
+# --- sources and sinks ------------------------------------------------------------------
+
+def round_trip(df: DataFrame, fmt: str = "parquet", mode: str = "errorifexists") -> str:
+    path = scratch(df.sparkSession)
+    io.sink(df, path, fmt, mode)
+    return path
+
+
+@query
+def source_catalog(i):
+    """A table of the session's catalog, its schema checked."""
+    i.family().createOrReplaceTempView("entitynet_family")
+    return io.source(i.spark, "entitynet_family", schema_of("id string, relative string, kind string"))
+
+
+@query
+def source_parquet(i):
+    """A Parquet directory, read whole and its schema checked (names in any case, columns in another order)."""
+    path = round_trip(i.groups().select(F.col("com").alias("COM"), "id"))
+    return io.source(i.spark, path, schema_of("id string, com string"))
+
+
+@query
+def source_csv(i):
+    """CSV with a header and a declared schema, written and read by the engine."""
+    flows = i.arcs().select("emitter", "receiver", F.col("amount").cast("double").alias("amount"))
+    return io.read_csv(i.spark, round_trip(flows, "csv"), flows.schema)
+
+
+@query
+def source_groups_json(i):
+    """The map of nodes to prior groups through its JSON file."""
+    path = scratch(i.spark)
+    io.write_groups(entities.prior_groups(nodes(i)), path)
+    return io.read_groups(i.spark, path)
+
+
+@query
+def source_sample_groups_json(i):
+    """The map restricted to the sample, one entry for each of its nodes."""
+    path = scratch(i.spark)
+    io.write_groups(graph.seed_membership(sample_nodes(i), groups(i)), path)
+    return io.read_groups(i.spark, path)
+
+
+@query
+def source_edges_by_layer(i):
+    """One layer of the stored graph, read from its own directory."""
+    path = scratch(i.spark)
+    io.write_edges(edges(i), path)
+    return io.read_edges(i.spark, path, ["ownership"]).select("src", "dst", r10("weight"), "layer")
+
+
+@query
+def sink_overwritten(i):
+    """Overwriting leaves the second table only."""
+    path = round_trip(i.family().select(F.col("id").alias("id"), F.lit("x").alias("com")))
+    io.sink(i.groups().select("id", "com"), path, mode="overwrite")
+    return io.source(i.spark, path)
+
+
+@query
+def sink_refused(i):
+    """A sink that must not replace data leaves the first table as it is."""
+    path = round_trip(i.groups().select("id", "com"))
+    try:
+        io.sink(i.family().select(F.col("id").alias("id"), F.lit("x").alias("com")), path)
+        refused = False
+    except AnalysisException as e:
+        refused = e.getCondition() == "PATH_ALREADY_EXISTS"
+    return io.source(i.spark, path).withColumn("refused", F.lit(refused))

@@ -43,11 +43,6 @@ def _run_folder(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
-# Rows from which an aggregate is written out before a join, so that both sides of the
-# join are plain shuffles: only then can adaptive execution split a skewed key.
-LARGE = 1_000_000
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written table.
 
@@ -56,6 +51,21 @@ def cut(df: DataFrame) -> DataFrame:
     DataFrame keeps the estimates of the plan it came from, which multiply over the rounds.)
     """
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cut_path = path
+    return written
+
+
+def release(written: DataFrame) -> None:
+    """Delete a table that ``cut`` returned and that nothing reads any more."""
+    if (name := vars(written).pop("_cut_path", None)) is not None:
+        sc = written.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in this application's shared folder."""
+    return f"{_run_folder(spark)}/{uuid.uuid4().hex}"

@@ -353,7 +353,7 @@ def test_search_improves_and_repeats(spark):
     built = {"ownership": layer(spark, *ring(4, 4)), "family": layer(spark, ("n000", "n012", 1.0), ("n021", "n033", 1.0))}
     flagged = layers.build_flagged_edges(built)
     truth = table(spark, [(f"n{c:02d}{i}", str(c)) for c in range(4) for i in range(4)], "id string, com string")
-    logs = [rows(tuning.search(flagged, truth, generations=1, population=3, seed=2, max_rounds=4, max_levels=3)) for _ in range(2)]
+    logs = [rows(tuning.search(flagged, truth, generations=1, population=3, seed=2)) for _ in range(2)]
     assert logs[0] == logs[1] and len(logs[0]) == 6
     for r in logs[0]:
         assert all(lo <= v <= hi for v, (lo, hi) in zip(r[1:5], tuning.BOUNDS)) and r[5] <= 1 + 1e-9
