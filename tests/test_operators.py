@@ -11,7 +11,7 @@ from pyspark.sql import functions as F, types as T
 from entitynet.functions.ranking import ordered_prefix
 from entitynet.functions.scalars import log_factorial, parse_money, ratio, repair_text
 from entitynet.operators import (
-    clean, flows, graph, layers, louvain, partition, profiles, propagation, regions, stats, tuning, workers,
+    clean, entities, flows, graph, layers, louvain, partition, profiles, propagation, regions, stats, tuning, workers,
 )
 from entitynet.sources import io
 
@@ -179,6 +179,12 @@ def test_kde(spark):
         assert r["density"] == pytest.approx(want)
 
 
+def test_kde_without_spread(spark):
+    got = stats.kde(table(spark, [(2.0,), (2.0,)], "v double"), "v", 4).collect()
+    assert len(got) == 4 and all(r["density"] is None and r["x"] == 2.0 for r in got)
+    assert stats.kde(table(spark, [(None,)], "v double"), "v", 4).count() == 0
+
+
 # --- propagation ------------------------------------------------------------------------
 
 def test_propagation(spark):
@@ -266,6 +272,39 @@ def test_modularity(spark):
         assert got == pytest.approx(brute_modularity(pairs, com, gamma))
 
 
+def test_louvain_at_zero_with_heavy_tailed_weights(spark):
+    pairs = [(f"p{i:02d}", f"p{i + 1:02d}", 1.0) for i in range(20)] + [("x", "y", 1e13)]
+    got = dict(rows(louvain.louvain(layer(spark, *pairs), 0.0), "node", "community"))
+    assert got == roots(pairs)
+
+
+def test_louvain_ends_where_no_single_move_gains(spark):
+    pairs = random_edges(40, 90, 3)
+    edges = layer(spark, *pairs)
+    found = louvain.louvain(edges, 1.0)
+    com = dict(rows(found, "node", "community"))
+    best = brute_modularity(pairs, com)
+    for node in com:
+        for other in set(com.values()):
+            assert brute_modularity(pairs, {**com, node: other}) <= best + 1e-9
+    assert partition.improving_moves(edges, found).count() == 0
+    assert dict(rows(louvain.louvain(edges, 1.0, found), "node", "community")) == com
+    worse = found.withColumn("community", F.when(F.col("node") == min(com), F.lit("alone")).otherwise(F.col("community")))
+    assert {r["node"] for r in partition.improving_moves(edges, worse).collect()} >= {min(com)}
+
+
+def test_modularity_refuses_a_partition_that_does_not_fit(spark):
+    edges = layer(spark, ("a", "b", 1.0), ("b", "c", 1.0))
+    for nodes in (["a", "b"], ["a", "b", "c", "c"]):
+        with pytest.raises(Exception, match="missing from the partition"):
+            partition.modularity(edges, table(spark, [(n, 1) for n in nodes], "node string, community int")).collect()
+
+
+def test_prior_groups_have_one_row_per_node(spark):
+    nodes = table(spark, [("a", "99"), ("a", "1"), ("b", None)], "id string, com_inicial string")
+    assert rows(entities.prior_groups(nodes)) == [("a", "1"), ("b", "0")]
+
+
 def test_clique_ring_and_sweep(spark):
     pairs = ring(10, 5)
     swept = louvain.resolution_sweep(layer(spark, *pairs), [0.0, 0.5, 1.0])
