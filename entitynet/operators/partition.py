@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
 from entitynet.functions.scalars import log_factorial
@@ -90,17 +90,21 @@ def _expected_mi(counts: DataFrame, totals: DataFrame, by: list[str], truth: str
     mean = F.col("a").cast("double") * F.col("b") / F.col("nn")
     lo = F.greatest(F.lit(1).cast("bigint"), F.col("a") + F.col("b") - F.col("nn"), F.floor(mean - reach))
     hi = F.least(F.col("a"), F.col("b"), F.ceil(mean + reach))
-    terms = pairs.withColumns({"lo": lo, "hi": hi}).filter(F.col("lo") <= F.col("hi")).select(
-        *by, "a", "b", "nn", "ta", "tb",
+    bounded = pairs.withColumns({"lo": lo, "hi": hi}).filter(F.col("lo") <= F.col("hi")).select(
+        *by, "a", "b", "nn", "ta", "tb", "lo", "hi",
         (log_factorial(F.col("a")) + log_factorial(F.col("b")) + log_factorial(F.col("nn") - F.col("a"))
-         + log_factorial(F.col("nn") - F.col("b")) - log_factorial(F.col("nn"))).alias("fixed"),
-        F.explode(F.sequence("lo", "hi")).alias("k"))
-    k, nn = F.col("k"), F.col("nn")
-    log_p = (F.col("fixed") - log_factorial(k) - log_factorial(F.col("a") - k) - log_factorial(F.col("b") - k)
-             - log_factorial(nn - F.col("a") - F.col("b") + k))
-    gain = F.ln(nn.cast("double") * k / (F.col("a").cast("double") * F.col("b")))
-    term = F.col("ta").cast("double") * F.col("tb") * (k / nn) * gain * F.exp(log_p)
-    return terms.groupBy(*by).agg(F.sum(term).alias("emi"))
+         + log_factorial(F.col("nn") - F.col("b")) - log_factorial(F.col("nn"))).alias("fixed"))
+    nn = F.col("nn")
+
+    def term(k: Column) -> Column:
+        log_p = (F.col("fixed") - log_factorial(k) - log_factorial(F.col("a") - k) - log_factorial(F.col("b") - k)
+                 - log_factorial(nn - F.col("a") - F.col("b") + k))
+        return (k / nn) * F.ln(nn.cast("double") * k / (F.col("a").cast("double") * F.col("b"))) * F.exp(log_p)
+
+    # The overlaps of a pair of sizes are folded in place: no row is made for them.
+    folded = F.aggregate(F.sequence("lo", "hi"), F.lit(0.0), lambda total, k: total + term(k))
+    weighted = F.col("ta").cast("double") * F.col("tb") * folded
+    return bounded.groupBy(*by).agg(F.sum(weighted).alias("emi"))
 
 
 def ami(df: DataFrame, truth: str, found: str, by: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from entitynet.session import cut
+
 
 def attach(groups: DataFrame, attribute: DataFrame, on: str = "id") -> DataFrame:
     """Group members that have the attribute; a member of two groups appears in both."""
@@ -50,6 +52,7 @@ def mode_of_modes(df: DataFrame, by: str, col: str, k: int) -> DataFrame:
 
 def categorical_profile(df: DataFrame, by: str, col: str, k: int) -> DataFrame:
     """Top-k values and top-k modes of one attribute, stacked with their kind."""
+    df = cut(df.select(by, col))
     shape = lambda d, kind: d.select(F.lit(kind).alias("kind"), F.col(col).cast("string").alias("value"), "n")
     return shape(top_values(df, col, k), "value").unionByName(shape(mode_of_modes(df, by, col, k), "mode"))
 

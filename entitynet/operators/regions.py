@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from entitynet.functions.scalars import repair_text, yes_no
+from entitynet.session import cut
 
 # Four-character region prefixes.
 NORTH_PREFIXES = ["XV R", "I RE"]
@@ -37,5 +38,6 @@ def extreme_regions_by_group(emitters: DataFrame) -> DataFrame:
 
 def extreme_region_counts(emitters: DataFrame) -> DataFrame:
     """Yes and no counts over emitters and over groups."""
+    emitters = cut(emitters.select("com", "both_ends"))
     count = lambda df, level: df.groupBy("both_ends").agg(F.count("*").alias("n")).withColumn("level", F.lit(level))
     return count(emitters, "emitter").unionByName(count(extreme_regions_by_group(emitters), "group"))

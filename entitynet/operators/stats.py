@@ -18,13 +18,13 @@ def quantiles(df: DataFrame, col: str, qs: dict[str, float], by: list[str] | Non
     """Exact quantiles with linear interpolation, one row per ``by`` (one row in all without it).
 
     Values are counted first, then located by their distributed running count, so neither
-    a large group nor the whole column is held in one task.
+    a large group nor the whole column is held in one task. ``df`` is evaluated once.
     """
     by = by or []
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
-    placed = ordered_prefix(counts, [F.col(col)], F.col("_n"), by, "_before")
+    placed = cut(ordered_prefix(counts, [F.col(col)], F.col("_n"), by, "_before"))
     if by:
-        sized = placed.join(cut(counts.groupBy(*by).agg(F.sum("_n").alias("_size"))), by)
+        sized = placed.join(cut(placed.groupBy(*by).agg(F.sum("_n").alias("_size"))), by)
     else:
         sized = placed.withColumn("_size", placed.agg(F.sum("_n")).scalar())
     picks = []
@@ -50,6 +50,7 @@ def iqr_bounds(df: DataFrame, col: str, k: float = WHISKER, by: list[str] | None
 
 
 def _flag_inside(df: DataFrame, col: str, k: float, by: list[str] | None) -> DataFrame:
+    df = cut(df)
     bounds = iqr_bounds(df, col, k, by)
     if by:
         flagged = df.join(cut(bounds), by)
@@ -88,7 +89,7 @@ def histogram(df: DataFrame, col: str, bins: int | str = 10) -> DataFrame:
 
     ``bins='auto'`` derives their number from the data.
     """
-    values = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_v"))
+    values = cut(df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_v")))
     number = _auto_bins(values, "_v") if bins == "auto" else F.lit(bins)
     flat = F.col("lo") == F.col("hi")
     frame = values.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).select(
@@ -146,6 +147,7 @@ def largest_groups(df: DataFrame, by: str, k: int) -> DataFrame:
 
 def group_distribution(df: DataFrame, by: str, col: str, k: int) -> DataFrame:
     """Size, minimum, quartiles and maximum in each of the k largest groups."""
+    df = cut(df.select(by, col))
     top = largest_groups(df, by, k)
     kept = df.join(top.select(by), by, "left_semi")
     ends = kept.groupBy(by).agg(F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"))
@@ -162,6 +164,7 @@ def group_totals(df: DataFrame, by: str, col: str) -> DataFrame:
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, standard deviation, extremes and exact quartiles in one row."""
+    df = cut(df.select(col))
     q = quartiles(df, col).select(F.struct("q25", "q50", "q75")).scalar()
     return df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
                   F.min(col).alias("min"), F.max(col).alias("max")).withColumn("_q", q).select(
