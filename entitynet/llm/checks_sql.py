@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entitynet.llm import licences, linededup
+from entitynet.llm import licences, linededup, sharding
 
 CHECKS: dict[str, str] = {}
 
@@ -83,3 +83,33 @@ FROM d LEFT JOIN done USING (r)
 
 
 CHECKS["op4_licence_sentences"] = licence_sql()
+
+
+def shard_sql(shards: int = 8, key: str = "shuffle-1") -> str:
+    """Checksums folded over bytes with the table of the CRC polynomial; one step of the recursion is one Feistel round."""
+    rounds = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(sharding.round_constants(key)))
+    mix = lambda x: f"(((({x}) + a) % {sharding.PRIME}) * ((({x}) + a) % {sharding.PRIME}) + b) % {sharding.PRIME}"
+    return f"""
+WITH RECURSIVE t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS crc FROM range(256) r(i)),
+d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT count(*) AS n, greatest(2, length(bin(count(*) - 1))) // 2 AS low_bits,
+  greatest(2, length(bin(count(*) - 1))) - greatest(2, length(bin(count(*) - 1))) // 2 AS high_bits FROM d),
+rounds(k, a, b) AS (VALUES {rounds}),
+walk AS (
+  SELECT r, 0 AS step, r >> low_bits AS high, r & ((1 << low_bits) - 1) AS low FROM d, n
+  UNION ALL
+  SELECT r, step + 1,
+    CASE WHEN k % 2 = 0 THEN xor(high, {mix(mix('low'))} & ((1 << high_bits) - 1)) ELSE high END,
+    CASE WHEN k % 2 = 1 THEN xor(low, {mix(mix('high'))} & ((1 << low_bits) - 1)) ELSE low END
+  FROM walk, n, rounds WHERE k = step % {sharding.ROUNDS}
+    AND NOT (step > 0 AND step % {sharding.ROUNDS} = 0 AND (high << low_bits) + low < n)),
+place AS (SELECT r, (high << low_bits) + low AS p FROM walk, n WHERE step > 0 AND step % {sharding.ROUNDS} = 0 AND (high << low_bits) + low < n)
+SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h) + 1, 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    lambda c, x: xor(t.crc[xor(c, x) % 256 + 1], c >> 8)), 4294967295) AS BIGINT) AS text_crc32,
+  'rows' AS law, CAST(p % {shards} AS INTEGER) AS shard, CAST(p // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN place USING (r), t
+"""
+
+
+CHECKS["op6_feistel_shards"] = shard_sql()
