@@ -546,7 +546,7 @@ WHERE src IN (SELECT node FROM central) AND dst IN (SELECT node FROM central)"""
 
 check("louvain_optimum", """
 SELECT count(*) AS nodes, 0::BIGINT AS improving_moves, 0::BIGINT AS moved_again FROM deg""", *G, more=GRAPH)
-check("search_summary", "SELECT 8::BIGINT AS trials, 8::BIGINT AS within_bounds, 8::BIGINT AS scored, true AS best_is_max")
+CHECKS["search_summary"] = "SELECT true AS whole_generations, true AS within_bounds, true AS scored, true AS best_is_max"
 
 # --- sources and sinks ------------------------------------------------------------------
 
