@@ -200,6 +200,12 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any occurrence of a window of an item; every column is kept."""
-    hit = cut(search(build_index(docs), benchmark, window).where(F.size("spans") > 0).select("doc_id").distinct())
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti")
+    """The documents without any occurrence of a window of an item; every column is kept.
+
+    Rows are numbered in a written table, so that a row goes for its own text alone,
+    whatever other rows share its id or have none.
+    """
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = search(build_index(numbered.select(F.col("_row").alias("doc_id"), "text")), benchmark, window)
+    hit = cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_row")))
+    return numbered.join(hit, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])

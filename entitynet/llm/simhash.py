@@ -165,9 +165,14 @@ def classes(docs: DataFrame, words_each: int = 4, distance: int = 4, largest: in
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of each class the one with the smallest id; without an id, none goes.
+    """The documents without near copies: of each class the one with the smallest id, null ids last.
 
-    A row that repeats the kept id is kept as well.
+    A row of the same class that repeats the kept id is kept as well; of a class without
+    ids one row stays. Rows are numbered in a written table and judged each by its own class.
     """
-    keep = cut(classes(docs, **options)).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = classes(numbered.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class"))
+    each = cut(numbered.select("_row", "doc_id").join(rows, "_row"))
+    least = cut(each.groupBy("_class").agg(F.min("doc_id").alias("_id"), F.min("_row").alias("_first")))
+    keep = cut(each.join(least, "_class").where((F.col("doc_id") == F.col("_id")) | (F.col("_id").isNull() & (F.col("_row") == F.col("_first")))).select("_row"))
+    return numbered.join(keep, "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])

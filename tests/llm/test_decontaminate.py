@@ -66,3 +66,9 @@ def test_awkward_texts_empty_tables_and_clean(spark):
     assert decontaminate.clean(docs, bench).columns == docs.columns
     assert decontaminate.report(docs.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.report(docs, bench.limit(0)).collect())
+
+
+def test_rows_go_by_their_own_text_not_by_their_id(spark):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    docs = documents(spark, [(None, "one two three"), (None, "clean"), (4, "x one two three"), (4, "clean too"), (5, "one")])
+    assert sorted(r.text for r in decontaminate.clean(docs, bench).collect()) == ["clean", "clean too", "one"]

@@ -76,3 +76,10 @@ def test_representatives_repeats_nulls_and_empty(spark):
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.representatives(docs).collect())
     assert kept == [(False, 1), (False, 3), (False, 9), (False, 9), (True, 0)]
     assert simhash.classes(docs.limit(0)).count() == 0
+
+
+def test_representatives_judge_each_row_by_its_own_class(spark):
+    copy, other = "a b c d e f", "z y x w v u"
+    docs = documents(spark, [(3, copy), (5, copy), (5, other), (None, copy), (None, "lone text here now"), (None, "lone text here now")])
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash.representatives(docs).collect())
+    assert kept == [(False, 3, copy), (False, 5, other), (True, 0, "lone text here now")]
