@@ -6,8 +6,9 @@ its entry in a lexicon of the training words; learned transition weights join ne
 Forward-backward gives each word's probability of each language, so a code-switched text
 has words of several languages; the document takes the language with the largest mean.
 
-The model is fitted on the driver on a bounded sample: ``DOCS_EACH`` documents of at most
-``DOC_CHARS`` characters for each language. Everything else runs over all texts, whole.
+The model is fitted on the driver on a bounded sample: ``DOCS_EACH`` documents for each
+language, of a longer text a random span of ``DOC_CHARS`` characters. Everything else runs
+over all texts, whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the
 first language in alphabetical order; without any labelled row everything is ``und``.
@@ -29,6 +30,8 @@ from entitynet.llm.tables import held_out, slices
 
 DOCS_EACH = 150
 DOC_CHARS = 8_000
+#: Share of correctly predicted labelled texts below each bound of acceptance.
+RATE = 0.01
 STEPS = 40
 #: Weight of the squared parameters against the mean log-likelihood of a word.
 RIDGE = 1e-6
@@ -177,14 +180,20 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS, ridge: float =
     return model
 
 
-def sample(docs: DataFrame, where: Column, docs_each: int = DOCS_EACH, doc_chars: int = DOC_CHARS) -> tuple[list[str], list[str]]:
-    """About ``docs_each`` texts of each language, chosen by a hash of their id, and their languages."""
-    rows = docs.where(where & F.col("lang").isNotNull() & (F.char_length("text") <= doc_chars)).select("doc_id", "text", "lang")
+def sample(docs: DataFrame, where: Column, docs_each: int = DOCS_EACH, doc_chars: int = DOC_CHARS, turn: int = 0) -> tuple[list[str], list[str]]:
+    """About ``docs_each`` texts of each language, chosen by a hash of their id, and their languages; another ``turn`` takes others.
+
+    A text of more than ``doc_chars`` characters gives a span of that many from a place chosen by hash.
+    """
+    rows = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
-    taken = rows.where(F.pmod(F.xxhash64("doc_id", "lang"), share) < docs_each).limit(2 * docs_each * len(counts))
+    place = F.pmod(F.xxhash64("doc_id", "lang"), share)
+    room = F.greatest(F.char_length("text") - doc_chars, F.lit(0)) + 1
+    span = F.substring("text", (F.pmod(F.xxhash64("doc_id", "lang", F.lit("span")), room) + 1).cast("int"), F.lit(doc_chars))
+    taken = rows.where((place >= turn * docs_each) & (place < (turn + 1) * docs_each)).withColumn("text", span).limit(2 * docs_each * len(counts))
     found = sorted(map(tuple, taken.collect()), key=repr)
     return [r[1] for r in found], [r[2] for r in found]
 
@@ -198,32 +207,39 @@ def label_words(model: Model, texts: list[str]) -> tuple[Tokens, np.ndarray]:
     return tokens, forward_backward(scores, model, tokens.line_start, tokens.line_length)[0]
 
 
-def predict_batch(model: Model | None, texts: list[str]) -> tuple[list[str], list[float]]:
-    names, values = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def judge_batch(model: Model | None, texts: list[str]) -> tuple[list[str], list[float], list[float], list[int]]:
+    """The language of each text, its score, the share of its words that are in the lexicon, and their number."""
+    names, values, familiar = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if model is None:
-        return names, values
+        return names, values, familiar, [0] * len(texts)
     tokens, both = label_words(model, texts)
     counts = np.bincount(tokens.text, minlength=len(texts))
     means = np.stack([np.bincount(tokens.text, both[:, k], len(texts)) for k in range(len(model.languages))], 1) / np.maximum(counts, 1)[:, None]
+    known = np.fromiter((w in model.lexicon for w in tokens.distinct), bool, len(tokens.distinct))
+    shares = np.bincount(tokens.text, known[tokens.codes], len(texts)) / np.maximum(counts, 1)
     best = means.argmax(1)
     for i in np.flatnonzero(counts):
-        names[i], values[i] = model.languages[best[i]], min(float(means[i, best[i]]), 1.0)
-    return names, values
+        names[i], values[i], familiar[i] = model.languages[best[i]], min(float(means[i, best[i]]), 1.0), float(shares[i])
+    return names, values, familiar, counts.tolist()
+
+
+def predict_batch(model: Model | None, texts: list[str]) -> tuple[list[str], list[float]]:
+    return judge_batch(model, texts)[:2]
 
 
 def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with lang_pred and score, which replace columns of these names."""
+    """The columns ``carry`` of ``docs`` with lang_pred, score, familiar and n_words, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carry = [c for c in carry if c not in ("lang_pred", "score")]
+    carry = [c for c in carry if c not in ("lang_pred", "score", "familiar", "n_words")]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            names, values = predict_batch(shared.value, [t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(names, pa.string()), pa.array(values, pa.float64())],
-                                             [*carry, "lang_pred", "score"])
+            names, values, familiar, counts = judge_batch(shared.value, [t or "" for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(names, pa.string()), pa.array(values, pa.float64()),
+                                              pa.array(familiar, pa.float64()), pa.array(counts, pa.int64())], [*carry, "lang_pred", "score", "familiar", "n_words"])
 
-    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*carry, "text"])]).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*carry, "text"])]).mapInArrow(run, f"{fields}, lang_pred string, score double, familiar double, n_words bigint")
 
 
 def train(docs: DataFrame, where: Column) -> Model | None:
@@ -236,10 +252,32 @@ def languages(docs: DataFrame) -> DataFrame:
     return predict(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The documents, all columns kept, whose language is known with a score of ``least`` or more."""
-    model = train(docs, ~held_out(F.col("doc_id")))
+def bounds(model: Model | None, texts: list[str], labels: list[str], rate: float) -> tuple[float, float]:
+    """The ``rate`` quantiles of score and familiar words among the texts whose language is predicted right."""
+    names, values, familiar, _ = judge_batch(model, texts)
+    right = [i for i, (a, b) in enumerate(zip(names, labels)) if a == b]
+    if not right:
+        return 0.0, 0.0
+    return float(np.quantile([values[i] for i in right], rate)), float(np.quantile([familiar[i] for i in right], rate))
+
+
+def accepted(docs: DataFrame, rate: float = RATE) -> DataFrame:
+    """The documents, all columns kept, whose language is known.
+
+    A text goes if its score and its share of familiar words are both below what all but
+    ``rate`` of the correctly predicted labelled texts reach. A text in two known languages
+    has a low score but familiar words; noise and other languages have neither. It also goes,
+    whatever its score, if its familiar words are by three standard deviations fewer than half
+    of that bound: a model of few languages may be sure of one for words it has never seen.
+    The bounds come from texts that did not teach, or from those that did where there are no others.
+    """
+    taught = ~held_out(F.col("doc_id"))
+    texts, labels = sample(docs, taught)
+    model = fit(texts, labels)
+    fresh = sample(docs, taught, turn=1)
+    least, familiar = bounds(model, *(fresh if len(fresh[0]) >= len(texts) / 2 else (texts, labels)), rate)
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns], "text")
     marked = predict(renamed, model, [f"_{c}" for c in docs.columns])
-    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(
+    strange = F.col("familiar") + 1.5 / F.sqrt(F.greatest("n_words", F.lit(1))) < familiar / 2
+    return marked.where((F.col("lang_pred") != UNKNOWN) & ~strange & ((F.col("score") >= least) | (F.col("familiar") >= familiar))).select(
         *[F.col(f"`_{c}`").alias(c) for c in docs.columns])

@@ -59,3 +59,22 @@ def test_predictions_and_defined_cases(spark):
     assert kept.columns == clash.columns and {r.lang_pred for r in kept.collect()} == {"zz"} and kept.where("text is null").count() == 0
     assert langid.languages(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_noise_and_foreign_texts_go_and_code_switched_ones_stay(spark):
+    r = np.random.default_rng(3)
+    words = {"en": " ".join(EN).split(), "de": " ".join(DE).split()}
+    clean = [(i, " ".join(r.choice(words[lang], 25)), lang) for i in range(120) for lang in [("en", "de")[i % 2]]]
+    switched = [(1000 + i, " ".join([*r.choice(words["en"], 14), *r.choice(words["de"], 11)]), "en") for i in range(5)]
+    noise = [(2000 + i, " ".join("".join(r.choice(list("bcfjkpqvxyz"), 6)) for _ in range(25)), None) for i in range(5)]
+    foreign = [(3000, "все люди рождаются свободными и равными в своем достоинстве и правах", None),
+               (3001, "人人 生而 自由 在 尊严 和 权利 上 一律 平等", None)]
+    docs = spark.createDataFrame(clean + switched + noise + foreign, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in langid.accepted(docs).collect()}
+    assert not {i for i in kept if i >= 2000} and {1000 + i for i in range(5)} <= kept and len(kept) >= 122
+
+
+def test_long_texts_teach_by_a_span(spark):
+    docs = documents(spark, [(i, " ".join(DE * 300)) for i in range(4)], lang="de").unionByName(documents(spark, [(10 + i, t) for i, t in enumerate(EN)]))
+    texts, labels = langid.sample(docs, F.lit(True))
+    assert sorted(labels) == ["de"] * 4 + ["en"] * 3 and {len(t) for t, lang in zip(texts, labels) if lang == "de"} == {langid.DOC_CHARS}
