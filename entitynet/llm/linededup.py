@@ -1,8 +1,8 @@
 """Boilerplate lines by their frequency within a site.
 
 For each host, the share of its pages that contain a line decides: a line on more than
-``ratio`` of the host's pages, and on ``least`` of them at least, is dropped wherever the
-host shows it. Pages of a host with equal text count as one page, so that copies of a page
+``ratio`` of the host's pages is dropped wherever the host shows it; a line on a single
+page is not repeated (``least`` is two). Pages of a host with equal text count as one page, so that copies of a page
 do not turn its text into boilerplate; near-duplicate removal deals with them.
 
 Lines are compared trimmed of spaces, tabs and line ends, by a 64-bit hash within their
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from entitynet.session import cut
 
-RATIO, LEAST = 0.1, 5
+RATIO, LEAST = 0.1, 2
+#: For documents: of a source, with a bound that is higher for small sources.
+DOCS_RATIO = 0.01
 BLANK = " \t\r\f"
 
 # What stands outside the text of an HTML page, and the tags that end a line.
@@ -40,8 +42,11 @@ def html_lines(html: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != ""), "\n")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(_host, _bad): the hashes of the lines that each host of (_host, _text) repeats."""
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, smooth: bool = False) -> DataFrame:
+    """(_host, _bad): the hashes of the lines that each host of (_host, _text) repeats.
+
+    ``smooth`` adds the binary logarithm of the host's pages to the number that must be exceeded.
+    """
     lines = F.transform(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)))
     each = pages.where("_text is not null").select("_host", F.xxhash64("_text").alias("page"), F.array_distinct(F.transform(
         F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"))
@@ -49,13 +54,13 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     counts = each.select("_host", "page", F.explode("lines").alias("line")).distinct().groupBy("_host", "line").agg(F.count("*").alias("on"))
     many = cut(counts.where(F.col("on") >= least))
     return many.join(totals.withColumnRenamed("_host", "_of"), F.col("_host").eqNullSafe(F.col("_of"))).where(
-        F.col("on") > F.col("pages") * ratio).groupBy("_host").agg(F.collect_list("line").alias("_bad"))
+        F.col("on") > F.col("pages") * ratio + (F.log2("pages") if smooth else F.lit(0.0))).groupBy("_host").agg(F.collect_list("line").alias("_bad"))
 
 
-def clean(pages: DataFrame, host_of: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def clean(pages: DataFrame, host_of: Column, text: Column, ratio: float = RATIO, least: int = LEAST, smooth: bool = False) -> DataFrame:
     """The columns of ``pages`` with _host, _text (what is left), _lines and _dropped (numbers of lines that are not blank)."""
     marked = pages.withColumns({"_host": host_of, "_text": text})
-    bad = cut(boilerplate(marked.select("_host", "_text"), ratio, least)).withColumnRenamed("_host", "_of")
+    bad = cut(boilerplate(marked.select("_host", "_text"), ratio, least, smooth)).withColumnRenamed("_host", "_of")
     trimmed = lambda x: F.btrim(x, F.lit(BLANK))
     lines, filled = F.split("_text", "\n"), lambda c: F.size(F.filter(c, lambda x: trimmed(x) != ""))
     joined = marked.join(bad, F.col("_host").eqNullSafe(F.col("_of")), "left")
@@ -73,8 +78,12 @@ def site_lines(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> Da
         F.sha2("_text", 256).alias("kept_sha256"))
 
 
-def clean_documents(docs: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """The documents, source by source, without boilerplate lines; those of which nothing is left go."""
-    done = clean(docs, F.col("source"), F.col("text"), ratio, least).where((F.col("_dropped") == 0) | (F.col("_dropped") < F.col("_lines")))
+def clean_documents(docs: DataFrame, ratio: float = DOCS_RATIO, least: int = LEAST) -> DataFrame:
+    """The documents, source by source, without boilerplate lines; those of which nothing is left go.
+
+    A line goes if it stands on more than ``ratio`` of the source's n documents and log2(n) more: on
+    2 of 2 or 3, on 3 of 4, 4 of 10, 14 of 500. Two near copies in a small source keep their text.
+    """
+    done = clean(docs, F.col("source"), F.col("text"), ratio, least, smooth=True).where((F.col("_dropped") == 0) | (F.col("_dropped") < F.col("_lines")))
     text = F.when(F.col("_dropped") > 0, F.col("_text")).otherwise(F.col("text"))
     return done.withColumns({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType), "text": text}).select(*[f"`{c}`" for c in docs.columns])

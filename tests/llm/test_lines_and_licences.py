@@ -58,3 +58,17 @@ def test_single_lines_amid_text_and_awkward_texts(spark):
     assert got[0] == ("Apache-2.0", "") and got[1] == ("MIT,proprietary", "") and got[2] == ("", "")
     assert all(got[3 + i] == ("", "") for i in range(len(AWKWARD)))
     assert licences.scan(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_small_hosts_lose_the_lines_that_most_of_their_pages_show(spark):
+    rows = [(i, f"page {i}\n" + ("footer" if i < 3 else "none"), "four") for i in range(4)] + [(10 + i, f"p {i}\nmenu", "two") for i in range(2)] + [(20, "alone\nonce", "one")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, host string")
+    got = {r.doc_id: r._text for r in linededup.clean(docs, F.col("host"), F.col("text")).collect()}
+    assert got == {0: "page 0", 1: "page 1", 2: "page 2", 3: "page 3\nnone", 10: "p 0", 11: "p 1", 20: "alone\nonce"}
+
+
+def test_documents_lose_the_common_lines_of_a_large_source_and_keep_rare_ones(spark):
+    texts = [f"text {i}" + ("\ncommon" if i % 20 == 0 else "") + ("\nrare" if i in (1, 2) else "") for i in range(400)]
+    docs = documents(spark, texts).unionByName(documents(spark, [(1000, "shared one\nleft"), (1001, "shared one\nright"), *[(1002 + i, f"o {i}") for i in range(8)]], source="small"))
+    got = {r.doc_id: r.text for r in linededup.clean_documents(docs).collect()}
+    assert len(got) == 410 and not any("common" in t for t in got.values()) and "rare" in got[1] and got[1000] == "shared one\nleft"
