@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entitynet.llm import licences, linededup, sharding
+from entitynet.llm import codes, licences, linededup, sharding
 
 CHECKS: dict[str, str] = {}
 
@@ -113,3 +113,33 @@ FROM d JOIN place USING (r), t
 
 
 CHECKS["op6_feistel_shards"] = shard_sql()
+
+
+def _codes(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS, scale: int = codes.SCALE) -> str:
+    """Rounds of assignment by plain squared distances, each a pair of common tables."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT row, p.part, any_value(p.x) AS x, min({{'d': list_sum(list_transform(list_zip(p.x, c.x), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT))), 'entry': c.entry}}) AS best
+  FROM p JOIN c{r} c ON p.part = c.part GROUP BY row, p.part)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT part, best.entry AS entry, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS v FROM a{r}),
+m{r} AS (SELECT part, entry, pos, sum(v) AS t, count(*) AS n FROM s{r} GROUP BY ALL),
+b{r} AS (SELECT part, entry, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS x FROM m{r} GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(b{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN b{r} USING (part, entry))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT row, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x FROM kept, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM p WHERE row <= {entries}),
+{",".join(steps)},
+coded AS (SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+books AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS v FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (row), books
+"""
+
+
+CHECKS["op13_walsh_codes"] = _codes()

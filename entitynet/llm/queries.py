@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from entitynet.llm import ann, decontaminate, langid, licences, linededup, packing, sharding, simhash, surrogates, toxicity
+from entitynet.llm import ann, codes, decontaminate, langid, licences, linededup, packing, sharding, simhash, surrogates, toxicity
 from entitynet.llm.tables import read
+from entitynet.session import cut
 
 #: The tokenizer of the packed sequences, a file that every executor has.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -69,3 +71,16 @@ def op9_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op13_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = codes.train(vectors)
+    coded = cut(codes.encode(vectors, books).select(
+        "vec_id", "label", F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"), "error"))
+    # The sums are one row a label and written first: a hot label's rows can then be split over tasks.
+    sums = cut(coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error")))
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", "code", F.expr("try_cast(error AS BIGINT)").alias("error"), F.expr("try_cast(label_error AS BIGINT)").alias("label_error"),
+        F.lit(codes.digest(books)).alias("codebooks_sha256"))
