@@ -143,3 +143,29 @@ FROM coded JOIN kept USING (row), books
 
 
 CHECKS["op13_walsh_codes"] = _codes()
+
+
+CHECKS["op12_word_runs"] = r"""
+WITH RECURSIVE t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS crc FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))),
+    lambda c, x: xor(t.crc[xor(c, x) % 256 + 1], c >> 8)), 4294967295) AS h FROM documents, t),
+n AS (SELECT r, CAST(len(w) AS BIGINT) AS n, CAST(h % 10 = 0 AND len(w) > 0 AS INTEGER) AS echo, (h // 10) % nullif(len(w), 0) AS a, h // 10 AS g FROM d),
+step AS (SELECT r, n, coalesce(echo, 0) AS echo, a, CASE WHEN echo = 1 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM n),
+given AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+words AS MATERIALIZED (
+  SELECT place.r, place.i, place.n, given.word FROM (
+    SELECT r, n, i, CASE WHEN echo = 1 AND i >= a THEN a + (i - a) % p ELSE i END AS source FROM (SELECT r, n, echo, a, p, unnest(range(n)) AS i FROM step)) place
+  JOIN given ON given.r = place.r AND given.i = place.source),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+marked AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS stretch FROM pairs),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM marked GROUP BY r, q, stretch HAVING count(*) >= q AND count(*) + q >= 12),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+longest AS (SELECT DISTINCT ON (r) r, start, length, period FROM runs ORDER BY r, length DESC, start, period),
+lines AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN longest USING (r) LEFT JOIN lines USING (r) LEFT JOIN left_over USING (r)
+"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitynet.llm import ann, codes, decontaminate, langid, licences, linededup, packing, sharding, simhash, surrogates, toxicity
+from entitynet.llm import ann, codes, decontaminate, langid, licences, linededup, packing, runs, sharding, simhash, surrogates, toxicity
 from entitynet.llm.tables import read
 from entitynet.session import cut
 
@@ -73,6 +73,38 @@ def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def echoed(text: Column, doc_id: Column) -> Column:
+    """The words of ``text``; in one of ten documents by crc32 h of the id, those from a on repeat with a period p."""
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, F.nullif(n, F.lit(0))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+
+    # A lambda's variable holds the words, so that they are found once.
+    changed = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), 1)
+    return F.when(F.pmod(h, F.lit(10)) == 0, changed).otherwise(text)
+
+
+@query
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", echoed(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.repeats(docs).withColumn("longest", F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))))
+    length, start, period = F.col("longest.length"), -F.col("longest.start"), -F.col("longest.period")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query
 def op13_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
