@@ -148,8 +148,8 @@ CHECKS["op13_walsh_codes"] = _codes()
 CHECKS["op12_word_runs"] = r"""
 WITH RECURSIVE t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS crc FROM range(256) r(i)),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))),
-    lambda c, x: xor(t.crc[xor(c, x) % 256 + 1], c >> 8)), 4294967295) AS h FROM documents, t),
+  CASE WHEN doc_id IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))),
+    lambda c, x: xor(t.crc[xor(c, x) % 256 + 1], c >> 8)), 4294967295) END AS h FROM documents, t),
 n AS (SELECT r, CAST(len(w) AS BIGINT) AS n, CAST(h % 10 = 0 AND len(w) > 0 AS INTEGER) AS echo, (h // 10) % nullif(len(w), 0) AS a, h // 10 AS g FROM d),
 step AS (SELECT r, n, coalesce(echo, 0) AS echo, a, CASE WHEN echo = 1 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM n),
 given AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),

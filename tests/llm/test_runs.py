@@ -86,4 +86,5 @@ def test_query_equals_its_sql_on_awkward_rows(spark, tmp_path):
     con = duck("/root/testdata/sf0.001")
     con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = [tuple(x) for x in QUERIES["op12_word_runs"](spark, str(tmp_path)).collect()]
-    assert sorted(got, key=repr) == sorted(con.execute(CHECKS["op12_word_runs"]).fetchall(), key=repr)
+    want = con.execute(CHECKS["op12_word_runs"]).fetchall()
+    assert len(got) == len(pairs) and sorted(got, key=repr) == sorted(want, key=repr)
