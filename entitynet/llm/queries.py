@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitynet.llm import ann, codes, decontaminate, langid, licences, linededup, packing, runs, sharding, simhash, surrogates, toxicity
+from entitynet.llm import ann, codes, decontaminate, langid, licences, linededup, packing, quality, runs, sharding, simhash, surrogates, toxicity
 from entitynet.llm.tables import read
 from entitynet.session import cut
 
@@ -73,6 +73,11 @@ def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query
+def op11_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def echoed(text: Column, doc_id: Column) -> Column:
     """The words of ``text``; in one of ten documents by crc32 h of the id, those from a on repeat with a period p."""
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
