@@ -1,270 +1,453 @@
 """Community detection by modularity, many trials at a time.
 
-The method is Louvain's (Blondel et al. 2008) with synchronous moves. In a round every
-node names the neighbouring community that gains most, a share of the nodes goes there,
-and the round stands only if modularity has risen; otherwise it is taken back and a
-smaller share goes. A node alone joins another node alone only downwards (Lu,
-Halappanavar & Kalyanaraman 2015). A level ends when no node gains by moving, then its
-communities become the nodes of the next level. When nothing merges any more, the nodes
-themselves are tried again, until neither a node nor a community gains by moving.
-
-Weights are turned into whole numbers once, so every sum is exact and does not depend on
-the order of summation: modularity before and after a round is compared exactly, as
-integers on the driver. That comparison also bounds the rounds, as modularity cannot rise
-for ever; there is no other limit.
-
-Every table is keyed by ``trial``: a resolution sweep or a generation of weight
-candidates is one job per round, whatever their number. Only per-trial sums reach the
-driver.
+The method is Louvain's (Blondel et al. 2008) in synchronous rounds that never lower
+modularity, so none is taken back. In a round every active node names the neighbouring
+community that gains most. What simultaneous moves can take from each other is known: two
+that enter or leave the same community lose at most the product of their strengths in the null
+model, and neighbours of which one enters what the other leaves lose the edge between them;
+all else only adds. Proposals are ordered by their gain in parts of the node's strength, and one
+goes ahead if it gains more than it can lose to all that are stronger. The strongest
+always does, so rounds end only when no node gains, and modularity, which rises with each, bounds
+their number. Afterwards the nodes next to a moved one are active, and those whose
+proposal had to wait; totals of communities change by what moved.
+
+Neighbours are written once a level, bucketed and sorted by node, so a round brings the
+active nodes to the edges and shuffles only the edges of active nodes. A node of more
+than ``HUB`` neighbours does not fit a bucket: its edges lie in a second table, bucketed by
+neighbour.
+
+All trials (resolutions, or candidates of relation weights) share the nodes' table of
+neighbours: a node's row holds an array with its community in each trial, an edge its
+kind, and the weight of a kind in a trial is looked up in the trials' parameters. Only graphs of
+communities, which differ by trial, have rows by trial. Such a graph is climbed like the
+nodes' as long as it has more than ``SMALL`` rows in a trial; one of fewer is a group of bounded size,
+and one task takes it to the top.
+
+Weights are turned into whole numbers once, so every sum is exact and no result depends
+on the order of summation. Only per-trial sums reach the driver.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass, field
 from fractions import Fraction
 from functools import reduce
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
 from entitynet.operators.graph import nodes_of
-from entitynet.session import cut, release
+from entitynet.session import cut, release, scratch
 
-#: Bits of a trial's total weight as a whole number; a smaller positive weight than one unit counts as one.
+#: Bits of the largest total weight as a whole number; a smaller positive weight than one unit counts as one.
 WEIGHT_BITS = 57
 #: Least gain of a move, in parts of the node's own strength: above what rounding can feign.
 LEAST_GAIN = 1e-12
+#: Rows of a bucket of the neighbour table, and neighbours beyond which a node is a hub.
+BUCKET, HUB = 250_000, 1_000_000
+#: Steps of strength in a doubling.
+STEPS = 4
+#: A first pass over nodes goes on to communities when a round gains less than this part of the total weight.
+PATIENCE = 2e-2
+#: Rows of a trial's graph of communities that one task takes to the top.
+SMALL = 1_000_000
+#: Bits of a node's number; a community's number has its trial above them.
+NODE_BITS = 40
+
+#: Kinds of edges: the own weight of an edge, or the trial's weight of a relation.
+KINDS = ("family", "representative", "accountant")
 
 
 def _by_trial(values: dict[int, float], kind: str) -> Column:
     return F.create_map(*[F.lit(x) for t, v in values.items() for x in (t, v)])[F.col("trial")].cast(kind)
 
 
-def whole_weights(edges: DataFrame) -> DataFrame:
-    """Edges with BIGINT weights: each trial's weights by the power of two that fits their total."""
-    totals = {r["trial"]: r["m"] for r in edges.groupBy("trial").agg(F.sum("weight").alias("m")).collect()}
-    if not totals:
-        return edges.withColumn("weight", F.col("weight").cast("bigint"))
-    scale = {t: 2.0 ** (WEIGHT_BITS - Fraction(m or 1.0).__ceil__().bit_length()) for t, m in totals.items()}
-    units = F.greatest(F.lit(1).cast("bigint"), F.round(F.col("weight") * _by_trial(scale, "double")).cast("bigint"))
-    return edges.withColumn("weight", F.when(F.col("weight") > 0, units).otherwise(F.lit(0).cast("bigint")))
-
-
-def start_level(edges: DataFrame, gammas: dict[int, float]) -> DataFrame:
-    """(trial, node, k, loop, g): strength, twice the self-loop weight, and resolution / total strength."""
-    ends = edges.select(
-        "trial", F.explode(F.array("src", "dst")).alias("node"), "weight",
-        F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(F.lit(0).cast("bigint")).alias("own"))
-    nodes = ends.groupBy("trial", "node").agg(F.sum("weight").alias("k"), F.sum("own").alias("loop"))
-    totals = {r["trial"]: r["m2"] for r in edges.groupBy("trial").agg((2 * F.sum("weight")).alias("m2")).collect()}
-    g = {t: gamma / totals[t] if totals.get(t) else 0.0 for t, gamma in gammas.items()}
-    return nodes.withColumn("g", _by_trial(g, "double"))
-
-
 def number_nodes(edges: DataFrame) -> DataFrame:
     """(node, id): nodes numbered in their own order, so the smallest number is the smallest name."""
     return ordered_prefix(nodes_of(edges), [F.col("node")], name="id")
 
 
 def numbered_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(src, dst, kind, weight) by number; repeated pairs of one kind are added."""
     side = lambda end: ids.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
-    ends = edges.join(side("src"), "src").join(side("dst"), "dst")
-    return whole_weights(cut(ends.groupBy("trial", F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst")).agg(
-        F.sum("weight").alias("weight"))))
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    ways = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("near")),
-                   F.struct(F.col("dst").alias("node"), F.col("src").alias("near")))
-    return edges.filter(F.col("src") != F.col("dst")).select("trial", F.explode(ways).alias("w"), "weight").select(
-        "trial", "w.node", "w.near", "weight")
-
+    kind = F.lit(0)
+    for n, name in enumerate(KINDS, 1):
+        if f"is_{name}" in edges.columns:
+            kind = F.when(F.col(f"is_{name}"), n).otherwise(kind)
+    ends = edges.withColumn("kind", kind).join(side("src"), "src").join(side("dst"), "dst")
+    return ends.groupBy(F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst"), "kind").agg(
+        F.sum("weight").alias("weight"), F.count("*").alias("times"))
+
+
+@dataclass
+class Trials:
+    """Resolutions by trial, and for each trial the weights of the relation kinds (none: edges keep their own)."""
+
+    gammas: dict[int, float]
+    weights: dict[int, tuple[float, ...]] | None = None
+    unit: float = 1.0
+    #: resolution / total strength of each trial
+    pull: dict[int, float] = field(default_factory=dict)
+
+    def of(self, some: set[int], weighted: bool = True) -> Trials:
+        """These trials only; not ``weighted``: edges have their own weights."""
+        return Trials({t: self.gammas[t] for t in some}, self.weights if weighted else None, self.unit, self.pull)
+
+    def kind_weight(self, trial: int, kind: int) -> int:
+        weight = self.weights[trial][kind - 1]
+        return max(1, round(weight * self.unit)) if weight > 0 else 0
+
+    def weight(self, trial: Column) -> Column:
+        """An edge's whole weight in ``trial``, from its kind and its own whole weight."""
+        if self.weights is None:
+            return F.col("weight")
+        table = lambda kind: F.create_map(*[F.lit(x).cast("bigint") for t in self.weights for x in (t, self.kind_weight(t, kind))])
+        by_kind = [(kind, table(kind)[trial.cast("bigint")] * F.col("times")) for kind in range(1, len(KINDS) + 1)]
+        return reduce(lambda rest, x: F.when(F.col("kind") == x[0], x[1]).otherwise(rest), by_kind, F.col("weight"))
+
+
+def whole(edges: DataFrame, trials: Trials) -> DataFrame:
+    """Edges with BIGINT weights: units of the power of two that fits the largest total."""
+    sums = edges.groupBy("kind").agg(F.sum("weight").alias("w"), F.sum("times").alias("n")).collect()
+    if trials.weights is None:
+        most = sum((r["w"] or 0.0) for r in sums)
+    else:
+        most = max((sum((r["w"] or 0.0) if r["kind"] == 0 else r["n"] * w[r["kind"] - 1] for r in sums) for w in trials.weights.values()), default=0.0)
+    trials.unit = 2.0 ** (WEIGHT_BITS - Fraction(most or 1.0).__ceil__().bit_length())
+    units = F.greatest(F.lit(1).cast("bigint"), F.round(F.col("weight") * trials.unit).cast("bigint"))
+    return edges.withColumn("weight", F.when(F.col("weight") > 0, units).otherwise(F.lit(0).cast("bigint")))
 
-def neighbour_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(trial, node, near, weight, gk): both directions of every edge, and each node next to itself.
 
-    ``gk`` is the node's pull on a community's total.
+def strengths(edges: DataFrame, trials: Trials) -> DataFrame:
+    """(node, trial, k) from sums by node and kind: the edges are not multiplied by the trials."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), "kind", "weight", "times")
+    sums = ends.groupBy("node").agg(*[
+        F.sum(F.when(F.col("kind") == kind, F.col("times" if kind and trials.weights else "weight")).otherwise(F.lit(0).cast("bigint"))).alias(f"s{kind}")
+        for kind in range(len(KINDS) + 1)])
+    each = sums.withColumn("trial", F.explode(F.array(*[F.lit(t) for t in trials.gammas])))
+    part = lambda kind: F.col(f"s{kind}") * (_by_trial({t: trials.kind_weight(t, kind) for t in trials.gammas}, "bigint") if kind and trials.weights else 1)
+    k = reduce(Column.__add__, [part(kind) for kind in range(len(KINDS) + 1)])
+    return each.select("node", "trial", k.alias("k"))
+
+
+@dataclass
+class Neighbours:
+    """(node, near, kind, weight, times) of every edge both ways, without loops, in one or two bucketed tables."""
+
+    tables: list[str] = field(default_factory=list)
+    read: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for name, df in zip(self.tables, self.read):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+            release(df)
+
+
+def stored(both: DataFrame, hub: int | None = None) -> Neighbours:
+    """Write the neighbour table: bucketed by node; the rows of hubs, if there are any, by neighbour."""
+    hub = hub or HUB
+    spark = both.sparkSession
+    found = Neighbours()
+    rows = both.count()
+    hubs = cut(both.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("node"))
+    parts = [(both, "node")] if hubs.isEmpty() else [
+        (both.join(hubs, "node", "left_anti"), "node"), (both.join(hubs, "node", "left_semi"), "near")]
+    for df, key in parts:
+        name, path = f"near_{uuid.uuid4().hex}", scratch(spark)
+        buckets = max(1, ceil(rows / BUCKET))
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        table = spark.table(name)
+        table._cut_path = path
+        found.tables.append(name)
+        found.read.append(table)
+    release(hubs)
+    return found
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    ways = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("near")), F.struct(F.col("dst").alias("node"), F.col("src").alias("near")))
+    return edges.filter(F.col("src") != F.col("dst")).select(F.explode(ways).alias("w"), "kind", "weight", "times").select("w.*", "kind", "weight", "times")
+
+
+def rows_by_node(flat: DataFrame, totals: DataFrame) -> DataFrame:
+    """(node, at): a node's community, its total and size, the node's strength, and whether it is active, by trial.
+
+    ``flat`` is (node, trial, com, k, on), ``totals`` (com, tot, size).
     """
-    pull = nodes.select("trial", "node", (F.col("g") * F.col("k")).alias("gk"))
-    itself = pull.select("trial", "node", F.col("node").alias("near"), F.lit(0).cast("bigint").alias("weight"), "gk")
-    return _both_ways(edges).join(pull, ["trial", "node"]).unionByName(itself)
+    placed = flat.join(totals, "com").withColumn("x", F.struct("trial", "com", "tot", "size", "k", "on"))
+    return cut(placed.groupBy("node").agg(F.collect_list("x").alias("at")))
 
 
-def move_round(state: DataFrame, near: DataFrame) -> DataFrame:
-    """Evaluate the communities ``com`` and propose every node's best move.
+def best_moves(near: Neighbours, state: DataFrame, trials: Trials) -> DataFrame:
+    """Every active node's best move: (node, trial, com, k, kin, tot, to, gain); ``to`` is null where none gains.
 
-    ``state``: trial, node, k, loop, g, best, wish, com. The result adds the community's
-    total, the node's weight into it, and ``proposal``. Neighbours carry their community's
-    total and size with them, so a round joins the edges once (a node is its own neighbour
-    of weight zero, which stands for staying); candidates are summed per (node, community)
-    and the best is kept by a second aggregation, the smaller first member on a tie. Hubs
-    are never gathered. The totals are written first, so that the nodes of a giant
-    community can be split over tasks when they look them up.
+    ``state`` is a written table of ``rows_by_node``. A node alone joins another node alone
+    only downwards; of equal gains the smaller community's number wins. The active nodes meet
+    the bucketed edges, and their edges the neighbours' communities. Candidates are summed per
+    (node, trial, community) and the best is kept by a second aggregation, so a hub is never
+    gathered.
     """
-    totals = cut(state.groupBy("trial", "com").agg(
-        F.sum("k").alias("tot"), F.count("*").alias("size"), F.min("node").alias("first")))
-    placed = state.join(totals, ["trial", "com"])
-    mine = ["k", "loop", "g", "best", "wish"]
-    theirs = placed.withColumnRenamed("node", "near")
-    itself = F.col("node") == F.col("near")
-    seen = near.join(theirs, ["trial", "near"]).select(
-        "trial", "node", "com", "weight", "gk", "tot", "size", "first",
-        *[F.when(itself, F.col(c)).alias(c) for c in mine])
-    options = seen.groupBy("trial", "node", "com").agg(
-        F.sum("weight").alias("kin"), *[F.max(c).alias(c) for c in ("gk", "tot", "size", "first", *mine)])
-    here = F.col("k").isNotNull()
-    options = options.withColumn(
-        "gain", F.col("kin") - F.col("gk") * (F.col("tot") - F.coalesce("k", F.lit(0).cast("bigint"))))
-    downwards = (F.col("size") > 1) | (F.col("first") < F.col("node"))
-    own = lambda c: F.max(F.when(here, F.col(c))).alias(c)
-    order = F.struct("gain", (-F.col("first")).alias("first"), "com")
-    per_node = options.groupBy("trial", "node").agg(
-        *[own(c) for c in ("com", "gain", "kin", "tot", "size", *mine)],
-        F.max(F.when(~here, order)).alias("any"), F.max(F.when(~here & downwards, order)).alias("down"))
-    pick = F.when(F.col("size") == 1, F.col("down")).otherwise(F.col("any"))
-    moves = pick.gain > F.col("gain") + LEAST_GAIN * F.col("k")
-    return per_node.select("trial", "node", *mine, "com", "kin", "tot",
-                           F.when(moves, pick.com).otherwise(F.col("com")).alias("proposal"))
-
-
-def goes(level: int, turn: int, share: Column) -> Column:
-    """Whether a node goes in this turn: a share of the nodes, another one each time."""
-    return F.pmod(F.xxhash64("node", F.lit(level), F.lit(turn)), F.lit(1 << 30)) < share * (1 << 30)
-
-
-def _scores(table: DataFrame) -> dict[int, tuple[int, int, int, int, int]]:
-    """Per trial: weight inside, sum of squared totals, total, proposed moves, and moves tried in this round."""
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    rows = table.groupBy("trial").agg(
-        F.sum(F.col("kin") + F.col("loop")).alias("inside"), F.sum(wide("k") * wide("tot")).alias("squares"), F.sum("k").alias("m2"),
-        F.count_if(F.col("proposal") != F.col("com")).alias("moves"), F.count_if(F.col("com") != F.col("best")).alias("tried")).collect()
-    return {r["trial"]: (r["inside"], int(r["squares"]), r["m2"], r["moves"], r["tried"]) for r in rows}
-
-
-def _level(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None, level: int) -> tuple[DataFrame, set[int]]:
-    """(trial, node, best) when no node gains by moving, and the trials in which something moved."""
-    nodes = cut(start_level(edges, gammas))
-    near = neighbours = cut(neighbour_table(edges, nodes))
-    state = nodes.withColumn("com", F.col("node"))
-    if initial is not None:
-        state = nodes.join(initial, ["trial", "node"], "left").withColumn("com", F.coalesce("com", "node"))
-    state = state.withColumns({"best": F.col("com"), "wish": F.col("com")})
-    share = dict.fromkeys(gammas, 1.0)
-    value: dict[int, Fraction] = {}
-    wishes: dict[int, int] = {}
-    active, changed = set(gammas), set()
-    done: list[DataFrame] = []
-    before, turn = None, 0
-    while active:
-        table = cut(move_round(state, near))
-        if before is not None:
+    on = F.filter("at", lambda x: x["on"])
+    mine = state.filter(F.exists("at", lambda x: x["on"])).select("node", F.map_from_entries(F.transform(on, lambda x: F.struct(
+        x["trial"], F.struct(x["com"], x["k"], x["size"])))).alias("mine"))
+    theirs = state.select(F.col("node").alias("near"), "at")
+    seen = []
+    for table in near.read:
+        rows = table.join(mine, "node").join(theirs, "near").withColumn(
+            "x", F.explode(F.filter("at", lambda x: F.map_contains_key("mine", x["trial"]))))
+        own = F.col("mine")[F.col("x.trial")]
+        seen.append(rows.select("node", "x.trial", "x.com", "x.tot", "x.size", trials.weight(F.col("x.trial")).alias("weight"),
+                                own["com"].alias("own"), own["k"].alias("k"), own["size"].alias("own_size")))
+    active = state.select("node", F.inline("at")).filter("on")
+    itself = active.select("node", "trial", "com", "tot", "size", F.lit(0).cast("bigint").alias("weight"),
+                           F.col("com").alias("own"), "k", F.col("size").alias("own_size"))
+    options = reduce(DataFrame.unionByName, [*seen, itself]).groupBy("node", "trial", "com").agg(
+        F.sum("weight").alias("kin"), *[F.max(c).alias(c) for c in ("tot", "size", "own", "k", "own_size")])
+    here = F.col("com") == F.col("own")
+    pull = _by_trial(trials.pull, "double") * F.col("k")
+    worth = F.col("kin") - pull * (F.col("tot") - F.when(here, F.col("k")).otherwise(F.lit(0).cast("bigint")))
+    allowed = ~here & ((F.col("size") > 1) | (F.col("own_size") > 1) | (F.col("com") < F.col("own")))
+    per_node = options.withColumn("worth", worth).groupBy("node", "trial").agg(
+        F.max("own").alias("com"), F.max("k").alias("k"), *[F.max(F.when(here, F.col(c))).alias(c) for c in ("kin", "tot", "worth")],
+        F.max(F.when(allowed, F.struct("worth", (-F.col("com")).alias("com")))).alias("best"))
+    gain = F.col("best.worth") - F.col("worth")
+    gains = gain > LEAST_GAIN * F.col("k")
+    return per_node.select("node", "trial", "com", "k", "kin", "tot", F.when(gains, -F.col("best.com")).alias("to"), F.when(gains, gain).alias("gain"))
+
+
+def compatible(near: Neighbours, proposed: DataFrame, trials: Trials) -> DataFrame:
+    """The proposals (node, trial, com, k, to, gain) that go ahead together without lowering modularity.
+
+    Per community and step of strength the proposals are one row, so a community that half
+    of all nodes want to join is neither gathered nor sorted; those of the same step count as stronger.
+    """
+    strength = F.col("gain") / F.col("k")
+    proposed = proposed.withColumns({"strength": strength, "step": F.floor(F.log2(strength) * STEPS)})
+    rank = F.struct("strength", (-F.col("node")).alias("node"))
+    sides = proposed.select("k", "strength", "step", "node", F.explode(F.array(
+        F.struct(F.col("com").alias("at"), F.lit(True).alias("leaves")), F.struct(F.col("to").alias("at"), F.lit(False).alias("leaves")))).alias("side"))
+    steps = sides.groupBy("side.at", "side.leaves", "step").agg(F.sum("k").alias("sum"), F.max(rank).alias("first"))
+    every = Window.partitionBy("at", "leaves")
+    steps = steps.select("at", "leaves", "step", F.sum("sum").over(every.orderBy(F.desc("step"))).alias("sum"), (-F.max("first").over(every)["node"]).alias("first"))
+    gone, come = (steps.filter(side).select(F.col("at").alias(at), "step", F.col("sum").alias(name), F.col("first").alias(f"{name}_first"))
+                  for side, at, name in (("leaves", "com", "gone"), ("not leaves", "to", "come")))
+    of = proposed.groupBy("node").agg(F.collect_list(F.struct("trial", "com", "to", "strength")).alias("of"))
+    clashes = []
+    for table in near.read:
+        pairs = table.join(of, "node").join(of.select(F.col("node").alias("near"), F.col("of").alias("others")), "near").select(
+            "node", "near", "kind", "weight", "times", F.explode("of").alias("x"), "others")
+        pairs = pairs.withColumn("y", F.explode(F.filter("others", lambda y: (y["trial"] == F.col("x.trial")) & (
+            (y["com"] == F.col("x.to")) | (y["to"] == F.col("x.com"))))))
+        stronger = (F.col("y.strength") > F.col("x.strength")) | ((F.col("y.strength") == F.col("x.strength")) & (F.col("near") < F.col("node")))
+        both = (F.col("y.com") == F.col("x.to")) & (F.col("y.to") == F.col("x.com"))
+        clashes.append(pairs.filter(stronger).select("node", "x.trial", (trials.weight(F.col("x.trial")) * F.when(both, 2).otherwise(1)).alias("lost")))
+    lost = reduce(DataFrame.unionByName, clashes).groupBy("node", "trial").agg(F.sum("lost").alias("lost"))
+    all_of = proposed.join(gone, ["com", "step"]).join(come, ["to", "step"]).join(lost, ["node", "trial"], "left")
+    others = _by_trial(trials.pull, "double") * (F.col("gone") + F.col("come") - 2 * F.col("k"))
+    strongest = F.col("lost").isNull() & (F.col("gone_first") == F.col("node")) & (F.col("come_first") == F.col("node"))
+    goes = (F.col("gain") > others * F.col("k") + F.coalesce("lost", F.lit(0).cast("bigint"))) | strongest
+    return all_of.filter(goes).select("node", "trial", "com", "k", "to", "gain")
+
+
+def settle(near: Neighbours, state: DataFrame, totals: DataFrame, trials: Trials, patience: float, again: bool) -> tuple[DataFrame, DataFrame, set[int]]:
+    """Rounds until no active node gains: the state and totals after them, and the trials that changed.
+
+    A trial stops early when a round gains less than ``patience`` of its total weight. With
+    ``again`` all its nodes are tried once more, until a round over all of them moves none.
+    The tables given are released once they are replaced.
+    """
+    changed: set[int] = set()
+    running = complete = set(trials.gammas)
+    while running:
+        proposed = cut(best_moves(near, state, trials).filter(F.col("to").isNotNull()).select("node", "trial", "com", "k", "to", "gain"))
+        moved = cut(compatible(near, proposed, trials))
+        gained = {r["trial"]: r["gain"] for r in moved.groupBy("trial").agg(F.sum(F.floor("gain")).alias("gain")).collect()}
+        changed |= set(gained)
+        active = {t for t in running & set(gained) if gained[t] * trials.pull[t] >= patience * trials.gammas[t]}
+        complete = running - set(gained) - complete if again else set()
+        running = active | complete
+        if gained:
+            signed = lambda at, sign: moved.select(F.col(at).alias("com"), (sign * F.col("k")).alias("tot"), F.lit(sign).cast("bigint").alias("size"))
+            before, totals = totals, cut(totals.unionByName(signed("com", -1)).unionByName(signed("to", 1)).groupBy("com").agg(
+                F.sum("tot").alias("tot"), F.sum("size").alias("size")).filter("size > 0"))
+            release(before)
+        if gained or running:
+            went = moved.groupBy("node").agg(F.collect_list("trial").alias("trials"))
+            stirred = [t.join(went, "node").select(F.col("near").alias("node"), F.explode("trials").alias("trial")) for t in near.read]
+            awake = [x.select("node", "trial", F.lit(None).cast("bigint").alias("to")) for x in [proposed, *stirred]]
+            woken = reduce(DataFrame.unionByName, [moved.select("node", "trial", "to"), *awake]).groupBy("node", "trial").agg(
+                F.max("to").alias("to"), F.first(F.lit(True)).alias("woken"))
+            among = lambda some: F.col("trial").isin(*some) if some else F.lit(False)
+            on = (among(active) & F.col("woken").isNotNull()) | among(complete)
+            flat = state.select("node", F.inline("at")).select("node", "trial", "com", "k").join(woken, ["node", "trial"], "left")
+            before, state = state, rows_by_node(flat.select("node", "trial", F.coalesce("to", "com").alias("com"), "k", on.alias("on")), totals)
             release(before)
-        scores = _scores(table)
-        accepted, finished = set(), set()
-        for trial in sorted(active):
-            if trial not in scores:
-                finished.add(trial)
-                continue
-            inside, squares, m2, moves, tried = scores[trial]
-            # Modularity times the squared total strength, exactly.
-            now = Fraction(inside) * m2 - Fraction(gammas[trial]) * squares
-            if trial not in value or now > value[trial]:
-                accepted.add(trial)
-                if trial in value:
-                    changed.add(trial)
-                    share[trial] = min(0.5, 2 * share[trial])
-                value[trial], wishes[trial] = now, moves
-                if not moves:
-                    finished.add(trial)
-                elif moves == 1:
-                    share[trial] = 1.0
-            else:
-                share[trial] = share[trial] / 2 if tried else min(1.0, 4 * share[trial])
-        here = F.col("trial").isin(*accepted) if accepted else F.lit(False)
-        best = F.when(here, F.col("com")).otherwise(F.col("best"))
-        wish = F.when(here, F.col("proposal")).otherwise(F.col("wish"))
-        if finished:
-            done.append(cut(table.filter(F.col("trial").isin(*finished)).select("trial", "node", best.alias("best"))))
-            active -= finished
-            if active:
-                near = near.filter(F.col("trial").isin(*active))
-        turn += 1
-        if active:
-            go = goes(level, turn, _by_trial({t: share[t] for t in active}, "double"))
-            state = table.filter(F.col("trial").isin(*active)).select(
-                "trial", "node", "k", "loop", "g", best.alias("best"), wish.alias("wish"), F.when(go, wish).otherwise(best).alias("com"))
-        before = table
-    for table in (before, neighbours, nodes):
-        release(table)
-    return reduce(DataFrame.unionByName, done), changed
-
-
-def contract(edges: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Communities become nodes; weights inside one become its self-loop."""
-    side = lambda end: assigned.select("trial", F.col("node").alias(end), F.col("best").alias(f"{end}_c"))
-    ends = edges.join(side("src"), ["trial", "src"]).join(side("dst"), ["trial", "dst"])
-    return ends.groupBy("trial", F.least("src_c", "dst_c").alias("src"), F.greatest("src_c", "dst_c").alias("dst")).agg(
-        F.sum("weight").alias("weight"))
-
-
-def louvain_trials(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None = None) -> DataFrame:
-    """(trial, node, community) for edges (trial, src, dst, weight); resolution per trial in ``gammas``.
+        release(proposed)
+        release(moved)
+    return state, totals, changed
+
+
+def communities_graph(near: Neighbours, state: DataFrame, trials: Trials) -> DataFrame:
+    """The neighbour rows of the graphs whose nodes are the communities."""
+    some = F.filter("at", lambda x: x["trial"].isin(*trials.gammas))
+    own = state.select("node", F.map_from_entries(F.transform(some, lambda x: F.struct(x["trial"], x["com"]))).alias("mine"))
+    theirs = state.select(F.col("node").alias("near"), some.alias("theirs"))
+    rows = reduce(DataFrame.unionByName, [
+        t.join(own, "node").join(theirs, "near").withColumn("x", F.explode("theirs")).select(
+            F.col("mine")[F.col("x.trial")].alias("node"), F.col("x.com").alias("near"), trials.weight(F.col("x.trial")).alias("weight"))
+        for t in near.read])
+    between = rows.filter(F.col("node") != F.col("near")).groupBy("node", "near").agg(F.sum("weight").alias("weight"))
+    return between.select("node", "near", F.lit(0).alias("kind"), "weight", F.lit(1).cast("bigint").alias("times"))
+
+
+def to_the_top(edges: pd.DataFrame, nodes: pd.DataFrame, pull: float) -> pd.DataFrame:
+    """(com, top) for one small graph (node, near, weight; com, k): node by node to a local optimum, then its communities, until none merges."""
+    names = nodes["com"].sort_values().to_numpy()
+    k = nodes.set_index("com")["k"].loc[names].to_numpy()
+    at = pd.Index(names)
+    a, b, w = at.get_indexer(edges["node"]), at.get_indexer(edges["near"]), edges["weight"].to_numpy()
+    top = np.arange(len(names))
+    while True:
+        order = np.argsort(a, kind="stable")
+        ends = np.searchsorted(a[order], np.arange(len(k) + 1)).tolist()
+        near, weight, strength = b[order].tolist(), w[order].tolist(), k.tolist()
+        com, total = list(range(len(k))), k.tolist()
+        waiting = list(range(len(k)))
+        while waiting:
+            moved = set()
+            for v in waiting:
+                kin: dict[int, int] = {}
+                for u, x in zip(near[ends[v]:ends[v + 1]], weight[ends[v]:ends[v + 1]]):
+                    kin[com[u]] = kin.get(com[u], 0) + x
+                own, each = com[v], pull * strength[v]
+                stays = kin.pop(own, 0) - each * (total[own] - strength[v])
+                gain, to = max(((x - each * total[c], -c) for c, x in kin.items()), default=(stays, 0))
+                if gain > stays + LEAST_GAIN * strength[v]:
+                    total[own] -= strength[v]
+                    total[-to] += strength[v]
+                    com[v] = -to
+                    moved.update(near[ends[v]:ends[v + 1]], (v,))
+            # Totals have changed for all, so a quiet end is checked by a round over all nodes.
+            waiting = sorted(moved) or (list(range(len(k))) if len(waiting) < len(k) else [])
+        kept, inverse = np.unique(com, return_inverse=True)
+        if len(kept) == len(k):
+            return pd.DataFrame({"com": names, "top": names[np.unique(top, return_index=True)[1]][top]})
+        top = inverse[top]
+        k = pd.Series(k).groupby(inverse).sum().to_numpy()
+        merged = pd.DataFrame({"a": inverse[a], "b": inverse[b], "w": w}).query("a != b").groupby(["a", "b"])["w"].sum().reset_index()
+        a, b, w = (merged[c].to_numpy() for c in "abw")
+
+
+def climb(near: Neighbours, state: DataFrame, totals: DataFrame, trials: Trials, patience: float) -> tuple[DataFrame, set[int]]:
+    """Communities become nodes, again and again: (com, top) of each, and the trials in which some merged."""
+    rising, merged, lower, top = set(trials.gammas), set(), near, None
+    trial = F.shiftright("com", NODE_BITS).cast("int").alias("trial")
+    while rising:
+        rows = cut(communities_graph(lower, state, trials.of(rising, lower is near)))
+        if lower is not near:
+            lower.release()
+        nodes = cut(totals.select("com", trial, F.col("tot").alias("k")).filter(F.col("trial").isin(*rising)))
+        of = F.shiftright("node", NODE_BITS).cast("int").alias("trial")
+        sizes = {r["trial"]: r["n"] for r in rows.groupBy(of).agg(F.count("*").alias("n")).collect()}
+        small = {t for t in rising if sizes.get(t, 0) <= SMALL}
+        steps = []
+        if small:
+            pull = dict(trials.pull)
+            steps.append(cut(rows.select("node", "near", "weight", of).filter(F.col("trial").isin(*small)).groupBy("trial").cogroup(
+                nodes.filter(F.col("trial").isin(*small)).groupBy("trial")).applyInPandas(
+                    lambda key, edges, own: to_the_top(edges, own, pull[key[0]]), "com bigint, top bigint")))
+            merged |= {r["trial"] for r in steps[0].filter("com <> top").select(trial).distinct().collect()}
+        rising -= small
+        if rising:
+            lower = stored(rows.filter(F.shiftright("node", NODE_BITS).isin(*rising)))
+            flat = nodes.filter(F.col("trial").isin(*rising)).select(F.col("com").alias("node"), "trial", "com", "k", F.lit(True).alias("on"))
+            sums = cut(flat.select("com", F.col("k").alias("tot"), F.lit(1).cast("bigint").alias("size")))
+            state, totals, rising = settle(lower, rows_by_node(flat, sums), sums, trials.of(rising, False), patience, False)
+            steps.append(state.select(F.col("node").alias("com"), F.col("at")[0]["com"].alias("top")))
+            merged |= rising
+        step = reduce(DataFrame.unionByName, steps)
+        if top is None:
+            top = cut(step)
+        else:
+            up = step.select(F.col("com").alias("top"), F.col("top").alias("next"))
+            top = cut(top.join(up, "top", "left").select("com", F.coalesce("next", "top").alias("top")))
+    if lower is not near:
+        lower.release()
+    return top, merged
+
+
+def louvain_trials(edges: DataFrame, gammas: dict[int, float], initial: DataFrame | None = None,
+                   weights: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
+    """(trial, node, community) for edges (src, dst, weight); resolution per trial in ``gammas``.
 
     Resolution scales the null-model term: at 0 the communities are the connected
-    components over positive weights. ``initial`` (trial, node, community) seeds the first
-    pass. A community is named by its smallest node. No node, and no community as a whole,
-    can gain by moving from the result.
+    components over positive weights. With ``weights`` (family, representative, accountant by
+    trial) the edges are flagged ones, and a relation's weight replaces the edge's own.
+    ``initial`` (trial, node, community) seeds the first pass. A community is named by its
+    smallest node. No node, and no community as a whole, can gain by moving from the result.
     """
-    ids = cut(number_nodes(edges))
-    base = cut(numbered_edges(edges, ids))
-    start = None
+    ids, near, nodes, trials = prepared(edges, gammas, weights)
+    tagged = lambda number: F.shiftleft(F.col("trial").cast("bigint"), NODE_BITS) + F.col(number)
+    com = tagged("node")
     if initial is not None:
-        initial = initial.join(ids, "node").select("trial", "community", F.col("id").alias("node"))
-        names = cut(initial.groupBy("trial", "community").agg(F.min("node").alias("com")))
-        start = cut(initial.join(names, ["trial", "community"]).select("trial", "node", "com"))
-    finished: list[DataFrame] = []
-    level = 0
-    while gammas:
-        running = F.col("trial").isin(*gammas)
-        assigned, _ = _level(base.filter(running), gammas, start, level)
-        partition = assigned.select("trial", "node", F.col("best").alias("com"))
-        rising, merged = dict(gammas), set()
-        coarse = base.filter(running)
-        while rising:
-            level += 1
-            climbing = F.col("trial").isin(*rising)
-            coarse = cut(contract(coarse.filter(climbing), assigned.filter(climbing)))
-            assigned, changed = _level(coarse, rising, None, level)
-            step = assigned.select("trial", F.col("node").alias("com"), "best")
-            partition = partition.join(step, ["trial", "com"], "left").select(
-                "trial", "node", F.coalesce("best", "com").alias("com"))
-            merged |= changed
-            rising = {t: g for t, g in rising.items() if t in changed}
-        partition = cut(partition)
-        settled = set(gammas) - merged
-        if settled:
-            finished.append(partition.filter(F.col("trial").isin(*settled)))
-        gammas = {t: g for t, g in gammas.items() if t in merged}
-        start = partition
-        level += 1
+        given = initial.join(ids, "node").select("trial", "community", F.col("id").alias("node"))
+        names = cut(given.groupBy("trial", "community").agg(F.min("node").alias("first")))
+        nodes = nodes.join(cut(given.join(names, ["trial", "community"]).select("trial", "node", "first")), ["trial", "node"], "left")
+        com = F.coalesce(tagged("first"), com)
+
+    def placed(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+        totals = cut(flat.groupBy("com").agg(F.sum("k").alias("tot"), F.count("*").alias("size")))
+        return rows_by_node(flat, totals), totals
+
+    state, totals, changed = settle(near, *placed(nodes.select("node", "trial", com.alias("com"), "k", F.lit(True).alias("on"))), trials, PATIENCE, False)
+    finished, left, patience = [], set(gammas), PATIENCE
+    settled = left - changed
+    while left:
+        top, merged = climb(near, state, totals, trials.of(left), patience)
+        flat = cut(state.select("node", F.inline("at")).join(top, "com").select("node", "trial", F.col("top").alias("com"), "k", F.lit(True).alias("on")))
+        done = (left - merged) & settled
+        if done:
+            finished.append(cut(flat.filter(F.col("trial").isin(*done)).select("trial", "node", "com")))
+        left -= done
+        if left:
+            release(state)
+            release(totals)
+            state, totals, _ = settle(near, *placed(flat.filter(F.col("trial").isin(*left))), trials.of(left), 0.0, True)
+        settled, patience = set(left), 0.0
+        release(flat)
+    near.release()
     partition = reduce(DataFrame.unionByName, finished)
-    partition = cut(partition)
-    names = cut(partition.groupBy("trial", "com").agg(F.min("node").alias("name")))
-    named = partition.join(names, ["trial", "com"])
+    names = cut(partition.groupBy("com").agg(F.min("node").alias("name")))
+    named = partition.join(names, "com")
     return (named.join(ids.select(F.col("id").alias("node"), F.col("node").alias("member")), "node")
             .join(ids.select(F.col("id").alias("name"), F.col("node").alias("community")), "name")
             .select("trial", F.col("member").alias("node"), "community"))
 
 
+def prepared(edges: DataFrame, gammas: dict[int, float], weights: dict[int, tuple[float, ...]] | None = None) -> tuple[DataFrame, Neighbours, DataFrame, Trials]:
+    """Numbers of the nodes, the neighbour table, (node, trial, k), and the trials with their units."""
+    ids = cut(number_nodes(edges))
+    trials = Trials(gammas, weights)
+    base = cut(whole(cut(numbered_edges(edges, ids)), trials))
+    nodes = cut(strengths(base, trials))
+    m2 = {r["trial"]: r["m2"] for r in nodes.groupBy("trial").agg(F.sum("k").alias("m2")).collect()}
+    trials.pull = {t: g / m2[t] if m2.get(t) else 0.0 for t, g in gammas.items()}
+    near = stored(both_ways(base))
+    return ids, near, nodes, trials
+
+
 def louvain(edges: DataFrame, resolution: float = 1.0, initial: DataFrame | None = None) -> DataFrame:
     """(node, community) of one graph; ``initial`` is (node, community)."""
-    one = lambda df: df.withColumn("trial", F.lit(0))
-    start = None if initial is None else one(initial)
-    return louvain_trials(one(edges.select("src", "dst", "weight")), {0: resolution}, start).drop("trial")
+    start = None if initial is None else initial.withColumn("trial", F.lit(0))
+    return louvain_trials(edges.select("src", "dst", "weight"), {0: resolution}, start).drop("trial")
 
 
 def resolution_sweep(edges: DataFrame, resolutions: list[float]) -> DataFrame:
     """(resolution, node, community) for a whole grid of resolutions in one run."""
-    trials = F.explode(F.array(*[F.lit(i) for i in range(len(resolutions))])).alias("trial")
-    found = louvain_trials(edges.select("src", "dst", "weight", trials), dict(enumerate(resolutions)))
+    found = louvain_trials(edges.select("src", "dst", "weight"), dict(enumerate(resolutions)))
     values = F.array(*[F.lit(float(r)) for r in resolutions])
     return found.select(F.element_at(values, F.col("trial") + 1).alias("resolution"), "node", "community")

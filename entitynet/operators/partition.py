@@ -41,26 +41,33 @@ def modularity(edges: DataFrame, partition: DataFrame, gamma: float = 1.0, by: l
     return sums.select(*by, whole.alias("modularity"))
 
 
-def improving_moves(edges: DataFrame, partition: DataFrame, gamma: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
-    """(node, community, gain): moves of one node to a neighbour's community that raise modularity.
+def improving_moves_of_sweep(edges: DataFrame, partitions: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(resolution, node, community, gain): moves of one node to a neighbour's community that raise modularity at that resolution.
 
     The gain is in parts of the node's strength; those up to ``tolerance`` are not listed.
     """
-    partition = cut(partition.select("node", "community"))
+    by = ["resolution"]
+    partitions = cut(partitions.select(*by, "node", "community"))
     ways = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("near")), F.struct(F.col("dst").alias("node"), F.col("src").alias("near")))
     both = edges.select("weight", F.explode(ways).alias("w")).select("w.node", "w.near", "weight")
     strength = cut(both.groupBy("node").agg(F.sum("weight").alias("k")))
-    placed = cut(partition.join(strength, "node"))
-    totals = cut(placed.groupBy("community").agg(F.sum("k").alias("tot")))
-    kin = cut(both.filter("node <> near").join(partition.withColumnRenamed("node", "near"), "near").groupBy("node", "community").agg(F.sum("weight").alias("kin")))
-    pull = F.lit(gamma) * F.col("k") / totals.agg(F.sum("tot")).scalar()
-    options = kin.join(totals, "community").join(placed.withColumnRenamed("community", "own"), "node")
+    placed = cut(partitions.join(strength, "node"))
+    totals = cut(placed.groupBy(*by, "community").agg(F.sum("k").alias("tot")))
+    kin = cut(both.filter("node <> near").join(partitions.withColumnRenamed("node", "near"), "near").groupBy(*by, "node", "community").agg(
+        F.sum("weight").alias("kin")))
+    pull = F.col("resolution") * F.col("k") / strength.agg(F.sum("k")).scalar()
+    options = kin.join(totals, [*by, "community"]).join(placed.withColumnRenamed("community", "own"), [*by, "node"])
     worth = options.withColumn("worth", F.col("kin") - pull * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)))
-    here = worth.filter("community = own").select("node", F.col("worth").alias("here"))
-    alone = placed.join(totals, "community").select("node", "k", (-pull * (F.col("tot") - F.col("k"))).alias("without"))
-    best = worth.filter("community <> own").join(here, "node", "left").join(alone.drop("k"), "node")
+    here = worth.filter("community = own").select(*by, "node", F.col("worth").alias("here"))
+    alone = placed.join(totals, [*by, "community"]).select(*by, "node", (-pull * (F.col("tot") - F.col("k"))).alias("without"))
+    best = worth.filter("community <> own").join(here, [*by, "node"], "left").join(alone, [*by, "node"])
     gain = (F.col("worth") - F.coalesce("here", "without")) / F.col("k")
-    return best.select("node", "community", gain.alias("gain")).filter(F.col("gain") > tolerance)
+    return best.select(*by, "node", "community", gain.alias("gain")).filter(F.col("gain") > tolerance)
+
+
+def improving_moves(edges: DataFrame, partition: DataFrame, gamma: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
+    """(node, community, gain) of one partition at resolution ``gamma``."""
+    return improving_moves_of_sweep(edges, partition.withColumn("resolution", F.lit(float(gamma))), tolerance).drop("resolution")
 
 
 def _sizes(counts: DataFrame, by: list[str], label: str, size: str) -> DataFrame:

@@ -546,6 +546,9 @@ WHERE src IN (SELECT node FROM central) AND dst IN (SELECT node FROM central)"""
 
 check("louvain_optimum", """
 SELECT count(*) AS nodes, 0::BIGINT AS improving_moves, 0::BIGINT AS moved_again FROM deg""", *G, more=GRAPH)
+check("resolution_checks", """
+SELECT resolution / 10.0 AS resolution, n AS labelled, n AS nodes, 0::BIGINT AS improving_moves
+FROM (SELECT count(*) AS n FROM deg), range(11) r(resolution)""", *G, more=GRAPH)
 CHECKS["search_summary"] = "SELECT true AS whole_generations, true AS within_bounds, true AS scored, true AS best_is_max"
 
 # --- sources and sinks ------------------------------------------------------------------

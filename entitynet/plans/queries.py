@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 
 # Settings of the registered runs.
 MEASURES = ["income", "tax", "zone"]
-RESOLUTIONS = [0.0, 0.1, 0.5, 1.0]
+RESOLUTIONS = [step / 10 for step in range(11)]
 SAMPLE = 0.1
 TRIALS = [(1.0, 1.0, 0.25, 0.2), (0.8, 0.5, 0.6, 0.1), (0.3, 0.9, 0.5, 0.4)]
 
@@ -648,17 +648,15 @@ def communities_fixed(i):
 @query
 def louvain_move_round(i):
     """One synchronous round from single nodes, resolution 1; weights back in their own unit."""
-    one = edges(i).select(F.lit(0).alias("trial"), "src", "dst", "weight")
-    ids = cut(louvain.number_nodes(one))
-    numbered = cut(louvain.numbered_edges(one, ids))
-    start = cut(louvain.start_level(numbered, {0: 1.0}))
-    state = start.withColumns({c: F.col("node") for c in ("com", "best", "wish")})
-    moved = louvain.move_round(state, louvain.neighbour_table(numbered, start))
-    unit = (edges(i).agg(F.sum("weight")).scalar() / numbered.agg(F.sum("weight")).scalar())
+    ids, near, nodes, trials = louvain.prepared(edges(i).select("src", "dst", "weight"), {0: 1.0})
+    alone = nodes.select("node", "trial", F.col("node").alias("com"), "k", F.lit(True).alias("on"))
+    totals = alone.select("com", F.col("k").alias("tot"), F.lit(1).cast("bigint").alias("size"))
+    moved = cut(louvain.best_moves(near, louvain.rows_by_node(alone, totals), trials).withColumn("proposal", F.coalesce("to", "com")))
+    near.release()
     name = lambda col: ids.select(F.col("id").alias(col), F.col("node").alias(f"{col}_name"))
     return moved.join(name("node"), "node").join(name("proposal"), "proposal").select(
         F.col("node_name").alias("node"), F.col("proposal_name").alias("proposal"),
-        F.round(F.col("kin") * unit, 8).alias("kin"), F.round(F.col("tot") * unit, 8).alias("tot"))
+        F.round(F.col("kin") / trials.unit, 8).alias("kin"), F.round(F.col("tot") / trials.unit, 8).alias("tot"))
 
 
 @shared
@@ -721,24 +719,20 @@ def refine_connected(i):
     return graph.refine_connected(edges(i), prior_partition(i))
 
 
-@shared
-def sample_edges(i):
-    return graph.induced_subgraph(edges(i), sample_nodes(i))
-
-
 @shared
 def swept(i):
-    return louvain.resolution_sweep(sample_edges(i), RESOLUTIONS)
+    return louvain.resolution_sweep(edges(i), RESOLUTIONS)
 
 
 @query
 def resolution_sweep(i):
+    """The whole graph at every resolution."""
     return swept(i)
 
 
 @query
 def resolution_modularity(i):
-    return partition.modularity(sample_edges(i), swept(i), by=["resolution"])
+    return partition.modularity(edges(i), swept(i), by=["resolution"])
 
 
 @query
@@ -746,6 +740,14 @@ def resolution_ami(i):
     return partition.ami_sweep(swept(i), groups(i))
 
 
+@query
+def resolution_checks(i):
+    """Facts about the sweep at each resolution: every node is labelled once, and no single move of a node gains."""
+    labelled = swept(i).groupBy("resolution").agg(F.count("*").alias("labelled"), F.count_distinct("node").alias("nodes"))
+    better = partition.improving_moves_of_sweep(edges(i), swept(i)).groupBy("resolution").agg(F.count("*").alias("n"))
+    return labelled.join(better, "resolution", "left").select("resolution", "labelled", "nodes", F.coalesce("n", F.lit(0)).alias("improving_moves"))
+
+
 # --- tuning -----------------------------------------------------------------------------
 
 @shared
