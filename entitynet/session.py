@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,7 @@ SETTINGS = {
 }
 
 _folders: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def session(name: str = "entitynet", master: str | None = None, **conf) -> SparkSession:
@@ -55,6 +58,28 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._cut_path = path
+    if _scopes:
+        _scopes[-1].append(written)
+    return written
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Release, at the end, every table that ``cut`` writes inside, but for those given to ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for written in _scopes.pop():
+            release(written)
+
+
+def keep(written: DataFrame) -> DataFrame:
+    """Hand a table of the innermost scope on to the one around it."""
+    inner = _scopes[-1]
+    inner[:] = [x for x in inner if x is not written]
+    if len(_scopes) > 1:
+        _scopes[-2].append(written)
     return written
 
 
