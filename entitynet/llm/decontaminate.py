@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitynet.llm.tables import slices
-from entitynet.session import cut
+from entitynet.llm.tables import Numbered, slices
+from entitynet.session import cut, keep, scope
 
 #: Bytes of text in a segment.
 SEGMENT_CHARS = 3_000_000
@@ -200,12 +200,13 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any occurrence of a window of an item; every column is kept.
+    """The documents without any occurrence of a window of an item; every column is kept, whatever its name.
 
     Rows are numbered in a written table, so that a row goes for its own text alone,
-    whatever other rows share its id or have none.
+    whatever other rows share its id or have none. The texts stay where they are written.
     """
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = search(build_index(numbered.select(F.col("_row").alias("doc_id"), "text")), benchmark, window)
-    hit = cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_row")))
-    return numbered.join(hit, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    numbered = Numbered(docs)
+    with scope():
+        found = search(build_index(numbered.text().select(F.col("_row").alias("doc_id"), "text")), benchmark, window)
+        hit = keep(cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_row")).distinct()))
+    return numbered.without(hit)

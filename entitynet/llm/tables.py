@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entitynet.session import scratch
+
 #: Characters of text that a Python task works on at once; a longer text is one piece of work.
 SLICE_CHARS = 1_500_000
 
@@ -39,3 +42,49 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_CH
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text is divisible by five; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front what no column of ``df`` is called (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+class Numbered:
+    """A written copy of a table whose rows have numbers, to be cut down by decisions on those numbers.
+
+    A number names its partition and the place in it. Every task writes its partition to
+    the bucket of that name, so texts are written once and never shuffled: decisions are
+    gathered into one row a partition (as many numbers as a partition has rows at most) and
+    brought to the bucket. Numbers come from a written table, so a lost executor changes none.
+    """
+
+    def __init__(self, docs: DataFrame):
+        spark = docs.sparkSession
+        self.columns, self.row, self.part = docs.columns, unused(docs, "_row"), unused(docs, "_part")
+        numbered = docs.withColumn(self.row, F.monotonically_increasing_id()).withColumn(self.part, F.shiftright(self.row, 33))
+        self.name, path = f"rows_{uuid.uuid4().hex}", scratch(spark)
+        numbered.write.bucketBy(max(1, docs.rdd.getNumPartitions()), self.part).option("path", path).saveAsTable(self.name)
+        self.table = spark.table(self.name)
+
+    def text(self) -> DataFrame:
+        """(_row, doc_id, text) of every row."""
+        return self.table.select(F.col(self.row).alias("_row"), "doc_id", "text")
+
+    def _met(self, rows: DataFrame, value: str | None, how: str) -> DataFrame:
+        pair = F.struct("_row", F.lit(0).alias("_value") if value is None else F.col(value).alias("_value"))
+        by_part = rows.groupBy(F.shiftright("_row", 33).alias("_in")).agg(F.map_from_entries(F.collect_list(pair)).alias("_decided"))
+        # Hashed, not sorted: the texts stay where they are.
+        return self.table.alias("t").join(by_part.hint("shuffle_hash").alias("d"), F.col(f"t.{self.part}") == F.col("d._in"), how)
+
+    def text_of(self, rows: DataFrame, value: str) -> DataFrame:
+        """(_value, text) of the rows in ``rows`` (_row, ``value``); the numbers in ``rows`` are distinct."""
+        return self._met(rows, value, "inner").select(F.col("d._decided")[F.col(f"t.{self.row}")].alias("_value"), F.col("t.text").alias("text")).where(
+            F.col("_value").isNotNull())
+
+    def without(self, rows: DataFrame) -> DataFrame:
+        """The table's own columns of all rows but those in ``rows`` (_row, distinct)."""
+        left = self._met(rows, None, "left").where(F.col("d._decided").isNull() | ~F.map_contains_key("d._decided", F.col(f"t.{self.row}")))
+        return left.select(*[F.col(f"t.`{c}`") for c in self.columns])
