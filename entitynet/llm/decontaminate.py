@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitynet.llm.tables import Numbered, slices
+from entitynet.llm.tables import slices, unused
 from entitynet.session import cut, keep, scope
 
 #: Bytes of text in a segment.
@@ -203,10 +203,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any occurrence of a window of an item; every column is kept, whatever its name.
 
     Rows are numbered in a written table, so that a row goes for its own text alone,
-    whatever other rows share its id or have none. The texts stay where they are written.
+    whatever other rows share its id or have none.
     """
-    numbered = Numbered(docs)
+    row = unused(docs, "_row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     with scope():
-        found = search(build_index(numbered.text().select(F.col("_row").alias("doc_id"), "text")), benchmark, window)
-        hit = keep(cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_row")).distinct()))
-    return numbered.without(hit)
+        found = search(build_index(numbered.select(F.col(row).alias("doc_id"), "text")), benchmark, window)
+        hit = keep(cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias(row)).distinct()))
+    return numbered.join(hit, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

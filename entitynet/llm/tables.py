@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitynet.session import scratch
+from entitynet.session import cut, scratch
 
 #: Characters of text that a Python task works on at once; a longer text is one piece of work.
 SLICE_CHARS = 1_500_000
@@ -75,8 +75,8 @@ class Numbered:
 
     def _met(self, rows: DataFrame, value: str | None, how: str) -> DataFrame:
         pair = F.struct("_row", F.lit(0).alias("_value") if value is None else F.col(value).alias("_value"))
-        by_part = rows.groupBy(F.shiftright("_row", 33).alias("_in")).agg(F.map_from_entries(F.collect_list(pair)).alias("_decided"))
-        # Hashed, not sorted: the texts stay where they are.
+        # A written table has no partitioning of its own, so it is brought to the buckets and not the texts to it; hashed, not sorted.
+        by_part = cut(rows.groupBy(F.shiftright("_row", 33).alias("_in")).agg(F.map_from_entries(F.collect_list(pair)).alias("_decided")))
         return self.table.alias("t").join(by_part.hint("shuffle_hash").alias("d"), F.col(f"t.{self.part}") == F.col("d._in"), how)
 
     def text_of(self, rows: DataFrame, value: str) -> DataFrame:
