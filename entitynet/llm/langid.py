@@ -38,6 +38,8 @@ RIDGE = 1e-6
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Languages that are learned at most, the commonest values of the column.
+LANGUAGES = 200
 
 _TOKEN = re.compile(r"[^\W\d_]+|\n")
 
@@ -63,8 +65,19 @@ class Tokens:
     line_length: np.ndarray
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters, and the line ends; numbers of any script (½, Ⅻ) part words like digits."""
+    out = []
+    for w in _TOKEN.findall(text.lower()):
+        if w.isalpha() or w == "\n":
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def tokenize(texts: list[str]) -> Tokens:
-    found = [_TOKEN.findall(t.lower()) for t in texts]
+    found = [words_of(t) for t in texts]
     flat = pa.array([w for x in found for w in (*x, "\n")], pa.string()).dictionary_encode()
     distinct, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
     text = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in found])
@@ -186,9 +199,11 @@ def sample(docs: DataFrame, where: Column, docs_each: int = DOCS_EACH, doc_chars
     A text of more than ``doc_chars`` characters gives a span of that many from a place chosen by hash.
     """
     rows = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    commonest = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r.n for r in commonest.collect()}
     if not counts:
         return [], []
+    rows = rows.where(F.col("lang").isin(*counts))
     share = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
     place = F.pmod(F.xxhash64("doc_id", "lang"), share)
     room = F.greatest(F.char_length("text") - doc_chars, F.lit(0)) + 1

@@ -84,6 +84,11 @@ def clean_documents(docs: DataFrame, ratio: float = DOCS_RATIO, least: int = LEA
     A line goes if it stands on more than ``ratio`` of the source's n documents and log2(n) more: on
     2 of 2 or 3, on 3 of 4, 4 of 10, 14 of 500. Two near copies in a small source keep their text.
     """
-    done = clean(docs, F.col("source"), F.col("text"), ratio, least, smooth=True).where((F.col("_dropped") == 0) | (F.col("_dropped") < F.col("_lines")))
-    text = F.when(F.col("_dropped") > 0, F.col("_text")).otherwise(F.col("text"))
-    return done.withColumns({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType), "text": text}).select(*[f"`{c}`" for c in docs.columns])
+    # Inside, columns have names that no result of ``clean`` has.
+    inner = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(inner["text"])
+    done = clean(docs.toDF(*inner.values()), F.col(inner["source"]), text, ratio, least, smooth=True).where(
+        (F.col("_dropped") == 0) | (F.col("_dropped") < F.col("_lines")))
+    text = F.when(F.col("_dropped") > 0, F.col("_text")).otherwise(text)
+    new = {"text": text, "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)}
+    return done.select(*[new.get(c, F.col(name)).alias(c) for c, name in inner.items()])

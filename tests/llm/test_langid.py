@@ -78,3 +78,8 @@ def test_long_texts_teach_by_a_span(spark):
     docs = documents(spark, [(i, " ".join(DE * 300)) for i in range(4)], lang="de").unionByName(documents(spark, [(10 + i, t) for i, t in enumerate(EN)]))
     texts, labels = langid.sample(docs, F.lit(True))
     assert sorted(labels) == ["de"] * 4 + ["en"] * 3 and {len(t) for t, lang in zip(texts, labels) if lang == "de"} == {langid.DOC_CHARS}
+
+
+def test_only_letters_make_words():
+    assert langid.words_of("x² ½ Ⅻ ③ Straße\nà 12a_b 漢字") == ["x", "straße", "\n", "à", "a", "b", "漢字"]
+    assert langid.words_of("²½ Ⅻ ١٢") == []

@@ -72,3 +72,11 @@ def test_documents_lose_the_common_lines_of_a_large_source_and_keep_rare_ones(sp
     docs = documents(spark, texts).unionByName(documents(spark, [(1000, "shared one\nleft"), (1001, "shared one\nright"), *[(1002 + i, f"o {i}") for i in range(8)]], source="small"))
     got = {r.doc_id: r.text for r in linededup.clean_documents(docs).collect()}
     assert len(got) == 410 and not any("common" in t for t in got.values()) and "rare" in got[1] and got[1000] == "shared one\nleft"
+
+
+def test_document_columns_of_any_name_are_kept(spark):
+    docs = documents(spark, ["same line\nown one", "same line\nown two", "same line\nown three"]).selectExpr(
+        "*", "1 AS _host", "2 AS _lines", "3 AS _kept", "4 AS _of", "5 AS _bad", "6 AS _text", "7 AS _dropped", "8 AS in0")
+    got = linededup.clean_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r)[5:] + (r.text, r.n_chars) for r in got.collect()) == sorted((1, 2, 3, 4, 5, 6, 7, 8, t, len(t)) for t in ("own one", "own two", "own three"))
