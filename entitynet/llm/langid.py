@@ -242,19 +242,19 @@ def predict_batch(model: Model | None, texts: list[str]) -> tuple[list[str], lis
     return judge_batch(model, texts)[:2]
 
 
-def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, carry: list[str], text: str = "text") -> DataFrame:
     """The columns ``carry`` of ``docs`` with lang_pred, score, familiar and n_words, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carry = [c for c in carry if c not in ("lang_pred", "score", "familiar", "n_words")]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            names, values, familiar, counts = judge_batch(shared.value, [t or "" for t in part.column("text").to_pylist()])
+        for part in slices(batches, text):
+            names, values, familiar, counts = judge_batch(shared.value, [t or "" for t in part.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(names, pa.string()), pa.array(values, pa.float64()),
                                               pa.array(familiar, pa.float64()), pa.array(counts, pa.int64())], [*carry, "lang_pred", "score", "familiar", "n_words"])
 
-    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*carry, "text"])]).mapInArrow(run, f"{fields}, lang_pred string, score double, familiar double, n_words bigint")
+    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*carry, text])]).mapInArrow(run, f"{fields}, lang_pred string, score double, familiar double, n_words bigint")
 
 
 def train(docs: DataFrame, where: Column) -> Model | None:
@@ -291,8 +291,9 @@ def accepted(docs: DataFrame, rate: float = RATE) -> DataFrame:
     model = fit(texts, labels)
     fresh = sample(docs, taught, turn=1)
     least, familiar = bounds(model, *(fresh if len(fresh[0]) >= len(texts) / 2 else (texts, labels)), rate)
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns], "text")
-    marked = predict(renamed, model, [f"_{c}" for c in docs.columns])
+    # Each text goes to Python and back once, under a name that no result has.
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns])
+    marked = predict(renamed, model, renamed.columns, "_text")
     strange = F.col("familiar") + 1.5 / F.sqrt(F.greatest("n_words", F.lit(1))) < familiar / 2
     return marked.where((F.col("lang_pred") != UNKNOWN) & ~strange & ((F.col("score") >= least) | (F.col("familiar") >= familiar))).select(
         *[F.col(f"`_{c}`").alias(c) for c in docs.columns])

@@ -37,6 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_CH
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def held_out(doc_id: Column) -> Column:
