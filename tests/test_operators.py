@@ -305,6 +305,53 @@ def test_prior_groups_have_one_row_per_node(spark):
     assert rows(entities.prior_groups(nodes)) == [("a", "1"), ("b", "0")]
 
 
+def test_hubs_and_large_graphs_of_communities(spark, monkeypatch):
+    """Hubs in their own table, and graphs of communities climbed by rounds, end in an optimum too."""
+    monkeypatch.setattr(louvain, "HUB", 6)
+    monkeypatch.setattr(louvain, "SMALL", 0)
+    pairs = random_edges(30, 60, 5) + [("hub", f"n{i:02d}", 0.5) for i in range(12)]
+    edges = layer(spark, *pairs)
+    found = louvain.louvain(edges, 1.0)
+    assert partition.improving_moves(edges, found).count() == 0
+    assert dict(rows(louvain.louvain(edges, 0.0), "node", "community")) == roots(pairs)
+
+
+def test_rounds_do_not_shuffle_the_edges(spark):
+    edges = layer(spark, *random_edges(40, 90, 3))
+    _, near, nodes, trials = louvain.prepared(edges, {0: 1.0})
+    alone = nodes.select("node", "trial", F.col("node").alias("com"), "k", F.lit(True).alias("on"))
+    totals = alone.select("com", F.col("k").alias("tot"), F.lit(1).cast("bigint").alias("size"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = louvain.best_moves(near, louvain.rows_by_node(alone, totals), trials)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = next(i for i, line in enumerate(plan) if "default.near_" in line)
+    join = next(i for i in range(scan, 0, -1) if "Join" in plan[i])
+    assert "Bucketed: true" in plan[scan] and not any("Exchange" in line for line in plan[join:scan])
+    near.release()
+
+
+def test_no_round_lowers_modularity(spark):
+    pairs = random_edges(40, 90, 11)
+    ids, near, nodes, trials = louvain.prepared(layer(spark, *pairs), {0: 1.0})
+    names = {r["id"]: r["node"] for r in ids.collect()}
+    flat = nodes.select("node", "trial", F.col("node").alias("com"), "k", F.lit(True).alias("on"))
+    com, now = {n: n for n in names}, -1.0
+    while True:
+        totals = flat.groupBy("com").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+        proposed = louvain.best_moves(near, louvain.rows_by_node(flat, totals), trials).filter("to is not null")
+        moved = louvain.compatible(near, proposed, trials).collect()
+        if not moved:
+            break
+        com.update({r["node"]: r["to"] for r in moved})
+        before, now = now, brute_modularity(pairs, {names[n]: c for n, c in com.items()})
+        assert now > before
+        flat = table(spark, [(r["node"], 0, com[r["node"]], r["k"], True) for r in nodes.collect()], "node bigint, trial int, com bigint, k bigint, on boolean")
+    assert now > 0.2
+
+
 def test_clique_ring_and_sweep(spark):
     pairs = ring(10, 5)
     swept = louvain.resolution_sweep(layer(spark, *pairs), [0.0, 0.5, 1.0])
