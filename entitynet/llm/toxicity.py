@@ -21,8 +21,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log
 
 import numpy as np
@@ -36,8 +38,8 @@ from entitynet.session import cut
 TOXIC_DOCS, CLEAN_DOCS, DOC_CHARS = 1_500, 3_000, 20_000
 #: Letters of the word beginnings that may become entries.
 BEGINNINGS = (4, 5, 6, 7)
-#: Standard errors by which an entry's log odds must exceed LEAST_ODDS, and entries at most.
-SURE, LEAST_ODDS, ENTRIES = 2.3, 1.0, 5_000
+#: Standard errors by which an entry's log odds must exceed LEAST_ODDS.
+SURE, LEAST_ODDS = 2.3, 1.0
 
 # Letters that look like Latin ones, signs that stand for letters, and phrases in which an entry is harmless.
 LOOK_ALIKES = {
@@ -87,8 +89,12 @@ def found(machine, words: list[str]) -> list[tuple[int, int, float]]:
     if not len(machine) or not words:
         return []
     every = [(end - size + 1, end, weight) for end, (size, weight) in machine.iter(f" {' '.join(words)} ")]
-    spared = [m for m in every if not m[2]]
-    return [m for m in every if m[2] and not any(a <= m[0] and m[1] <= b for a, b, _ in spared)]
+    spared = sorted((a, b) for a, b, weight in every if not weight)
+    if not spared:
+        return every
+    starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+    # Of the phrases that start no later than a match, the one that reaches furthest covers it if any does.
+    return [m for m in every if m[2] and not ((k := bisect_right(starts, m[0])) and reach[k - 1] >= m[1])]
 
 
 def evidence(machine, text: str) -> tuple[float, float]:
@@ -147,7 +153,8 @@ def fit(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     counted = contexts(rows).distinct().groupBy("entry").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
     strong = counted.withColumn("weight", odds).where((F.col("weight") - SURE * spread) > LEAST_ODDS)
-    listed = strong.orderBy(F.desc("t"), F.length("entry"), "entry").limit(ENTRIES).collect()
+    # All of them: the sample bounds their number, and an entry needs several toxic neighbourhoods.
+    listed = strong.orderBy(F.desc("t"), F.length("entry"), "entry").collect()
     model = Model(distinct_entries({r.entry: (r.weight, r.t) for r in listed}), exceptions)
     machine = model.automaton()
     kept = rows.limit(2 * (TOXIC_DOCS + CLEAN_DOCS)).toLocalIterator()

@@ -70,3 +70,15 @@ def test_curve_separates():
     data = np.array([(0, 0, 0)] * 20 + [(1, 2, 1)] * 20, float)
     a, b, c = toxicity.curve(data)
     assert a < 0 < a + b + 2 * c
+
+
+def test_matches_meet_a_naive_scan():
+    r = random.Random(7)
+    for _ in range(60):
+        words = [r.choice(["bad", "badly", "egg", "good", "eggs", "x"]) for _ in range(r.randrange(30))]
+        model = toxicity.Model({" bad": 1.5, " egg ": 2.0, " badly ": 0.5}, ("good egg", "bad egg x", "egg x badly"))
+        joined = f" {' '.join(words)} "
+        spans = lambda entry: [(i, i + len(entry) - 1) for i in range(len(joined)) if joined.startswith(entry, i)]
+        spared = [s for p in model.exceptions for s in spans(f" {p} ")]
+        want = [(a, b, w) for e, w in model.entries.items() for a, b in spans(e) if not any(c <= a and b <= d for c, d in spared)]
+        assert sorted(toxicity.found(model.automaton(), words)) == sorted(want if words else [])
