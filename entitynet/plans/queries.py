@@ -795,7 +795,7 @@ def best_trial(i):
 
 @shared
 def search_log(i):
-    return tuning.search(flagged_sample(i), groups(i), generations=1, population=4)
+    return tuning.search(flagged_sample(i), groups(i), generations=1, population=4, polish=False)
 
 
 @query
