@@ -179,6 +179,16 @@ def test_kde(spark):
         assert r["density"] == pytest.approx(want)
 
 
+def test_kde_of_clusters_and_outliers_is_the_sum_over_all_values(spark):
+    draw = random.Random(3)
+    values = [draw.gauss(0, 1) for _ in range(300)] + [draw.gauss(40, 0.1) for _ in range(300)] + [-500.0, 3000.0, 3000.0]
+    got = stats.kde(table(spark, [(v,) for v in values], "v double"), "v", 333).orderBy("point").collect()
+    width = np.std(values, ddof=1) * len(values) ** -0.2
+    xs = np.linspace(min(values), max(values), 333)
+    want = np.exp(-0.5 * ((xs[:, None] - np.array(values)) / width) ** 2).sum(1) / (len(values) * width * math.sqrt(2 * math.pi))
+    assert np.allclose([r["x"] for r in got], xs) and np.abs(np.array([r["density"] for r in got]) - want).max() < 1e-14 / width
+
+
 def test_kde_without_spread(spark):
     got = stats.kde(table(spark, [(2.0,), (2.0,)], "v double"), "v", 4).collect()
     assert len(got) == 4 and all(r["density"] is None and r["x"] == 2.0 for r in got)
@@ -439,13 +449,79 @@ def test_search_improves_and_repeats(spark):
     built = {"ownership": layer(spark, *ring(4, 4)), "family": layer(spark, ("n000", "n012", 1.0), ("n021", "n033", 1.0))}
     flagged = layers.build_flagged_edges(built)
     truth = table(spark, [(f"n{c:02d}{i}", str(c)) for c in range(4) for i in range(4)], "id string, com string")
-    logs = [rows(tuning.search(flagged, truth, generations=1, population=3, seed=2)) for _ in range(2)]
-    assert logs[0] == logs[1] and len(logs[0]) == 6
+    logs = [tuning.search(flagged, truth, generations=1, population=3, seed=2, polish=False).orderBy("trial").collect() for _ in range(2)]
+    assert logs[0] == logs[1] and [(r["trial"], r["phase"], r["generation"]) for r in logs[0]][::3] == [(0, "start", 0), (3, "evolve", 1)][:len(logs[0]) // 3]
     for r in logs[0]:
-        assert all(lo <= v <= hi for v, (lo, hi) in zip(r[1:5], tuning.BOUNDS)) and r[5] <= 1 + 1e-9
-    best = tuning.best_trial(table(spark, logs[0], "trial int, w_family double, w_representative double, "
-                                   "w_accountant double, resolution double, ami double")).first()
-    assert best["ami"] == max(r[5] for r in logs[0])
+        assert all(lo <= r[p] <= hi for p, (lo, hi) in zip(tuning.PARAMETERS, tuning.BOUNDS)) and r["ami"] <= 1 + 1e-9
+    best = tuning.best_trial(spark.createDataFrame(logs[0], tuning.LOG)).first()
+    assert best["ami"] == max(r["ami"] for r in logs[0])
+
+
+def surface(trial):
+    """Highest, 1, at (0.9, 0.3, 0.55, 0.22)."""
+    return 1 - sum(((x - at) / (hi - lo)) ** 2 for x, at, (lo, hi) in zip(trial, (0.9, 0.3, 0.55, 0.22), tuning.BOUNDS))
+
+
+def test_first_generation_has_one_point_in_every_slice():
+    points = tuning.latin_hypercube(random.Random(4), tuning.BOUNDS, 12)
+    for axis, (low, high) in enumerate(tuning.BOUNDS):
+        assert sorted(int((p[axis] - low) / (high - low) * 12) for p in points) == list(range(12))
+
+
+def test_evolution_and_polish_find_the_top_within_bounds():
+    phases, seen = [], []
+
+    def score(phase, trials):
+        phases.append(phase)
+        seen.extend(trials)
+        return [surface(t) for t in trials]
+
+    best, value = tuning.evolve(score, tuning.BOUNDS, 10, 12, 3)
+    polished, top = tuning.refine(score, tuning.BOUNDS, best, value)
+    assert phases[0] == "start" and {*phases[1:11]} == {"evolve"} and {*phases[11:]} == {"polish"}
+    assert top >= value and top > 1 - 5 * tuning.POLISH_TO ** 2 and top == surface(polished)
+    assert all(lo <= x <= hi for t in seen for x, (lo, hi) in zip(t, tuning.BOUNDS))
+    corner, top = tuning.refine(lambda _, trials: [sum(t) for t in trials], tuning.BOUNDS, (0.5, 0.5, 0.5, 0.2), 1.7)
+    assert corner == tuple(hi for _, hi in tuning.BOUNDS) and top == sum(corner)
+    flat, _ = tuning.refine(lambda _, trials: [0.0] * len(trials), tuning.BOUNDS, (0.5, 0.5, 0.5, 0.2), 0.0)
+    assert flat == (0.5, 0.5, 0.5, 0.2)
+
+
+def test_a_broken_search_resumes_to_the_log_of_an_unbroken_one(spark, tmp_path, monkeypatch):
+    flagged = table(spark, [("a", "b")], "src string, dst string")
+    truth = table(spark, [("a", "1")], "id string, com string")
+    calls, fail_at = [], [None]
+
+    def fake(flagged, truth, trials):
+        if len(calls) == fail_at[0]:
+            raise RuntimeError("lost")
+        calls.append(len(trials))
+        return table(spark, [(i, *t, surface(t)) for i, t in enumerate(trials)], "trial int, " + ", ".join(f"{p} double" for p in tuning.PARAMETERS) + ", ami double")
+
+    monkeypatch.setattr(tuning, "evaluate", fake)
+    run = lambda ledger, **kw: [tuple(r) for r in tuning.search(
+        flagged, truth, **{"generations": 3, "population": 5, "seed": 7, **kw}, ledger=ledger).orderBy("trial").collect()]
+    whole, batches = run(str(tmp_path / "whole")), len(calls)
+    assert [r[0] for r in whole] == list(range(len(whole))) and {r[6] for r in whole} == {"start", "evolve", "polish"}
+    calls.clear()
+    fail_at[0] = 2
+    with pytest.raises(RuntimeError):
+        run(str(tmp_path / "broken"))
+    fail_at[0] = None
+    assert run(str(tmp_path / "broken")) == whole and len(calls) == batches
+    calls.clear()
+    assert run(str(tmp_path / "broken")) == whole and not calls
+    # A generation that lacks trials is run anew, and nothing else.
+    spark.createDataFrame([r[:7] for r in whole if r[7] == 1][:2], tuning.LOG.rpartition(",")[0]).write.mode("overwrite").parquet(
+        str(tmp_path / "broken" / "trials" / "generation=1"))
+    assert run(str(tmp_path / "broken")) == whole and calls == [5]
+    with pytest.raises(ValueError):
+        run(str(tmp_path / "broken"), seed=8)
+    with pytest.raises(ValueError):
+        tuning.search(flagged, truth.limit(0), generations=3, population=5, seed=7, ledger=str(tmp_path / "broken"))
+    calls.clear()
+    short = run(str(tmp_path / "short"), generations=1, polish=False)
+    assert run(str(tmp_path / "short"), generations=3, polish=False)[:len(short)] == short and calls == [5] * 4
 
 
 def test_storage(spark, tmp_path):
