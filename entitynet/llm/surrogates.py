@@ -14,7 +14,9 @@ document is replaced alike.
 Documents without an entity pass by without a shuffle. Everything is DataFrame code.
 
 Defined cases: null and empty texts have no entity and stay; repeated rows are replaced
-alike; an empty table gives no rows; any other column is kept.
+alike; an empty table gives no rows; any other column is kept whatever its name, but for
+``n_entities``, which is replaced. A very long text is one row with its map of names. A number with its
+country code and one without are two entities. A value that starts with an unusual or no key stays.
 """
 
 from __future__ import annotations
@@ -52,23 +54,37 @@ PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}
 ADDRESS = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"
 CARD = r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"
 PART = r"\p{Lu}[\p{L}'’-]{1,40}"
-SECRET = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<=password=)[0-9A-Za-z]{6,80}|(?<=token = \")[0-9A-Za-z]{16,80}"
-TITLED = r"(?<!\p{L})(?:" + "|".join(t for g in TITLES.values() for t in g) + rf")\.? {PART}(?: {PART})?"
-ENTITY = "|".join((MAIL, PHONE, ADDRESS, SECRET, CARD, TITLED))
+#: A number without its country code, as (614) 555-8001 or 614-555-8001.
+NATIONAL = r"(?<![\w(+.-])(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[.-])\d{3}[.-]\d{4}(?![\w-]|\.\d)"
+# What a secret is called.
+SECRET_KEYS = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
+#: Four letters or digits at least, so masks such as ****** are none, and not the name of a key itself.
+_REAL = rf"(?=(?:[^\s\"'A-Za-z0-9]*+[A-Za-z0-9]){{4}})(?!{SECRET_KEYS}\b)"
+#: After a key: a quoted value, one right behind an equals sign that is no call or index, or any with a digit.
+SECRET = "|".join((
+    r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
+    rf"(?<={SECRET_KEYS}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']){_REAL}[^\s\"']{{6,}}+(?=[\"'])",
+    rf"(?<={SECRET_KEYS}=){_REAL}[^\s\"'<>,;&()\[\]{{}}]{{6,}}+(?![(\[{{])",
+    rf"(?<={SECRET_KEYS}[ \t]{{0,3}}[:=][ \t]{{0,3}}){_REAL}(?=[^\s\"'<>,;&()\[\]{{}}\d]*+\d)[^\s\"'<>,;&()\[\]{{}}]{{6,}}+(?![(\[{{])",
+))
+TITLED = r"(?<!\p{L})(?:" + "|".join(t for g in TITLES.values() for w in g for t in (w, w.upper())) + rf")\.? {PART}(?: {PART})?"
+ENTITY = "|".join((MAIL, PHONE, ADDRESS, NATIONAL, SECRET, CARD, TITLED))
 #: What a text is cut at to be put together again: the entities and every word that could be part of a name.
-PIECE = "|".join((MAIL, PHONE, ADDRESS, SECRET, CARD, rf"(?<!\p{{L}}){PART}"))
+PIECE = "|".join((MAIL, PHONE, ADDRESS, NATIONAL, SECRET, CARD, rf"(?<!\p{{L}}){PART}"))
 
 
 def kind_of(value: Column) -> Column:
-    return (F.when(value.contains("@"), "mail").when(value.startswith("+"), "phone").when(value.rlike(f"^(?:{ADDRESS})$"), "ip")
-            .when(value.rlike(r"^[\d -]+$"), "card").when(value.rlike(r"\d") & ~value.contains(" "), "secret"))
+    """The type of an entity; null for a form of address with a name, which alone holds a blank beside numbers."""
+    whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
+    return (F.when(whole(MAIL), "mail").when(whole(PHONE) | whole(NATIONAL), "phone").when(whole(ADDRESS), "ip")
+            .when(whole(CARD), "card").when(~value.contains(" "), "secret"))
 
 
 def may_hold_any(text: Column) -> Column:
-    """Every entity needs a digit, a mail sign or a form of address: texts without are passed over quickly."""
-    titles = sorted({t for g in TITLES.values() for t in g}, key=len)
+    """Every entity needs a digit, a mail sign, a form of address or the name of a secret: texts without are passed over quickly."""
+    titles = sorted({t for g in TITLES.values() for w in g for t in (w, w.upper())}, key=len)
     stems = [t for i, t in enumerate(titles) if not any(t.startswith(u) for u in titles[:i])]
-    return F.coalesce(reduce(lambda a, t: a | text.contains(t), stems, text.rlike("[0-9@]")), F.lit(False))
+    return F.coalesce(reduce(lambda a, t: a | text.contains(t), stems, text.rlike("[0-9@]")) | text.rlike(SECRET_KEYS), F.lit(False))
 
 
 def entities(text: Column) -> Column:
@@ -80,7 +96,8 @@ def entities(text: Column) -> Column:
     def parts(x: Column) -> Column:
         title = F.regexp_extract(x, r"^\p{L}+", 0)
         words = F.split(F.regexp_replace(x, r"^\p{L}+\.? ", ""), " ")
-        gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("u")
+        of = lambda g: title.isin(*[t for w in TITLES[g] for t in (w, w.upper())])
+        gender = F.when(of("m"), "m").when(of("f"), "f").otherwise("u")
         script = F.when(words[0].rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         return F.transform(words, lambda w, i: F.struct(F.concat(
             F.when((i == 0) & (F.size(words) > 1), F.concat(F.lit("given-"), gender)).otherwise(F.lit("family")), F.lit("-"), script).alias("kind"),
@@ -100,13 +117,14 @@ def draw(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Column:
     mail = spelled(lambda c, i: F.when(i >= F.length(norm) - stop, c).when(c.rlike("[a-z]"), F.substring(letters, number(i) % 26 + 1, F.lit(1)))
                    .when(c.rlike(r"\d"), (number(i) % 10).cast("string")).otherwise(c))
     # The country code stays with its sign; digits of 2 and more stay so, which keeps area codes and exchanges possible.
-    phone = spelled(lambda c, i: F.when((i <= 1) | ~c.rlike(r"\d"), c).when(c >= "2", (number(i) % 8 + 2).cast("string")).otherwise((number(i) % 2).cast("string")))
+    phone = spelled(lambda c, i: F.when(((i <= 1) & norm.startswith("+")) | ~c.rlike(r"\d"), c).when(c >= "2", (number(i) % 8 + 2).cast("string")).otherwise((number(i) % 2).cast("string")))
     octet = lambda i, of, least: (number(F.lit(i)) * 256 + number(F.lit(i + 8))) % of + least
     address = F.concat_ws(".", octet(0, 89, 11), octet(1, 254, 1), octet(2, 254, 1), octet(3, 254, 1))
-    # A key keeps its marker; hexadecimal stays hexadecimal.
+    # A key keeps its marker and its punctuation; hexadecimal stays hexadecimal.
+    span = F.when(norm.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 6).otherwise(26)
     secret = spelled(lambda c, i: F.when((i < 4) & norm.startswith("AKIA"), c).when(c.rlike(r"\d"), (number(i) % 10).cast("string")).when(
-        c.rlike("[a-z]"), F.substring(letters, number(i) % F.when(norm.rlike("^[0-9a-f]+$"), 6).otherwise(26) + 1, F.lit(1))).otherwise(
-        F.upper(F.substring(letters, number(i) % 26 + 1, F.lit(1)))))
+        c.rlike("[A-Z]"), F.upper(F.substring(letters, number(i) % span + 1, F.lit(1)))).when(
+        c.rlike(r"\p{L}"), F.substring(letters, number(i) % span + 1, F.lit(1))).otherwise(c))
     digits = spelled(lambda c, i: F.when(i == 0, c).otherwise((number(i) % 10).cast("string")))
     body = F.substring(digits, F.lit(1), F.length(norm) - 1)
     luhn = F.aggregate(F.transform(F.reverse(F.split(body, "")), lambda c, i: F.when(i % 2 == 1, c.cast("int")).otherwise(
@@ -162,17 +180,20 @@ def replaced(text: Column, names: Column) -> Column:
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The columns of ``docs``, text replaced, and n_entities, how many distinct written entities each document has."""
-    columns = [f"`{c}`" for c in docs.columns if c != "n_entities"]
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: name if name not in taken else free("_" + name)
+    row, marks, told = free("_row"), free("_entities"), free("_names")
+    columns = [f"`{c}`" for c in docs.columns if c.lower() != "n_entities"]
     none = F.array().cast("array<struct<kind:string,norm:string,shown:string>>")
-    marked = docs.withColumn("_entities", F.when(may_hold_any(F.col("text")), entities(F.col("text"))).otherwise(none))
-    plain = marked.where(F.size("_entities") == 0)
-    private = cut(marked.where(F.size("_entities") > 0).withColumn("_row", F.monotonically_increasing_id()))
-    each = private.select("_row", F.explode("_entities").alias("e")).select("_row", "e.*")
+    marked = docs.withColumn(marks, F.when(may_hold_any(F.col("text")), entities(F.col("text"))).otherwise(none))
+    plain = marked.where(F.size(marks) == 0)
+    private = cut(marked.where(F.size(marks) > 0).withColumn(row, F.monotonically_increasing_id()))
+    each = private.select(row, F.explode(marks).alias("e")).select(row, "e.*")
     names = settle(cut(each.select("kind", "norm").distinct()), key)
     # A word that a document shows both as a given and as a family name takes one of the two surrogates.
-    one = each.join(names, ["kind", "norm"]).groupBy("_row", "shown").agg(F.min_by("surrogate", "kind").alias("surrogate"), F.min("kind").alias("kind"))
-    told = one.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(
-        "shown", written(F.col("kind"), F.col("shown"), F.col("surrogate"))))).alias("_names"))
-    done = private.join(told, "_row").withColumn("text", replaced(F.col("text"), F.col("_names")))
-    count = F.size("_entities").cast("long").alias("n_entities")
+    one = each.join(names, ["kind", "norm"]).groupBy(row, "shown").agg(F.min_by("surrogate", "kind").alias("surrogate"), F.min("kind").alias("kind"))
+    found = one.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(
+        "shown", written(F.col("kind"), F.col("shown"), F.col("surrogate"))))).alias(told))
+    done = private.join(found, row).withColumn("text", replaced(F.col("text"), F.col(told)))
+    count = F.size(marks).cast("long").alias("n_entities")
     return plain.select(*columns, count).unionByName(done.select(*columns, count))

@@ -60,3 +60,37 @@ def test_awkward_texts_columns_and_tables(spark):
     assert surrogates.replace_entities(docs.limit(0)).count() == 0
     same = documents(spark, [(1, "x@y.org"), (1, "x@y.org"), (None, "x@y.org")])
     assert len({r.text for r in surrogates.replace_entities(same).collect()}) == 1
+
+
+def test_national_numbers_upper_case_keys_and_secrets_of_letters(spark):
+    texts = ["(614) 555-8001 or 614-555-8001", 'TOKEN = "9233A8EC11112222AABB"', "api_key=Zx81kk02mQ", "password: hunter2024", "password=p@ss!word9", "MR. Smith and DR. LEE",
+             "password=abcdefgh", 'x@y.org token = "abcdefghijklmnopqrst"', "secret='" + "k7" * 300 + "'"]
+    got, n = run(spark, *texts)
+    assert all(n.values()) and not any(got[i] == t for i, t in enumerate(texts))
+    wide, narrow = re.fullmatch(r"(\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})", got[0]).groups()
+    assert re.sub(r"\D", "", wide) == re.sub(r"\D", "", narrow) != "6145558001"
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{20}"', got[1]) and re.fullmatch(r"api_key=[A-Z][a-z]\d\d[a-z]{2}\d\d[a-z][A-Z]", got[2])
+    assert re.fullmatch(r"password: [a-z]{6}\d{4}", got[3]) and re.fullmatch(r"password=[a-z]@[a-z]{2}![a-z]{4}\d", got[4])
+    assert re.fullmatch(r"MR\. \p{L}+ and DR\. \S+".replace(r"\p{L}", r"[^\W\d_]"), got[5]) and "Smith" not in got[5] and "LEE" not in got[5]
+    assert re.fullmatch(r"password=[a-z]{8}", got[6]) and re.search(r'token = "[a-z]{20}"$', got[7]) and re.fullmatch(r"secret='(?:[a-z]\d){300}'", got[8])
+
+
+def test_code_masks_and_prose_stay(spark):
+    texts = ["connect(password=password)", "password=******", "token = get_token()", "password=os.environ['X']", "your password: required", "I miss Paris", "a token of thanks",
+             "614-555-80012", "12-614-555-8001", "secret agent"]
+    got, n = run(spark, *texts)
+    assert got == dict(enumerate(texts)) and not any(n.values())
+
+
+def test_no_text_with_an_entity_is_passed_over(spark):
+    probes = ["password=abcdefgh", "PWD='qwertyuiop'", "HERR Meier", "ГОСПОДИН Иванов", "Miss Marple", "Private-Key=abcdefgh"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").unionByName(spark.createDataFrame([(p,) for p in probes], "text string"))
+    words = docs.unionByName(docs.select(F.explode(F.split("text", r"\n|(?<=[.!?]) ")).alias("text")))
+    missed = words.where(F.col("text").rlike(surrogates.ENTITY) & ~surrogates.may_hold_any(F.col("text")))
+    assert missed.count() == 0 and words.where(F.col("text").isin(probes) & F.col("text").rlike(surrogates.ENTITY)).count() >= len(probes)
+
+
+def test_internal_names_do_not_clash(spark):
+    docs = documents(spark, ["a1@b.org", "none"]).selectExpr("*", "1 AS _row", "2 AS _entities", "3 AS _names", "4 AS norm")
+    got = surrogates.replace_entities(docs)
+    assert got.columns == [*docs.columns, "n_entities"] and {tuple(r)[5:9] for r in got.collect()} == {(1, 2, 3, 4)}
