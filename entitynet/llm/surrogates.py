@@ -61,11 +61,13 @@ SECRET_KEYS = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|acce
 #: Four letters or digits at least, so masks such as ****** are none, and not the name of a key itself.
 _REAL = rf"(?=(?:[^\s\"'A-Za-z0-9]*+[A-Za-z0-9]){{4}})(?!{SECRET_KEYS}\b)"
 #: After a key: a quoted value, one right behind an equals sign that is no call or index, or any with a digit.
+#: One character behind and the value itself are looked at first: the keys are tried at few places then.
+_BARE = r"[^\s\"'<>,;&()\[\]{}]"
 SECRET = "|".join((
     r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
-    rf"(?<={SECRET_KEYS}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']){_REAL}[^\s\"']{{6,}}+(?=[\"'])",
-    rf"(?<={SECRET_KEYS}=){_REAL}[^\s\"'<>,;&()\[\]{{}}]{{6,}}+(?![(\[{{])",
-    rf"(?<={SECRET_KEYS}[ \t]{{0,3}}[:=][ \t]{{0,3}}){_REAL}(?=[^\s\"'<>,;&()\[\]{{}}\d]*+\d)[^\s\"'<>,;&()\[\]{{}}]{{6,}}+(?![(\[{{])",
+    rf"(?<=[\"']){_REAL}(?<={SECRET_KEYS}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"'])[^\s\"']{{6,}}+(?=[\"'])",
+    rf"(?<==){_REAL}(?<={SECRET_KEYS}=){_BARE}{{6,}}+(?![(\[{{])",
+    rf"(?<=[:= \t])(?=[^\s\"'<>,;&()\[\]{{}}\d]*+\d){_REAL}(?<={SECRET_KEYS}[ \t]{{0,3}}[:=][ \t]{{0,3}}){_BARE}{{6,}}+(?![(\[{{])",
 ))
 TITLED = r"(?<!\p{L})(?:" + "|".join(t for g in TITLES.values() for w in g for t in (w, w.upper())) + rf")\.? {PART}(?: {PART})?"
 ENTITY = "|".join((MAIL, PHONE, ADDRESS, NATIONAL, SECRET, CARD, TITLED))
