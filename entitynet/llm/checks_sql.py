@@ -60,24 +60,38 @@ FROM kept
 def licence_sql() -> str:
     """The same sentences and rules as CTEs, one for each rule."""
     known = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
-    steps = [f"""s0 AS (
-  SELECT r, mode, string_agg(' ' || i || ' ', '' ORDER BY pos) AS rest, CAST([] AS VARCHAR[]) AS found, count(*) AS n
-  FROM parts JOIN known ON trim(regexp_replace(part, '{licences.NOISE}', ' ', 'g'), ' .') = s GROUP BY r, mode)"""]
+    names = ", ".join(f"'{name}': '{i}'" for name, i in licences.spdx_names().items())
+    fixed = "plain"
+    for _, pattern, to in licences.VARIABLE:
+        fixed = f"regexp_replace({fixed}, '{pattern}', '{to.replace('$', chr(92))}')"
+    steps = [f"""s0 AS (SELECT r, mode, string_agg(mark, '' ORDER BY pos) AS rest, list(mark) AS marks, CAST([] AS VARCHAR[]) AS found,
+  count(*) FILTER (mark <> '' AND mark <> '{licences.UNKNOWN}') AS n FROM marks GROUP BY r, mode
+  HAVING count(*) FILTER (mark <> '' AND mark <> '{licences.UNKNOWN}') > 0)"""]
     for k, (licence, ids) in enumerate(licences.RULES):
         pattern = "".join(f" {i} " for i in ids.split())
-        steps.append(f"""s{k + 1} AS (SELECT r, mode, n, replace(rest, '{pattern}', '') AS rest,
+        steps.append(f"""s{k + 1} AS MATERIALIZED (SELECT r, mode, n, marks, replace(rest, '{pattern}', '{licences.USED}') AS rest,
   CASE WHEN contains(rest, '{pattern}') THEN list_append(found, '{licence}') ELSE found END AS found FROM s{k})""")
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(text) AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, replace(lower(text), '{licences.SPDX_TAG}', '{licences.SPDX_TAG[:-1]}') AS t FROM documents),
 cut AS (SELECT r, 1 AS mode, string_split_regex(t, '{licences.SENTENCE_END}') AS p FROM d
   UNION ALL SELECT r, 2, string_split_regex(t, '{licences.LINE_END}') FROM d),
 parts AS (SELECT r, mode, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM cut),
+plains AS (SELECT r, mode, pos, ltrim(trim(regexp_replace(part, '{licences.NOISE}', ' ', 'g'), ' .'), '+ ') AS plain FROM parts),
 known(s, i) AS (VALUES {known}),
+names AS (SELECT MAP {{{names}}} AS m),
+marks AS (SELECT r, mode, pos, CASE WHEN starts_with(plain, '{licences.SPDX_START}') THEN array_to_string(list_transform(
+    string_split_regex(replace(substr(plain, {len(licences.SPDX_START) + 1}), ' or later', '+'), ' or | and '),
+    lambda x: ' ' || coalesce(map_extract(m, regexp_replace(x, ' with .*$', ''))[1], '?') || ' '), '')
+    WHEN i IS NOT NULL THEN ' ' || i || ' '
+    WHEN regexp_matches(plain, '{licences.MARKER}') THEN '' ELSE '{licences.UNKNOWN}' END AS mark
+  FROM plains CROSS JOIN names LEFT JOIN known ON {fixed} = s),
 {', '.join(steps)},
-done AS (SELECT r, max(n) AS n, flatten(list(found)) AS found, flatten(list(list_filter(string_split(rest, ' '), lambda x: x <> ''))) AS rest
-  FROM s{len(licences.RULES)} GROUP BY r)
-SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(found)), ','), '') AS licences, coalesce(n, 0) AS n_sentences,
-  coalesce(array_to_string(list_sort(list_distinct(rest)), ','), '') AS unruled
+split AS (SELECT r, n, found, list_filter(string_split(rest, ' '), lambda x: x NOT IN ('', '{licences.UNKNOWN.strip()}', '{licences.USED.strip()}')) AS rest,
+  list_filter(string_split(array_to_string(marks, ''), ' '), lambda x: x NOT IN ('', '{licences.UNKNOWN.strip()}')) AS ids FROM s{len(licences.RULES)}),
+done AS (SELECT r, max(n) AS n, list_distinct(flatten(list(found))) AS found, flatten(list(rest)) AS rest,
+  flatten(list(list_filter(ids, lambda x: NOT list_contains(rest, x)))) AS used FROM split GROUP BY r)
+SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(found, lambda x: x <> '{licences.RESERVED}' OR len(found) = 1)), ','), '') AS licences,
+  coalesce(n, 0) AS n_sentences, coalesce(array_to_string(list_sort(list_filter(list_distinct(rest), lambda x: NOT list_contains(used, x))), ','), '') AS unruled
 FROM d LEFT JOIN done USING (r)
 """
 
