@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from math import sqrt
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from entitynet.functions.ranking import ordered_prefix
 from entitynet.session import cut
@@ -65,6 +67,54 @@ def stratified_sample(edges: DataFrame, fraction: float, by: str = "layer", seed
     return edges.filter(draw < fraction)
 
 
+def _draw(seed: int, *columns: str) -> Column:
+    """A random place of a row that depends on nothing but its columns and the seed."""
+    return F.md5(F.concat_ws("|", *columns, F.lit(str(seed))))
+
+
+def draw_nodes(edges: DataFrame, roles: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
+    """(node, role): nodes for a sample of about ``fraction`` of the edges, every role with its share.
+
+    An edge needs both its ends, so the square root of ``fraction`` of each role's nodes is
+    drawn, rounded down: a share is off by less than one node. ``roles`` is (id, role) with one
+    row an id; a node without one counts under the empty role. A role is ranked over all
+    ranges, so one that holds most nodes is split.
+    """
+    role = roles.select(F.col("id").alias("node"), "role")
+    marked = cut(nodes_of(edges).join(role, "node", "left").select(
+        "node", F.coalesce("role", F.lit("")).alias("role"), _draw(seed, "node").alias("draw")))
+    ranked = ordered_prefix(marked, [F.col("draw"), F.col("node")], by=["role"], name="position")
+    sizes = marked.groupBy("role").agg(F.floor(F.count("*") * F.lit(sqrt(fraction))).alias("quota"))
+    return ranked.join(sizes, "role").filter(F.col("position") < F.col("quota")).select("node", "role")
+
+
+def draw_edges(edges: DataFrame, nodes: DataFrame, by: str = "layer", seed: int = 1) -> DataFrame:
+    """The edges between ``nodes``, thinned so that every stratum keeps its share of all edges.
+
+    Of each stratum's edges the same part stays, the largest that all strata still have
+    between ``nodes``, rounded down: a share is off by less than one edge. The least frequent
+    stratum sets that part; one without an edge between ``nodes`` leaves none. Pairs must be
+    distinct within a stratum.
+    """
+    inside = cut(induced_subgraph(edges, nodes).withColumn("_draw", _draw(seed, by, "src", "dst")))
+    count = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
+    counts = cut(count(edges, "total").join(count(inside, "n"), by, "left").na.fill(0, ["n"]))
+    rarest = lambda c: counts.agg(F.min_by(c, F.struct(F.col("n") / F.col("total"), by)).alias(c)).scalar()
+    exact = lambda c: c.cast("decimal(19,0)")
+    quotas = counts.withColumns({"a": exact(F.col("total")), "b": exact(rarest("n")), "c": exact(rarest("total"))}).select(
+        by, F.expr("(a * b) div c").alias("_quota"))
+    ranked = ordered_prefix(inside, [F.col("_draw"), F.col("src"), F.col("dst")], by=[by], name="_position")
+    return ranked.join(quotas, by).filter(F.col("_position") < F.col("_quota")).select(*edges.columns)
+
+
+def shares(sample: DataFrame, whole: DataFrame, by: str) -> DataFrame:
+    """(name, of_all, of_sample): the share of every value of ``by`` in ``whole`` and in ``sample``."""
+    part = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
+    both = part(whole, "a").join(part(sample, "s"), by, "left").na.fill(0, ["s"])
+    part_of = lambda c: F.try_divide(F.col(c), both.agg(F.sum(c).alias(c)).scalar())
+    return both.select(F.col(by).alias("name"), part_of("a").alias("of_all"), part_of("s").alias("of_sample"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component), named by its smallest node.
 

@@ -417,6 +417,36 @@ SELECT node, coalesce(min(com), '0') AS com FROM sub_nodes LEFT JOIN known ON no
 check("layer_rows_in_sample", """
 SELECT src, dst, round(weight, 10) AS weight FROM own_layer o
 WHERE EXISTS (SELECT 1 FROM sub s WHERE s.src = least(o.src, o.dst) AND s.dst = greatest(o.src, o.dst))""", *G, more=GRAPH)
+PROPORTIONAL = STACK + "," + POOL[len(LAYERS) + 1:] + """,
+resolved AS (
+  SELECT id, CASE WHEN count(*) FILTER (WHERE role = 'REPRESENTANTE') > 0 THEN 'REPRESENTANTE' ELSE max(role) END AS role
+  FROM (SELECT id, CASE WHEN count(*) FILTER (WHERE role = 'CONTADOR') > 0 THEN 'CONTADOR' ELSE max(role) END AS role
+        FROM first_pool GROUP BY id
+        UNION SELECT id, role FROM typed_rep UNION SELECT dst, 'REPRESENTANTE' FROM rep_layer)
+  GROUP BY id),
+every AS MATERIALIZED (
+  SELECT node, coalesce(role, '') AS role FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) LEFT JOIN resolved ON node = id),
+drawn AS MATERIALIZED (
+  SELECT node, role FROM every
+  QUALIFY row_number() OVER (PARTITION BY role ORDER BY md5(node || '|1'), node) <= floor(count(*) OVER (PARTITION BY role) * sqrt(0.1::DOUBLE))),
+between AS MATERIALIZED (
+  SELECT src, dst, layer, row_number() OVER (PARTITION BY layer ORDER BY md5(layer || '|' || src || '|' || dst || '|1'), src, dst) AS k
+  FROM edges WHERE src IN (SELECT node FROM drawn) AND dst IN (SELECT node FROM drawn)),
+counts AS (
+  SELECT layer, total, coalesce(n, 0) AS n FROM (SELECT layer, count(*) AS total FROM edges GROUP BY layer)
+  LEFT JOIN (SELECT layer, count(*) AS n FROM between GROUP BY layer) USING (layer)),
+least_layer AS (SELECT n AS ln, total AS lt FROM counts ORDER BY n / total, layer LIMIT 1),
+thinned AS MATERIALIZED (
+  SELECT src, dst, layer FROM between JOIN counts USING (layer), least_layer WHERE k <= (total::HUGEINT * ln) // lt)"""
+check("proportional_nodes", "SELECT node, role FROM drawn", *ALL, more=PROPORTIONAL)
+check("proportional_edges", "SELECT src, dst, layer FROM thinned", *ALL, more=PROPORTIONAL)
+check("proportional_shares", """
+SELECT kind, name, round(a / (sum(a) OVER (PARTITION BY kind)), 10) AS of_all, round(coalesce(s, 0) / (sum(coalesce(s, 0)) OVER (PARTITION BY kind)), 10) AS of_sample
+FROM (
+  SELECT 'role' AS kind, role AS name, count(*)::DOUBLE AS a, (SELECT count(*) FROM drawn d WHERE d.role = e.role)::DOUBLE AS s FROM every e GROUP BY role
+  UNION ALL
+  SELECT 'layer', layer, count(*)::DOUBLE, (SELECT count(*) FROM thinned t WHERE t.layer = e.layer)::DOUBLE FROM edges e GROUP BY layer)""",
+      *ALL, more=PROPORTIONAL)
 check("stratified_sample", """
 SELECT src, dst, layer FROM edges
 WHERE CAST('0x' || substr(md5(layer || '|' || src || '|' || dst || '|1'), 1, 8) AS BIGINT) / 4294967296.0 < 0.1""",
@@ -546,6 +576,8 @@ WHERE src IN (SELECT node FROM central) AND dst IN (SELECT node FROM central)"""
 
 check("louvain_optimum", """
 SELECT count(*) AS nodes, 0::BIGINT AS improving_moves, 0::BIGINT AS moved_again FROM deg""", *G, more=GRAPH)
+check("connected_checks", """
+SELECT count(*) AS labelled, count(*) AS nodes, 0::BIGINT AS disconnected, true AS no_worse FROM deg""", *G, more=GRAPH)
 check("resolution_checks", """
 SELECT resolution / 10.0 AS resolution, n AS labelled, n AS nodes, 0::BIGINT AS improving_moves
 FROM (SELECT count(*) AS n FROM deg), range(11) r(resolution)""", *G, more=GRAPH)

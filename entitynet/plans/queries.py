@@ -547,6 +547,36 @@ def layer_rows_in_sample(i):
     return layers.edges_of_graph(relation_layers(i)["ownership"], sample).select("src", "dst", r10("weight"))
 
 
+@shared
+def drawn_nodes(i):
+    return graph.draw_nodes(edges(i), entities.resolve_role(relation_layers(i), i.natural()), SAMPLE)
+
+
+@shared
+def drawn_edges(i):
+    return graph.draw_edges(edges(i), drawn_nodes(i))
+
+
+@query
+def proportional_nodes(i):
+    """The nodes of a random sample in which every role keeps its share."""
+    return drawn_nodes(i)
+
+
+@query
+def proportional_edges(i):
+    """The edges of that sample; every layer keeps its share."""
+    return drawn_edges(i).select("src", "dst", "layer")
+
+
+@query
+def proportional_shares(i):
+    """Shares of the roles and of the layers in the whole graph and in the sample."""
+    every = graph.nodes_of(edges(i)).join(entities.resolve_role(relation_layers(i), i.natural()).withColumnRenamed("id", "node"), "node", "left").na.fill("", ["role"])
+    of = lambda kind, sample, whole: graph.shares(sample, whole, kind).select(F.lit(kind).alias("kind"), "name", r10("of_all"), r10("of_sample"))
+    return of("role", drawn_nodes(i), every).unionByName(of("layer", drawn_edges(i), edges(i)))
+
+
 @query
 def stratified_sample(i):
     return graph.stratified_sample(final_edges(i), SAMPLE).select("src", "dst", "layer")
@@ -693,6 +723,27 @@ def louvain_optimum(i):
         "improving_moves": better.agg(F.count("*")).scalar(), "moved_again": other.agg(F.count("*")).scalar()})
 
 
+@shared
+def connected(i):
+    return louvain.climb_connected(edges(i), 1.0, found(i))
+
+
+@query
+def louvain_connected(i):
+    """The found partition with its communities split into connected parts and climbed again."""
+    return connected(i)
+
+
+@query
+def connected_checks(i):
+    """Facts about it: every node once, every community connected, modularity no lower than before."""
+    parts = graph.refine_connected(edges(i), connected(i))
+    number = lambda df: df.agg(F.count_distinct("community").alias("n")).scalar()
+    score = lambda p: partition.modularity(edges(i), p).scalar()
+    return connected(i).agg(F.count("*").alias("labelled"), F.count_distinct("node").alias("nodes")).withColumns({
+        "disconnected": number(parts) - number(connected(i)), "no_worse": score(connected(i)) >= score(found(i)) - F.lit(1e-9)})
+
+
 @query
 def louvain_at_zero(i):
     """At resolution 0 the communities are the components, whatever the weights."""

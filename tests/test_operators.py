@@ -539,3 +539,40 @@ def test_storage(spark, tmp_path):
     assert rows(io.source(spark, f"{tmp_path}/edges", T.StructType([T.StructField("SRC", T.StringType())]))) == [("a",), ("a",)]
     with pytest.raises(io.SchemaMismatch):
         io.expect_schema(groups, T.StructType([T.StructField("node", T.LongType())]))
+
+
+def test_a_drawn_sample_keeps_the_shares_of_roles_and_layers(spark):
+    pairs = [(f"n{a:03d}", f"n{b:03d}", 1.0, "dense") for a in range(120) for b in range(a + 1, 120) if (a + b) % 3]
+    pairs += [(f"n{a:03d}", "n120", 1.0, "star") for a in range(120)] + [(f"n{a:03d}", f"n{a + 1:03d}", 1.0, "path") for a in range(0, 120, 3)]
+    edges = table(spark, pairs, "src string, dst string, weight double, layer string").dropDuplicates(["src", "dst"])
+    roles = table(spark, [(f"n{a:03d}", "hot" if a % 10 else "rare") for a in range(100)], "id string, role string")
+    nodes = graph.draw_nodes(edges, roles, 0.64, seed=3)
+    drawn = nodes.groupBy("role").count().collect()
+    assert {r["role"]: r["count"] for r in drawn} == {"hot": int(90 * 0.8), "rare": int(10 * 0.8), "": int(21 * 0.8)}
+    assert sorted(nodes.collect()) == sorted(graph.draw_nodes(edges.repartition(7), roles.repartition(3), 0.64, seed=3).collect())
+    everyone = graph.nodes_of(edges).filter("node < 'n118' OR node = 'n120'")
+    kept = graph.draw_edges(edges, everyone, seed=3)
+    assert kept.columns == edges.columns
+    of = {r["layer"]: r["count"] for r in edges.groupBy("layer").count().collect()}
+    left = {r["layer"]: r["count"] for r in graph.induced_subgraph(edges, everyone).groupBy("layer").count().collect()}
+    part = min(left[x] / of[x] for x in of)
+    assert {r["layer"]: r["count"] for r in kept.groupBy("layer").count().collect()} == {x: int(of[x] * part + 1e-9) for x in of}
+    both = graph.shares(kept, edges, "layer").collect()
+    assert all(abs(r["of_all"] - r["of_sample"]) <= 1 / sum(left.values()) * len(of) for r in both)
+    assert graph.draw_edges(edges, everyone.limit(0)).count() == 0 and graph.draw_nodes(edges.limit(0), roles, 0.5).count() == 0
+
+
+def test_connected_communities_are_connected_and_no_worse(spark):
+    draw = random.Random(5)
+    pairs = {(min(a, b), max(a, b)) for a, b in ((draw.randrange(60), draw.randrange(60)) for _ in range(110)) if a != b}
+    edges = table(spark, [(f"n{a:02d}", f"n{b:02d}", 1.0) for a, b in sorted(pairs)], "src string, dst string, weight double")
+    plain, found = louvain.louvain(edges, 1.0), louvain.louvain_connected(edges, 1.0)
+    assert found.select("node").distinct().count() == found.count() == graph.nodes_of(edges).count()
+    parts = graph.refine_connected(edges, found)
+    assert parts.select("community").distinct().count() == found.select("community").distinct().count()
+    q = lambda p: partition.modularity(edges, p).first()["modularity"]
+    assert q(found) >= q(plain) - 1e-9
+    broken = table(spark, [("a", "b", 1.0), ("c", "d", 1.0)], "src string, dst string, weight double")
+    joined = table(spark, [(x, "a") for x in "abcd"], "node string, community string")
+    again = louvain.climb_connected(broken, 1.0, joined)
+    assert sorted(map(tuple, again.collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
