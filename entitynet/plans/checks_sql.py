@@ -392,6 +392,7 @@ stack AS ({_stack(["ownership", "accountant", "representative", "family"])}),
 flagged AS MATERIALIZED (
   SELECT src, dst, first(weight ORDER BY rank DESC, weight DESC) AS weight, bool_or(layer = 'family') AS f,
     bool_or(layer = 'representative') AS r, bool_or(layer = 'accountant') AS a FROM stack GROUP BY 1, 2)"""
+# Published weights of accountant, representative and family.
 check("edges_reweighted", """
 SELECT src, dst, round(CASE WHEN a THEN 0.596811 WHEN r THEN 0.50927 WHEN f THEN 0.869142 ELSE weight END, 10) AS weight
 FROM flagged""", *RELATIONS, more=FLAGS)
