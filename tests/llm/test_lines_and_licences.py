@@ -208,7 +208,9 @@ PUBLISHED = [
     (BSD_TERMS + BSD_ADVERT + BSD_ENDORSE + BSD_DISCLAIMER, "BSD-4-Clause", ""),
     (MIT_TEXT, "MIT", ""),
     ("Some code.\n" + MIT_TEXT + "Further code. All rights reserved.\n", "MIT", ""),
-    (APACHE_HEADER.replace(" * ", " "), "Apache-2.0", ""),
+    (APACHE_HEADER, "Apache-2.0", ""),
+    (APACHE_HEADER.replace(" *", "#"), "Apache-2.0", ""),
+    (APACHE_HEADER.replace(" *", ""), "Apache-2.0", ""),
     (gnu("", "3"), "GPL-3.0-or-later", ""),
     (gnu("", "2", colon=";", comma=";"), "GPL-2.0-or-later", ""),
     (gnu("Lesser ", "3"), "LGPL-3.0-or-later", ""),
