@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from entitynet.functions.scalars import parse_money, whole_units
@@ -28,6 +30,7 @@ def _relations(ownership: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _propagate(ownership: DataFrame, known: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The relations, those whose partner is unknown at first, and (id, value, iteration) of the companies that became complete."""
     relations = cut(_relations(ownership, cut(known)))
     waiting = cut(relations.filter(F.col("seed").isNull()).select("company", "partner", "pct"))
     # Per company: total share, weighted wealth so far, and partners still unknown.
@@ -35,25 +38,21 @@ def _propagate(ownership: DataFrame, known: DataFrame, rounds: int) -> tuple[Dat
         F.sum("pct").alias("total"),
         F.coalesce(F.sum(F.col("pct") * F.col("seed") * 0.01), F.lit(0.0)).alias("weighted"),
         F.count_if(F.col("seed").isNull()).alias("unknown"),
-        F.lit(None).cast("int").alias("iteration"),
-    ).withColumn("iteration", F.when(F.col("unknown") == 0, F.lit(0))))
+    ))
     value = F.try_divide(F.col("weighted"), F.col("total")) * 100
+    done = [state.filter("unknown = 0").select(F.col("company").alias("id"), value.alias("value"), F.lit(0).alias("iteration"))]
     for step in range(1, rounds):
-        fresh = state.filter(F.col("iteration") == step - 1).select(F.col("company").alias("partner"),
-                                                                   value.alias("value"))
-        fresh = fresh.filter(F.col("value").isNotNull())
+        fresh = done[-1].select(F.col("id").alias("partner"), "value").filter(F.col("value").isNotNull())
         if fresh.isEmpty():
             break
         gained = waiting.join(fresh, "partner").groupBy("company").agg(
             F.sum(F.col("pct") * F.col("value") * 0.01).alias("gain"), F.count("*").alias("filled"))
-        left = F.col("unknown") - F.coalesce("filled", F.lit(0))
-        state = cut(state.join(gained, "company", "left").select(
+        # Complete companies stay in the table of their round; only the others go on.
+        state = cut(state.filter("unknown <> 0").join(gained, "company", "left").select(
             "company", "total", (F.col("weighted") + F.coalesce("gain", F.lit(0.0))).alias("weighted"),
-            left.alias("unknown"),
-            F.when(F.col("iteration").isNotNull(), F.col("iteration")).when(left == 0, F.lit(step)).alias("iteration")))
-    complete = state.filter(F.col("iteration").isNotNull()).select(
-        F.col("company").alias("id"), value.alias("value"), "iteration")
-    return relations, state, complete
+            (F.col("unknown") - F.coalesce("filled", F.lit(0))).alias("unknown")))
+        done.append(state.filter("unknown = 0").select(F.col("company").alias("id"), value.alias("value"), F.lit(step).alias("iteration")))
+    return relations, waiting, reduce(DataFrame.unionByName, done)
 
 
 def propagate(ownership: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -71,10 +70,10 @@ def incomplete(ownership: DataFrame, known: DataFrame, rounds: int = ROUNDS) ->
 
     Values completed in the last round fill nobody: there is no round left to send them.
     """
-    relations, _, complete = _propagate(ownership, known, rounds)
+    relations, waiting, complete = _propagate(ownership, known, rounds)
     sent = complete.filter(F.col("iteration") < rounds - 1).select(F.col("id").alias("partner"), "value")
-    filled = relations.join(sent, "partner", "left")
-    return filled.select("company", "partner", "pct", F.coalesce("seed", "value").alias("wealth"))
+    filled = waiting.join(sent, "partner", "left").select("company", "partner", "pct", F.col("value").alias("wealth"))
+    return relations.filter(F.col("seed").isNotNull()).select("company", "partner", "pct", F.col("seed").alias("wealth")).unionByName(filled)
 
 
 def partial_wealth(relations: DataFrame) -> DataFrame:

@@ -576,3 +576,32 @@ def test_connected_communities_are_connected_and_no_worse(spark):
     joined = table(spark, [(x, "a") for x in "abcd"], "node string, community string")
     again = louvain.climb_connected(broken, 1.0, joined)
     assert sorted(map(tuple, again.collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
+
+
+def hash_exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_ownership_is_shuffled_once_for_its_pairs(spark):
+    line = "company string, partner string, capital_pct double, profit_pct double"
+    rows_ = [("A", "X", 10.0, 1.0), ("A", "X", 10.0, 1.0), ("A", "X", 30.0, 1.0), ("B", "Y", 0.0, 1.0), (None, "X", 5.0, None), (None, "X", 5.0, None)]
+    kept = clean.clean_ownership(table(spark, rows_, line))
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([rows_[0], rows_[2], rows_[4]])
+    known = table(spark, [("X", 4.0)], "id string, wealth double")
+    relations = propagation._relations(kept, F.broadcast(known))
+    assert hash_exchanges(relations) == 1
+    assert Counter(tuple(r) for r in relations.select("company", "partner", "pct", "seed").collect()) == Counter([("A", "X", 20.0, 4.0), (None, "X", 5.0, 4.0)])
+
+
+def test_complete_companies_stay_behind(spark):
+    """A chain: every round completes one company; the last value reaches nobody, and known partners meet no join."""
+    chain = [(f"c{n}", f"c{n + 1}", 100.0) for n in range(5)] + [("c0", "never", 100.0), ("z", "c5", 0.0)]
+    own = table(spark, chain, "company string, partner string, capital_pct double")
+    known = table(spark, [("c5", 8.0)], "id string, wealth double")
+    done = propagation.propagate(own, known)
+    assert rows(done) == [("c1", 8.0, 3), ("c2", 8.0, 2), ("c3", 8.0, 1), ("c4", 8.0, 0), ("z", None, 0)]
+    _, waiting, _ = propagation._propagate(own, known, 10)
+    assert ("c4", "c5") not in {(r["company"], r["partner"]) for r in waiting.collect()}
+    part = propagation.incomplete(own, known, 3)
+    assert sorted(part.select("company", "partner", "wealth").collect(), key=str) == sorted(
+        [("c0", "c1", None), ("c0", "never", None), ("c1", "c2", None), ("c2", "c3", 8.0), ("c3", "c4", 8.0), ("c4", "c5", 8.0), ("z", "c5", 8.0)], key=str)
