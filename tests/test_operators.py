@@ -605,3 +605,16 @@ def test_complete_companies_stay_behind(spark):
     part = propagation.incomplete(own, known, 3)
     assert sorted(part.select("company", "partner", "wealth").collect(), key=str) == sorted(
         [("c0", "c1", None), ("c0", "never", None), ("c1", "c2", None), ("c2", "c3", 8.0), ("c3", "c4", 8.0), ("c4", "c5", 8.0), ("z", "c5", 8.0)], key=str)
+
+
+def test_edges_shuffle_ownership_once(spark):
+    rows_ = [("A", "X", 10.0, 1.0, 1, "s"), ("A", "X", 10.0, 1.0, 1, "s"), ("X", "A", 30.0, 1.0, 1, "s"), ("B", None, 5.0, 1.0, 1, "s")]
+    df = table(spark, rows_, "company string, partner string, capital_pct double, profit_pct double, period int, source string")
+    repeated, distinct = layers.ownership_layer(df, repeats=True), layers.ownership_layer(df)
+    assert (repeated.count(), distinct.count()) == (3, 2)
+    assert hash_exchanges(layers.build_edges({"ownership": repeated})) == 1
+    for how in ("last", "max"):
+        edges = [layers.build_edges({"ownership": x}, on_conflict=how) for x in (repeated, distinct)]
+        assert rows(edges[0]) == rows(edges[1]) == [("A", "X", 0.3, "ownership")]
+    assert rows(layers.build_flagged_edges({"ownership": repeated})) == rows(layers.build_flagged_edges({"ownership": distinct}))
+    assert rows(layers.build_edges({"ownership": distinct}, on_conflict="sum"), "weight") == [(0.4,)]
