@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitynet.llm.tables import slices, unused
+from entitynet.llm.tables import give_back, slices, unused
 from entitynet.session import cut, keep, scope
 
 #: Bytes of text in a segment.
@@ -117,9 +117,10 @@ def search_block(block: list[tuple[str, list[bytes]]], window: int, near: int, e
     item, start, length = np.array(spans, np.int64).reshape(-1, 3).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            for row in batch.to_pylist():
-                yield matches(row, batch.schema.field("doc_ids").type.value_type)
+            for k in range(batch.num_rows):
+                yield matches(batch.slice(k, 1).to_pylist()[0], batch.schema.field("doc_ids").type.value_type)
 
     def matches(row: dict, kind: pa.DataType) -> pa.RecordBatch:
         starts, places = np.frombuffer(row["starts"], "<i4"), np.frombuffer(row["places"], "<i4")

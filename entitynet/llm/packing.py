@@ -31,7 +31,7 @@ from entitynet.session import cut
 #: Pieces that a group is expected to hold.
 GROUP_PIECES = 20_000
 #: Words whose ids a task remembers.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 200_000
 
 
 class Tokens:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, documents
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 
 from entitynet.llm.packing import Tokens, first_fit, pack
 from entitynet.llm.queries import TOKENIZER
+from entitynet.llm.tables import BATCH_BYTES, small_batches
 
 ALPHABET = "abcXYZ éÉßÿŸŁłœŒ'’ss't're 0123²¼½ª¹º\t\n  .,;!?<|endoftext|>İıſΣσς\xa0\x85\xad漢字́ﬁ§±×÷_-"
 
@@ -60,3 +62,20 @@ def test_repeated_rows_and_empty_tables(spark):
     got = pack(docs, TOKENIZER).toPandas()
     assert got.length.sort_values().to_list() == [1, 2, 2] and got.sequence_id.nunique() == 1
     assert isinstance(pack(docs.limit(0), TOKENIZER).toPandas(), pd.DataFrame) and pack(docs.limit(0), TOKENIZER).count() == 0
+
+
+def test_batches_of_text_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        small_batches(spark)
+        docs = documents(spark, [f"{i} " + "word " * 20_000 for i in range(200)]).repartition(1)
+        sizes = [r.n for r in docs.select("text").mapInArrow(lambda batches: (
+            pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()]
+        assert len(sizes) > 1 and max(sizes) < 2 * BATCH_BYTES
+        for held, after in (("1m", "1048576b"), ("64m", f"{BATCH_BYTES}b")):
+            spark.conf.set(name, held)
+            small_batches(spark)
+            assert spark.conf.get(name) == after
+    finally:
+        spark.conf.set(name, before)
