@@ -17,7 +17,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ from entitynet.session import cut
 
 #: Pieces that a group is expected to hold.
 GROUP_PIECES = 20_000
-#: Words whose ids a task remembers.
-KNOWN_WORDS = 200_000
+#: Words whose ids a worker remembers.
+KNOWN_WORDS = 400_000
 
 
 class Tokens:
@@ -44,14 +45,21 @@ class Tokens:
 
     #: Printable ASCII, line ends, tabs and Latin letters that no normal form or case rule joins to a neighbour.
     PLAIN = re.compile("[\t\n\r -~\xa1-\xac\xae-\xffĀ-įı-ňŊ-ž]*")
-    WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
-                      "[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ0-9\xb2\xb3\xb9\xbc-\xbe]+")
+    #: Of each plain lower-case character: a space, part of a word of letters, a word of its own (digits), part of a word of the others.
+    SPACE, LETTER, DIGIT, OTHER = range(4)
+    KIND = np.array([0 if c in "\t\n\r " else 1 if re.match("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ]", c) else 2 if c in "0123456789\xb2\xb3\xb9\xbc\xbd\xbe" else 3
+                     for c in map(chr, range(0x180))], np.int8)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words of plain texts are lower-cased and split already: the same merges, without those steps.
+        self.speller = Tokenizer.from_file(path)
+        self.speller.normalizer = normalizers.Sequence([])
+        self.speller.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -64,7 +72,7 @@ class Tokens:
     def learn(self, words: list[str]) -> None:
         """Encode the words as one text; the ids of a word end with one that closes a word."""
         text = [" ".join(words[i:i + 2000]) for i in range(0, len(words), 2000)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.speller.encode_batch_fast(text, add_special_tokens=False)])
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             raise ValueError("the tokenizer does not close every word")
@@ -72,32 +80,64 @@ class Tokens:
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
         self.ids = np.concatenate([self.ids, ids])
 
+    def words(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The words of plain texts, as the tokenizer's pattern finds them, and the number of words before each text."""
+        text = "\n".join(texts).lower()
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kind = self.KIND[code]
+        starts = (kind != np.r_[np.int8(self.SPACE), kind[:-1]]) & (kind != self.SPACE) | (kind == self.DIGIT)
+        # An apostrophe that begins a word takes s, t, m, d, re, ve or ll with it, and what follows is a word of its own.
+        marks = np.flatnonzero((code == ord("'")) & starts)
+        after = np.r_[code, np.zeros(3, np.uint32)]
+        one, two = after[marks + 1], after[marks + 2]
+        taken = np.select([np.isin(one, [*map(ord, "stmd")]), np.isin(one, [*map(ord, "rv")]) & (two == ord("e")), (one == ord("l")) & (two == one)], [1, 2, 2], 0)
+        marks, taken = marks[taken > 0], taken[taken > 0]
+        starts[marks + 1] = False
+        ends = marks + taken + 1
+        starts[(ends := ends[ends < len(kind)])[kind[ends] == self.LETTER]] = True
+        # Words lie end to end once the spaces are out; no plain character takes more than two bytes.
+        size = np.where(kind == self.SPACE, 0, np.where(code < 0x80, 1, 2)).astype(np.int32)
+        before = np.cumsum(size, dtype=np.int32) - size
+        data = np.frombuffer(text.encode(), np.uint8)
+        data = data[data > 32]
+        offsets = np.r_[before[starts], np.int32(len(data))].astype(np.int32)
+        found = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        return found, np.r_[0, np.cumsum(starts)][np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]]
+
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.known) > KNOWN_WORDS:
             self.forget()
         plain = [bool(self.PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        words = [self.WORD.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        flat = [*chain.from_iterable(words)]
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        words, firsts = self.words([t if p else "" for t, p in zip(texts, plain)])
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         if len(new := np.flatnonzero(at < 0)):
-            self.learn([*dict.fromkeys(flat[i] for i in new)])
-            at[new] = [self.known[flat[i]] for i in new]
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.learn([distinct[i] for i in new])
+        at = at[coded.indices.to_numpy()]
         lengths = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum([len(w) for w in words], dtype=np.int64)]]
+        bounds = np.r_[0, ends][np.r_[firsts, len(words)]]
         return [ids[bounds[i]:bounds[i + 1]] if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
                 for i, (t, p) in enumerate(zip(texts, plain))]
 
 
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """The worker's ``Tokens``, which its tasks share: a task neither loads the tokenizer again nor learns known words anew."""
+    return Tokens(path)
+
+
 def pieces(docs: DataFrame, path: str, end_id: int, length: int, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids) of every piece of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         for part in slices(batches, "text"):
             columns: list[list] = [[] for _ in names]
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens.of([t or "" for t in part.column("text").to_pylist()])):

@@ -9,7 +9,7 @@ from helpers import AWKWARD, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from entitynet.llm.packing import Tokens, first_fit, pack
+from entitynet.llm.packing import Tokens, first_fit, pack, tokens_of
 from entitynet.llm.queries import TOKENIZER
 from entitynet.llm.tables import BATCH_BYTES, small_batches
 
@@ -29,6 +29,22 @@ def test_ids_equal_the_tokenizers(tokens):
     assert [x.tolist() for x in tokens.of(texts)] == [x.ids for x in want]
 
 
+def test_plain_words_are_split_as_the_tokenizer_splits_them(tokens):
+    r = random.Random(2)
+    texts = ["".join(r.choice("''''strevdlm  aÉß12²!.\n") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += ["", "'", "'s", "''s", "'s's", "'re'", "x'r", "x'll", "'ve1'd\n", " \t\r\n"]
+    want = tokens.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in tokens.of(texts)] == [x.ids for x in want]
+    found, before = tokens.words(["It's 10", "", "l'État"])
+    assert found.to_pylist() == ["it", "'s", "1", "0", "l", "'", "état"] and before.tolist() == [0, 4, 4]
+
+
+def test_tasks_of_a_worker_share_the_words_they_know():
+    first = tokens_of(TOKENIZER)
+    first.of(["some known words"])
+    assert tokens_of(TOKENIZER) is first and "known" in first.known
+
+
 @given(st.lists(st.integers(1, 50), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_first_fit_matches_a_plain_scan(sizes):
