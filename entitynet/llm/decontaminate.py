@@ -10,7 +10,9 @@ commoner ones: what is left are the exact occurrences. A proximity match needs a
 words of a window within ``near`` consecutive words of a document, in any order.
 
 The index never leaves its segment: there is no shuffle of postings, and a segment is
-bounded by ``SEGMENT_CHARS`` or, beyond it, one document.
+bounded by ``SEGMENT_CHARS`` or, beyond it, one document. ``clean`` searches a segment's index
+in the task that built it if the benchmark is one block; only one of several is stored for the
+passes to come.
 
 Defined cases: null and empty texts have no words, are never hit and name no item; repeated
 documents keep a row each; rows of the benchmark with one id are one item; a null item id
@@ -20,6 +22,7 @@ counts as the empty string; without any item every document is clean.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,30 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
+def index_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The index of (doc_id, text) rows, a batch of one row for each segment, as in ``build_index``."""
+    base = TaskContext.get().partitionId() << 33
+    for i, part in enumerate(slices(batches, "text", SEGMENT_CHARS)):
+        each = [words_of(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column("text")]
+        counts = np.array([len(x) for x in each], np.int64)
+        first = np.r_[0, np.cumsum(counts + 1)[:-1]]
+        coded = pa.array([w for x in each for w in x], pa.binary()).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        place = np.arange(len(codes)) + np.repeat(np.arange(len(each)), counts)
+        order = np.argsort(codes, kind="stable")
+        starts = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([base + i], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(part.column("doc_id").type)),
+            pa.array([first], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
+            pa.array([b" ".join(coded.dictionary.to_pylist())], pa.binary()),
+            pa.array([starts.astype("<i4").tobytes()], pa.binary()), pa.array([place[order].astype("<i4").tobytes()], pa.binary()),
+        ], ["segment", "doc_ids", "first", "words", "terms", "starts", "places"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """Rows (segment, doc_ids, first, words, terms, starts, places) over (doc_id, text), written out.
 
@@ -52,27 +79,8 @@ def build_index(docs: DataFrame) -> DataFrame:
     are joined by spaces; the list of term i is ``places[starts[i]:starts[i + 1]]``.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 33
-        for i, part in enumerate(slices(batches, "text", SEGMENT_CHARS)):
-            each = [words_of(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column("text")]
-            counts = np.array([len(x) for x in each], np.int64)
-            first = np.r_[0, np.cumsum(counts + 1)[:-1]]
-            coded = pa.array([w for x in each for w in x], pa.binary()).dictionary_encode()
-            codes = coded.indices.to_numpy()
-            place = np.arange(len(codes)) + np.repeat(np.arange(len(each)), counts)
-            order = np.argsort(codes, kind="stable")
-            starts = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([base + i], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(part.column("doc_id").type)),
-                pa.array([first], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                pa.array([b" ".join(coded.dictionary.to_pylist())], pa.binary()),
-                pa.array([starts.astype("<i4").tobytes()], pa.binary()), pa.array([place[order].astype("<i4").tobytes()], pa.binary()),
-            ], ["segment", "doc_ids", "first", "words", "terms", "starts", "places"])
-
-    return cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, f"segment bigint, doc_ids array<{kind}>, first array<bigint>, words array<bigint>, terms binary, starts binary, places binary"))
+    return cut(_texts(docs).mapInArrow(
+        index_segments, f"segment bigint, doc_ids array<{kind}>, first array<bigint>, words array<bigint>, terms binary, starts binary, places binary"))
 
 
 def item_blocks(benchmark: DataFrame, window: int, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -176,14 +184,17 @@ def merged(spans) -> list[dict[str, int]]:
     return out
 
 
+def _found(kind: str) -> str:
+    return (f"segment bigint, ordinal int, doc_id {kind}, n_words bigint, spans array<struct<a: bigint, b: bigint>>, "
+            "items array<string>, near_items array<string>")
+
+
 def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near: int = 0) -> DataFrame:
     """doc_id, n_words, spans (word spans that are hit), items, near_items of every indexed document."""
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    schema = (f"segment bigint, ordinal int, doc_id {kind}, n_words bigint, spans array<struct<a: bigint, b: bigint>>, "
-              "items array<string>, near_items array<string>")
     found = None
     for i, block in enumerate(item_blocks(benchmark, window)):
-        part = cut(index.mapInArrow(search_block(block, window, near, i == 0), schema))
+        part = cut(index.mapInArrow(search_block(block, window, near, i == 0), _found(kind)))
         found = part if found is None else found.unionByName(part)
     together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     return found.groupBy("segment", "ordinal", "doc_id", "n_words").agg(*map(together, ("spans", "items", "near_items"))).drop("segment", "ordinal")
@@ -200,6 +211,17 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int =
         F.size("near_items").cast("long").alias("n_near"))
 
 
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The doc_id of every row of (doc_id, text) with an occurrence of a window of an item."""
+    blocks = [*islice(item_blocks(benchmark, window), 2)]
+    if len(blocks) > 1:
+        found = search(build_index(docs), benchmark, window)
+    else:
+        find = search_block(blocks[0], window, 0, False)
+        found = _texts(docs).mapInArrow(lambda batches: find(index_segments(batches)), _found(docs.schema["doc_id"].dataType.simpleString()))
+    return found.where(F.size("spans") > 0).select("doc_id")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any occurrence of a window of an item; every column is kept, whatever its name.
 
@@ -209,6 +231,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     row = unused(docs, "_row")
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     with scope():
-        found = search(build_index(numbered.select(F.col(row).alias("doc_id"), "text")), benchmark, window)
-        hit = keep(cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias(row)).distinct()))
+        found = hits(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, window)
+        hit = keep(cut(found.select(F.col("doc_id").alias(row)).distinct()))
     return numbered.join(hit, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

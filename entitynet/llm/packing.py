@@ -32,7 +32,9 @@ from entitynet.session import cut
 #: Pieces that a group is expected to hold.
 GROUP_PIECES = 20_000
 #: Words whose ids a worker remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
+#: Bytes of text that a task splits at once.
+SPLIT_CHARS = 750_000
 
 
 class Tokens:
@@ -52,12 +54,11 @@ class Tokens:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # Words of plain texts are lower-cased and split already: the same merges, without those steps.
-        self.speller = Tokenizer.from_file(path)
-        self.speller.normalizer = normalizers.Sequence([])
+        self.speller = Tokenizer(self.tokenizer.model)
         self.speller.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -138,7 +139,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int, keep_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(path)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SPLIT_CHARS):
             columns: list[list] = [[] for _ in names]
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens.of([t or "" for t in part.column("text").to_pylist()])):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

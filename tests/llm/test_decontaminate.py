@@ -72,3 +72,19 @@ def test_rows_go_by_their_own_text_not_by_their_id(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     docs = documents(spark, [(None, "one two three"), (None, "clean"), (4, "x one two three"), (4, "clean too"), (5, "one")])
     assert sorted(r.text for r in decontaminate.clean(docs, bench).collect()) == ["clean", "clean too", "one"]
+
+
+@pytest.mark.parametrize("block_words", [500_000, 12])
+def test_clean_stores_an_index_for_several_passes_only(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (block_words,))
+    stored = []
+    monkeypatch.setattr(decontaminate, "build_index", lambda docs, build=decontaminate.build_index: stored.append(1) or build(docs))
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("a b c d é".split()) for _ in range(n))
+    items = [(1, text(12)), (2, text(25)), (3, ""), (4, None), (5, "Zz")]
+    texts = [text(60) for _ in range(12)] + [items[0][1], f"q {items[1][1]} q", *AWKWARD[:5], "zz. ZZ"]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = [d for d, found in brute(texts, items).items() if not found[-1]]
+    assert sorted(r.doc_id for r in decontaminate.clean(documents(spark, texts), bench).collect()) == want
+    assert len(stored) == (block_words == 12)
+    assert decontaminate.clean(documents(spark, texts), bench.limit(0)).count() == len(texts)
