@@ -618,3 +618,30 @@ def test_edges_shuffle_ownership_once(spark):
         assert rows(edges[0]) == rows(edges[1]) == [("A", "X", 0.3, "ownership")]
     assert rows(layers.build_flagged_edges({"ownership": repeated})) == rows(layers.build_flagged_edges({"ownership": distinct}))
     assert rows(layers.build_edges({"ownership": distinct}, on_conflict="sum"), "weight") == [(0.4,)]
+
+
+def test_candidates_are_dealt_out_once(spark):
+    """What the edges of active nodes lead to is shuffled once, without the nodes' own rows, and a node of one trial is not grouped."""
+    edges = layer(spark, *random_edges(40, 90, 3))
+    _, near, nodes, trials = louvain.prepared(edges, {0: 1.0, 1: 0.5})
+    com = F.shiftleft(F.col("trial").cast("bigint"), louvain.NODE_BITS) + F.col("node")
+    alone = nodes.select("node", "trial", com.alias("com"), "k", F.lit(True).alias("on"))
+    totals = alone.select("com", F.col("k").alias("tot"), F.lit(1).cast("bigint").alias("size"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = louvain.best_moves(near, louvain.rows_by_node(alone, totals), trials)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "map_from_entries" not in plan and sum("Exchange hashpartitioning" in line and "trial" in line for line in plan.splitlines()) == 2
+    one = alone.filter("trial = 0")
+    assert "Exchange" not in louvain.gathered(one, True, "at", "trial", "com")._jdf.queryExecution().executedPlan().toString()
+    once, more = (louvain.rows_by_node(one, totals, x) for x in (True, False))
+    assert sorted(map(str, once.collect())) == sorted(map(str, more.collect()))
+    near.release()
+
+
+def test_start_with_a_node_in_two_communities_is_refused(spark):
+    start = table(spark, [("a", "x"), ("a", "y"), ("b", "y")], "node string, community string")
+    with pytest.raises(Exception, match="two communities of the start"):
+        louvain.louvain(layer(spark, ("a", "b", 1.0)), 1.0, start)
