@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, functions as F
 
 from entitynet.functions.scalars import percent, ratio
 
+#: Arcs that one task sums by pair, and the most tasks: up to 200 a shuffle is written straight to files, without a buffer of rows.
+ARCS_OF_TASK, MOST_TASKS = 250_000, 200
+
 
 def label_arcs(arcs: DataFrame, groups: DataFrame) -> DataFrame:
     """Positive arcs with the group of each side, kept when at least one side is labelled.
@@ -62,3 +67,14 @@ def inward_groups(kpis: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Number of groups that emit more inside than outside."""
     return kpis.agg(F.count_if(F.col("emission_ratio") > threshold).alias("inward_groups"),
                     F.count("*").alias("groups"))
+
+
+def pair_sums(arcs: DataFrame, rows: int) -> DataFrame:
+    """(src, dst, weight): the amounts between two parties in either direction, added.
+
+    Most pairs occur once, so sums before the shuffle would hold a whole split of the input in memory and make
+    it no smaller. The arcs are dealt out by pair first, to as many tasks as about ``rows`` arcs need.
+    """
+    ends = arcs.select(F.least("emitter", "receiver").alias("src"), F.greatest("emitter", "receiver").alias("dst"), "amount")
+    tasks = min(MOST_TASKS, max(1, ceil(rows / ARCS_OF_TASK)))
+    return ends.repartition(tasks, "src", "dst").groupBy("src", "dst").agg(F.sum("amount").cast("double").alias("weight"))

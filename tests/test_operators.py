@@ -645,3 +645,11 @@ def test_start_with_a_node_in_two_communities_is_refused(spark):
     start = table(spark, [("a", "x"), ("a", "y"), ("b", "y")], "node string, community string")
     with pytest.raises(Exception, match="two communities of the start"):
         louvain.louvain(layer(spark, ("a", "b", 1.0)), 1.0, start)
+
+
+def test_pair_sums_are_dealt_out_before_they_are_summed(spark):
+    arcs = table(spark, [("a", "b", 1), ("b", "a", 2), ("a", "c", 5), (None, "a", 7)], "emitter string, receiver string, amount int")
+    found = flows.pair_sums(arcs, 600_000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange") and ", 3), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, found.collect())) == sorted(map(str, table(spark, [("a", "b", 3.0), ("a", "c", 5.0), ("a", "a", 7.0)], "src string, dst string, weight double").collect()))
