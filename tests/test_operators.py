@@ -653,3 +653,43 @@ def test_pair_sums_are_dealt_out_before_they_are_summed(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("HashAggregate") < plan.index("Exchange") and ", 3), REPARTITION_BY_NUM" in plan
     assert sorted(map(str, found.collect())) == sorted(map(str, table(spark, [("a", "b", 3.0), ("a", "c", 5.0), ("a", "a", 7.0)], "src string, dst string, weight double").collect()))
+
+
+@pytest.mark.parametrize("gammas", [{0: 1.0}, {0: 1.0, 1: 0.3}])
+def test_ways_to_the_neighbours_agree(spark, monkeypatch, gammas):
+    """Candidates are the same however the edges meet the communities; a round over all nodes shuffles edges by node and trial only."""
+    _, near, nodes, trials = louvain.prepared(layer(spark, *random_edges(40, 90, 3)), gammas)
+    com = F.shiftleft(F.col("trial").cast("bigint"), louvain.NODE_BITS) + F.floor(F.col("node") / 3)
+    flat = nodes.select("node", "trial", com.alias("com"), "k", ((F.col("node") + F.col("trial")) % 4 != 0).alias("on"))
+    totals = flat.groupBy("com").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+    state = louvain.rows_by_node(flat, totals, trials.once)
+    found = []
+    for dense, few in ((-1.0, 0), (2.0, 1000), (2.0, 0)):
+        monkeypatch.setattr(louvain, "DENSE", dense)
+        monkeypatch.setattr(louvain, "FEW", few)
+        moves = louvain.best_moves(near, state, trials)
+        plan = moves._jdf.queryExecution().executedPlan().toString()
+        assert dense > 0 or "hashpartitioning(near" not in plan
+        found.append(sorted(map(str, moves.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == flat.filter("on").count()
+    near.release()
+
+
+def test_graph_of_communities_counts_every_edge_both_ways(spark, monkeypatch):
+    """Each edge is read from one of its two rows, hubs' too, and the graph has both."""
+    monkeypatch.setattr(louvain, "HUB", 6)
+    pairs = random_edges(30, 60, 5) + [("hub", f"n{i:02d}", 0.5) for i in range(12)]
+    ids, near, nodes, trials = louvain.prepared(layer(spark, *pairs), {0: 1.0})
+    assert len(near.read) == 2
+    flat = nodes.select("node", "trial", (F.col("node") % 5).alias("com"), "k", F.lit(True).alias("on"))
+    totals = flat.groupBy("com").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+    graph_ = louvain.communities_graph(near, louvain.rows_by_node(flat, totals, True), trials)
+    assert graph_._jdf.queryExecution().executedPlan().toString().count("< near#") >= 2
+    number, wanted = {r["node"]: r["id"] for r in ids.collect()}, {}
+    for a, b, w in pairs:
+        x, y = number[a] % 5, number[b] % 5
+        if x != y:
+            for key in ((x, y), (y, x)):
+                wanted[key] = wanted.get(key, 0) + round(w * trials.unit)
+    assert {(r["node"], r["near"]): r["weight"] for r in graph_.collect()} == wanted
+    near.release()
