@@ -10,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from entitynet.functions.ranking import ordered_prefix
 from entitynet.functions.scalars import log_factorial, parse_money, ratio, repair_text
+from entitynet.operators import louvain_arrays as arrays
 from entitynet.operators import (
     clean, entities, flows, graph, layers, louvain, partition, profiles, propagation, regions, stats, tuning, workers,
 )
@@ -693,3 +694,44 @@ def test_graph_of_communities_counts_every_edge_both_ways(spark, monkeypatch):
                 wanted[key] = wanted.get(key, 0) + round(w * trials.unit)
     assert {(r["node"], r["near"]): r["weight"] for r in graph_.collect()} == wanted
     near.release()
+
+
+def test_a_graph_that_fits_a_task_has_no_rounds_of_tables(spark, monkeypatch):
+    """Trials of weights and of resolutions, with and without a start, end in the communities that the rounds of tables find."""
+    pairs = random_edges(40, 80, 11) + [("n01", "n01", 2.0), ("lone", "lone", 1.0), ("n02", "n03", 0.0)]
+    edges = layer(spark, *pairs)
+    flagged = layers.build_flagged_edges({"ownership": edges, "family": layer(spark, ("n01", "n07", 1.0), ("x", "y", 1.0)), "accountant": layer(spark, ("n05", "n11", 1.0))})
+    start = table(spark, [(1, f"n{i:02d}", str(i % 4)) for i in range(0, 50)] + [(1, "elsewhere", "1")], "trial int, node string, community string")
+    runs = [lambda: louvain.louvain_trials(edges, {0: 0.0, 1: 1.0, 2: 0.4}, start),
+            lambda: louvain.louvain_trials(flagged, {0: 0.2, 1: 0.4, 5: 1.0}, weights={0: (1.0, 0.5, 0.1), 1: (0.3, 0.0, 0.9), 5: (0.5, 0.5, 0.5)})]
+    monkeypatch.setattr(louvain, "WHOLE", 0)
+    wanted = [sorted(map(str, run().collect())) for run in runs]
+    monkeypatch.undo()
+    monkeypatch.setattr(louvain, "stored", None)
+    monkeypatch.setattr(louvain, "settle", None)
+    assert [sorted(map(str, run().collect())) for run in runs] == wanted
+
+
+def test_arrays_in_files_and_by_rounds_agree_with_tables(spark, monkeypatch):
+    """Files, pieces and ranges of any size give the same, and graphs of communities climbed by rounds are those of the tables."""
+    pairs = random_edges(80, 200, 4) + [("hub", f"n{i:02d}", 0.5) for i in range(40)]
+    ids, numbered = louvain.numbered(layer(spark, *pairs))
+    trials = louvain.Trials({0: 1.0})
+    base = louvain.whole(numbered, trials).toPandas()
+    names = {r["id"]: r["node"] for r in ids.collect()}
+
+    def found(small, *sizes):
+        for name, size in zip(("HELD", "PIECE", "SORTED"), sizes):
+            monkeypatch.setattr(arrays, name, size)
+        edges, n = arrays.Edges(False), len(names)
+        for k in range(0, len(base), 30):
+            edges.append(*(base[c].to_numpy()[k:k + 30] for c in ("src", "dst", "weight")))
+        k = arrays.strengths(edges, n, None)
+        com = arrays.trial(arrays.graph(edges, n), np.arange(n), k, np.ones(n, bool), 1.0, 1.0 / int(k.sum()), louvain.PATIENCE, small,
+                           louvain.top_of, louvain.LEAST_GAIN, louvain.STEPS)
+        first = {c: names[v] for v, c in reversed(list(enumerate(com)))}
+        return {names[v]: first[c] for v, c in enumerate(com)}
+
+    assert found(1000, 1 << 20, 500, 500) == found(1000, 64, 7, 11)
+    monkeypatch.setattr(louvain, "SMALL", 0)
+    assert found(0, 64, 7, 11) == dict(rows(louvain.louvain(layer(spark, *pairs), 1.0), "node", "community"))
