@@ -40,3 +40,13 @@ def test_scan_is_pruned_and_filtered(spark):
     assert "c_acctbal" not in plan
     plan = QUERIES["edges_multilayer"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "l_shipdate" in plan and "SortAggregate" not in plan
+
+
+def test_registered_search_is_whole(spark):
+    """Generations of 15 trials a parameter until the scores meet, then the polish, and one best trial for the final run."""
+    log = QUERIES["weight_search"](spark, SF).collect()
+    sizes = {}
+    for r in log:
+        sizes.setdefault(r["phase"], {}).setdefault(r["generation"], []).append(r["ami"])
+    assert set(sizes) == {"start", "evolve", "polish"} and len(sizes["evolve"]) > 1
+    assert {len(x) for phase in ("start", "evolve") for x in sizes[phase].values()} == {60}
